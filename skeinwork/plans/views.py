@@ -133,6 +133,12 @@ SELECT p.pod, p.namespace, p.workload AS workload_name, 'deployment' AS workload
 FROM v_pods p LEFT JOIN v_nodes n ON p.node = n.node
 """
 
+VIEWS["v_service_info"] = """
+SELECT namespace, service, ip, port, CASE WHEN node_port THEN 30050 + port % 4 END AS node_port,
+       'deployment' AS workload_kind, substr(service, 5) AS workload_name
+FROM v_services
+"""
+
 # Requests whose ends are pods, services, nodes, host ports, the loopback or strangers.
 VIEWS["v_calls"] = """
 SELECT request_id, ts_ns, is_server, protocol, request_total_time, request_io, response_io,
