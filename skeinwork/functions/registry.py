@@ -56,7 +56,7 @@ def int_div(a: Column, b: Column) -> Column:
 
 
 def agg_last(value: Column, order: Column | None = None) -> Column:
-    return F.max_by(value, order)
+    return F.max_by(value, F.when(value.isNotNull(), order))
 
 
 def agg_count(value: Column, order: Column | None = None) -> Column:

@@ -180,6 +180,64 @@ SELECT request_id, ts_ns, protocol, is_server, src_namespace, src_workload AS sr
 FROM v_requests
 """
 
+# Client side: one row per edge label set; server side: one row per entity label set.
+VIEWS["v_edge_agg"] = """
+SELECT src_namespace, src_workload_name, 'deployment' AS src_workload_kind, src_pod, src_ip, dst_namespace, dst_workload_name,
+       CASE WHEN dst_workload_name < 'C' THEN '' ELSE 'deployment' END AS dst_workload_kind,
+       CASE WHEN request_id % 4 = 0 THEN '' ELSE dst_pod END AS dst_pod, dst_ip, dst_port, dst_service, protocol,
+       CASE WHEN protocol IN ('redis', 'kafka') THEN '' ELSE CAST(status_code AS VARCHAR(9)) END AS status_code,
+       min(request_id) AS first_seen, count(*) AS calls, CAST(sum(request_total_time) AS BIGINT) AS time_ns,
+       CAST(sum(request_io) AS BIGINT) AS sent, CAST(sum(response_io) AS BIGINT) AS received,
+       CAST(sum(request_io * 10) AS BIGINT) AS rtt_us, CAST(sum(CASE WHEN request_id % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS retransmit,
+       CAST(sum(CASE WHEN request_id % 31 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS loss
+FROM v_records WHERE NOT is_server GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14
+"""
+VIEWS["v_entity_agg"] = """
+SELECT dst_namespace AS namespace, dst_workload_name AS workload_name, CASE WHEN request_id % 4 = 0 THEN '' ELSE dst_pod END AS pod, protocol,
+       CASE WHEN protocol IN ('redis', 'kafka') THEN '' ELSE CAST(status_code AS VARCHAR(9)) END AS response_content,
+       count(*) AS calls, CAST(sum(request_total_time) AS BIGINT) AS time_ns,
+       CAST(sum(response_io) AS BIGINT) AS sent, CAST(sum(request_io) AS BIGINT) AS received
+FROM v_records WHERE is_server GROUP BY 1, 2, 3, 4, 5
+"""
+VIEWS["v_connect_agg"] = """
+SELECT src_namespace, dst_namespace, request_io % 8 <> 0 AS success, count(*) AS connects
+FROM v_records WHERE NOT is_server GROUP BY 1, 2, 3
+"""
+
+# Cumulative counters per day, as a metric store returns them.
+VIEWS["v_dns_series"] = """
+SELECT src_namespace, src_workload_name, dst_ip, status_code, is_slow, day,
+       CAST(sum(n) OVER (PARTITION BY src_namespace, src_workload_name, dst_ip, status_code, is_slow ORDER BY day) AS BIGINT) AS total,
+       CAST(sum(d) OVER (PARTITION BY src_namespace, src_workload_name, dst_ip, status_code, is_slow ORDER BY day) AS BIGINT) AS duration
+FROM (SELECT src_namespace, src_workload_name, dst_ip, CAST(request_io % 6 AS VARCHAR(9)) AS status_code, is_slow,
+        CAST(floor(ts_ns / 86400000000000) AS BIGINT) AS day, count(*) AS n, sum(request_total_time) AS d
+      FROM v_records WHERE protocol = 'dns' AND NOT is_server GROUP BY 1, 2, 3, 4, 5, 6) t
+"""
+VIEWS["v_net_series"] = """
+SELECT src_workload_name, dst_workload_name, src_namespace, day, CAST(r AS BIGINT) AS rtt_us,
+       CAST(sum(rt) OVER (PARTITION BY src_workload_name, dst_workload_name, src_namespace ORDER BY day) AS BIGINT) AS retransmit,
+       CAST(sum(lo) OVER (PARTITION BY src_workload_name, dst_workload_name, src_namespace ORDER BY day) AS BIGINT) AS loss,
+       CAST(sum(se) OVER (PARTITION BY src_workload_name, dst_workload_name, src_namespace ORDER BY day) AS BIGINT) AS sent,
+       CAST(sum(re) OVER (PARTITION BY src_workload_name, dst_workload_name, src_namespace ORDER BY day) AS BIGINT) AS received
+FROM (SELECT src_workload_name, dst_workload_name, src_namespace, CAST(floor(ts_ns / 86400000000000) AS BIGINT) AS day,
+        max(request_io) AS r, sum(CASE WHEN request_id % 7 = 0 THEN 1 ELSE 0 END) AS rt, sum(CASE WHEN request_id % 31 = 0 THEN 1 ELSE 0 END) AS lo,
+        sum(request_io) AS se, sum(response_io) AS re
+      FROM v_records WHERE NOT is_server GROUP BY 1, 2, 3, 4) t
+"""
+VIEWS["v_trace_metric"] = """
+SELECT src_namespace, src_workload_name, dst_workload_name, protocol, dst_ip, max(request_id) AS last_id,
+       CAST(max(request_total_time) AS BIGINT) AS duration
+FROM v_records WHERE NOT is_server AND is_slow AND request_id % 5 = 0 GROUP BY 1, 2, 3, 4, 5
+"""
+VIEWS["v_entity_series"] = """
+SELECT namespace, workload_name, protocol, response_content, day,
+       CAST(sum(n) OVER (PARTITION BY namespace, workload_name, protocol, response_content ORDER BY day) AS BIGINT) AS total,
+       CAST(sum(d) OVER (PARTITION BY namespace, workload_name, protocol, response_content ORDER BY day) AS BIGINT) AS duration
+FROM (SELECT dst_namespace AS namespace, dst_workload_name AS workload_name, protocol, CAST(status_code AS VARCHAR(9)) AS response_content,
+        CAST(floor(ts_ns / 86400000000000) AS BIGINT) AS day, count(*) AS n, sum(request_total_time) AS d
+      FROM v_records WHERE is_server GROUP BY 1, 2, 3, 4, 5) t
+"""
+
 # Attempts to connect: five kernel events per order, derived by line.
 VIEWS["v_connects"] = """
 SELECT o_orderkey * 4 + step AS seq,
