@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 
 from pyspark.sql.functions import udtf
@@ -18,3 +19,15 @@ class SplitMessages:
             body = bytes(view[at + 4:at + 4 + size])
             yield part, len(body), body
             at, part = at + 4 + size, part + 1
+
+
+@udtf(returnType="level: int, path: string, name: string, start: bigint, end: bigint")
+class FlattenCalls:
+    """Nodes of a nested call tree with their level, top down; the depth is not limited."""
+
+    def eval(self, tree: str):
+        todo = [(1, str(i), node) for i, node in enumerate(json.loads(tree or "[]"))]
+        while todo:
+            level, path, node = todo.pop()
+            yield level, path, node.get("name"), node["from"], node["to"]
+            todo.extend((level + 1, f"{path}.{i}", child) for i, child in enumerate(node.get("child") or []))

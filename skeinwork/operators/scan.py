@@ -39,14 +39,10 @@ def carry_last(df: DataFrame, keys: list[str], order: list[str], values: dict[st
     rows = df.withColumn(SLICE, slice_).withColumn("__v", packed)
     before = _rows_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("__local", F.last("__v", ignorenulls=True).over(before))
-    tails = (rows.where(F.col("__v").isNotNull())
-             .groupBy(*keys, SLICE)
-             .agg(F.max_by("__v", F.struct(*order)).alias("__tail")))
-    # A slice without a qualifying row still needs the carry of the slices before it, so the slice list is whole.
-    slices = rows.groupBy(*keys, SLICE).agg(F.lit(1).alias("__one")).drop("__one")
-    carried = (slices.join(tails, [*keys, SLICE], "left")
-               .withColumn("__carry", F.last("__tail", ignorenulls=True)
-                           .over(_slice_window(keys).rowsBetween(Window.unboundedPreceding, -1)))
+    # One summary row per slice; a slice without a qualifying row has a null tail and passes the carry on.
+    tails = rows.groupBy(*keys, SLICE).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__tail"))
+    carried = (tails.withColumn("__carry", F.last("__tail", ignorenulls=True)
+                                .over(_slice_window(keys).rowsBetween(Window.unboundedPreceding, -1)))
                .select(*keys, SLICE, "__carry"))
     out = local.join(carried, [*keys, SLICE], "left").withColumn("__hit", F.coalesce("__local", "__carry"))
     keep = [F.col(c) for c in df.columns]

@@ -241,7 +241,7 @@ _OWNED = """SELECT pod, namespace, CASE WHEN host_network THEN 'DaemonSet' ELSE
   CASE WHEN host_network THEN concat('ds-', workload) ELSE concat(lower(workload), '-', substr(md5(workload), 1, 5)) END AS owner_name,
   CASE WHEN right(pod, 1) = '3' THEN 'example.com/v1' ELSE 'apps/v1' END AS owner_api FROM v_pods"""
 _RS = """SELECT DISTINCT namespace, concat(lower(workload), '-', substr(md5(workload), 1, 5)) AS name, 'Rollout' AS owner_kind,
-  concat('ro-', lower(workload)) AS owner_name, 'argo.example/v1' AS owner_api FROM v_pods WHERE workload < 'J'"""
+  concat('ro-', lower(workload)) AS owner_name, 'argo.example/v1' AS owner_api FROM v_pods WHERE workload < 'NATION_2'"""
 
 
 @query("resolve_workload", f"""

@@ -17,26 +17,25 @@ ENTITY_KEYS = ["namespace", "workload_name", "protocol", "response_content"]
 DAYS_PER_SLICE = 3650
 
 
-def growth(df: DataFrame, keys: list[str], value: str, by: list[str], name: str) -> DataFrame:
-    """Sum of growth by labels (and day, where it is in ``by``)."""
-    d = series.deltas(df.select(*keys, "day", value), keys, "day", value, F.floor(F.col("day") / DAYS_PER_SLICE))
-    return d.groupBy(*by).agg(F.sum("delta").cast("long").alias(name))
+def growth(df: DataFrame, keys: list[str], values: dict[str, str], by: list[str]) -> DataFrame:
+    """Sum of growth per output name by labels (and day, where it is in ``by``), all values in one pass."""
+    cols = list(values.values())
+    d = series.deltas(df.select(*keys, "day", *cols), keys, "day", cols, F.floor(F.col("day") / DAYS_PER_SLICE))
+    return d.groupBy(*by).agg(*[F.sum(f"delta_{c}").cast("long").alias(n) for n, c in values.items()])
 
 
 def dns_requests(s: DataFrame, namespace: str) -> DataFrame:
-    return growth(s.where(F.col("src_namespace") == namespace), DNS_KEYS, "total", ["dst_ip", "day"], "requests")
+    return growth(s.where(F.col("src_namespace") == namespace), DNS_KEYS, {"requests": "total"}, ["dst_ip", "day"])
 
 
 def dns_errors(s: DataFrame, namespace: str) -> DataFrame:
-    return growth(s.where((F.col("src_namespace") == namespace) & (F.col("status_code") != "0")), DNS_KEYS, "total", ["dst_ip", "day"], "errors")
+    return growth(s.where((F.col("src_namespace") == namespace) & (F.col("status_code") != "0")), DNS_KEYS, {"errors": "total"}, ["dst_ip", "day"])
 
 
 def dns_latency(s: DataFrame, namespace: str) -> DataFrame:
     src = s.where(F.col("src_namespace") == namespace)
-    d = growth(src, DNS_KEYS, "duration", ["dst_ip", "day"], "d")
-    n = growth(src, DNS_KEYS, "total", ["dst_ip", "day"], "n")
-    return d.join(n, ["dst_ip", "day"]).where(F.col("n") > 0).select(
-        "dst_ip", "day", (F.col("d").cast("double") / F.col("n").cast("double")).alias("latency"))
+    g = growth(src, DNS_KEYS, {"d": "duration", "n": "total"}, ["dst_ip", "day"])
+    return g.where(F.col("n") > 0).select("dst_ip", "day", (F.col("d").cast("double") / F.col("n").cast("double")).alias("latency"))
 
 
 def dns_top(s: DataFrame, namespace: str, k: int = 10) -> DataFrame:
@@ -45,20 +44,20 @@ def dns_top(s: DataFrame, namespace: str, k: int = 10) -> DataFrame:
 
 def dns_codes(s: DataFrame, namespace: str) -> DataFrame:
     src = s.where((F.col("src_namespace") == namespace) & (F.col("status_code") != "0"))
-    g = growth(src, DNS_KEYS, "total", ["status_code", "day"], "errors")
+    g = growth(src, DNS_KEYS, {"errors": "total"}, ["status_code", "day"])
     return g.groupBy(text.dns_code_name("status_code").alias("status_code"), "day").agg(F.sum("errors").cast("long").alias("errors"))
 
 
 def dns_slow(s: DataFrame, namespace: str) -> DataFrame:
-    return growth(s.where((F.col("src_namespace") == namespace) & F.col("is_slow")), DNS_KEYS, "total", ["dst_ip", "day"], "slow")
+    return growth(s.where((F.col("src_namespace") == namespace) & F.col("is_slow")), DNS_KEYS, {"slow": "total"}, ["dst_ip", "day"])
 
 
 def dns_detail(traces: DataFrame, namespace: str) -> DataFrame:
     return traces.where((F.col("src_namespace") == namespace) & (F.col("protocol") == "dns"))
 
 
-def net_total(s: DataFrame, value: str) -> DataFrame:
-    return growth(s, NET_KEYS, value, ["day"], value)
+def net_total(s: DataFrame, *values: str) -> DataFrame:
+    return growth(s, NET_KEYS, {v: v for v in values}, ["day"])
 
 
 def rtt_top(s: DataFrame, k: int = 10) -> DataFrame:
@@ -70,27 +69,22 @@ def connections(s: DataFrame, traces: DataFrame) -> DataFrame:
     """One row per (src, dst) workload with traces: latency, growth of four counters and the last rtt sum."""
     pair = ["src_workload_name", "dst_workload_name"]
     latency = traces.groupBy(*pair).agg(F.sum("duration").cast("long").alias("latency"))
-    last = F.struct("day")
-    per_series = None
-    for value in ("retransmit", "loss", "sent", "received"):
-        g = growth(s, NET_KEYS, value, pair, value)
-        per_series = g if per_series is None else per_series.join(g, pair)
-    rtt = s.groupBy(*NET_KEYS).agg(F.max_by("rtt_us", last).alias("r")).groupBy(*pair).agg(F.sum("r").cast("long").alias("rtt_us"))
-    return series.series_and(per_series.join(rtt, pair), latency, pair).join(latency, pair)
+    grown = growth(s, NET_KEYS, {v: v for v in ("retransmit", "loss", "sent", "received")}, pair)
+    rtt = s.groupBy(*NET_KEYS).agg(F.max_by("rtt_us", "day").alias("r")).groupBy(*pair).agg(F.sum("r").cast("long").alias("rtt_us"))
+    return series.series_and(grown.join(rtt, pair), latency, pair).join(latency, pair)
 
 
 def series_growth(s: DataFrame, value: str) -> DataFrame:
-    return growth(s, NET_KEYS, value, NET_KEYS, value)
+    return growth(s, NET_KEYS, {value: value}, NET_KEYS)
 
 
 def entity_calls(s: DataFrame) -> DataFrame:
-    return growth(s, ENTITY_KEYS, "total", ["namespace", "workload_name"], "calls")
+    return growth(s, ENTITY_KEYS, {"calls": "total"}, ["namespace", "workload_name"])
 
 
 def entity_latency(s: DataFrame) -> DataFrame:
-    d = growth(s, ENTITY_KEYS, "duration", ["namespace", "workload_name"], "d")
-    n = growth(s, ENTITY_KEYS, "total", ["namespace", "workload_name"], "n")
-    return d.join(n, ["namespace", "workload_name"]).where(F.col("n") > 0).select(
+    g = growth(s, ENTITY_KEYS, {"d": "duration", "n": "total"}, ["namespace", "workload_name"])
+    return g.where(F.col("n") > 0).select(
         "namespace", "workload_name", (F.col("d").cast("double") / F.col("n").cast("double")).alias("latency"))
 
 

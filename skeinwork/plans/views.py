@@ -183,7 +183,7 @@ FROM v_requests
 # Client side: one row per edge label set; server side: one row per entity label set.
 VIEWS["v_edge_agg"] = """
 SELECT src_namespace, src_workload_name, 'deployment' AS src_workload_kind, src_pod, src_ip, dst_namespace, dst_workload_name,
-       CASE WHEN dst_workload_name < 'C' THEN '' ELSE 'deployment' END AS dst_workload_kind,
+       CASE WHEN dst_workload_name < 'NATION_12' THEN '' ELSE 'deployment' END AS dst_workload_kind,
        CASE WHEN request_id % 4 = 0 THEN '' ELSE dst_pod END AS dst_pod, dst_ip, dst_port, dst_service, protocol,
        CASE WHEN protocol IN ('redis', 'kafka') THEN '' ELSE CAST(status_code AS VARCHAR(9)) END AS status_code,
        min(request_id) AS first_seen, count(*) AS calls, CAST(sum(request_total_time) AS BIGINT) AS time_ns,
@@ -227,7 +227,7 @@ FROM (SELECT src_workload_name, dst_workload_name, src_namespace, CAST(floor(ts_
 VIEWS["v_trace_metric"] = """
 SELECT src_namespace, src_workload_name, dst_workload_name, protocol, dst_ip, max(request_id) AS last_id,
        CAST(max(request_total_time) AS BIGINT) AS duration
-FROM v_records WHERE NOT is_server AND is_slow AND request_id % 5 = 0 GROUP BY 1, 2, 3, 4, 5
+FROM v_records WHERE NOT is_server AND is_slow AND request_id % 3 = 0 GROUP BY 1, 2, 3, 4, 5
 """
 VIEWS["v_entity_series"] = """
 SELECT namespace, workload_name, protocol, response_content, day,
