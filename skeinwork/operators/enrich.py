@@ -101,12 +101,11 @@ def _redis_fold(message: Column, commands: list[str]) -> Column:
     """Walk the CRLF parts: a ``$n`` part announces a value of n bytes. Keeps the last command and the first error."""
     start = F.struct(F.lit(-1).alias("expect"), F.lit(None).cast("string").alias("command"), F.lit(None).cast("string").alias("error"),
                      F.lit(False).alias("broken"))
-    known = [F.lit(c) for c in commands]
 
     def step(acc, part):
         value = acc["expect"] >= 0
         size = F.regexp_extract(part, r"^\$([0-9]{1,9})$", 1).try_cast("int")
-        is_command = value & (F.length(part) == acc["expect"]) & F.array_contains(F.array(*known), F.upper(part))
+        is_command = value & (F.length(part) == acc["expect"]) & (F.upper(part).isin(commands) if commands else F.lit(False))
         is_error = ~value & part.startswith("-") & (F.length(part) > 1) & acc["error"].isNull()
         return F.struct(F.when(~value & size.isNotNull(), size).otherwise(-1).alias("expect"),
                         F.when(is_command, part).otherwise(acc["command"]).alias("command"),
