@@ -288,14 +288,9 @@ def metadata_asof(records: DataFrame, validity: DataFrame, keys: list[str], valu
     """Metadata that was current at a record's time.
 
     The newest entry of a key replaces older ones at its ``valid_from``; it is gone ``grace`` after its ``valid_to``
-    (null = still there). Both tables are merged by time and scanned, no range join is needed.
+    (null = still there).
     """
-    tag = F.lit(0)
-    meta = validity.select(*keys, F.col("valid_from").alias("__t"), tag.alias("__kind"),
-                           F.struct(*values, "valid_to").alias("__m"), F.lit(None).cast(records.select(F.struct("*")).schema[0].dataType).alias("__r"))
-    probe = records.select(*keys, F.col(ts).alias("__t"), F.lit(1).alias("__kind"),
-                           F.lit(None).cast(meta.schema["__m"].dataType).alias("__m"), F.struct("*").alias("__r"))
-    merged = meta.unionByName(probe)
-    seen = scan.carry_last(merged, keys, ["__t", "__kind"], {"__hit": F.col("__m")}, scan.time_slice("__t", slice_ns), F.col("__kind") == 0)
-    alive = F.col("__hit").isNotNull() & (F.col("__hit.valid_to").isNull() | (F.col("__t") <= F.col("__hit.valid_to") + grace_ns))
-    return seen.where(F.col("__kind") == 1).select("__r.*", *[F.when(alive, F.col(f"__hit.{v}")).alias(v) for v in values])
+    table = validity.select(*keys, "valid_from", F.col("valid_to").alias("__valid_to"), *[F.col(v).alias(f"__m_{v}") for v in values])
+    hit = scan.asof_join(records, table, keys, ts, "valid_from", ["valid_from", "__valid_to", *[f"__m_{v}" for v in values]], slice_ns)
+    alive = F.col("valid_from").isNotNull() & (F.col("__valid_to").isNull() | (F.col(ts) <= F.col("__valid_to") + grace_ns))
+    return hit.select(*records.columns, *[F.when(alive, F.col(f"__m_{v}")).alias(v) for v in values])

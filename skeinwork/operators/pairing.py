@@ -138,12 +138,19 @@ def merge_continue(pairs: DataFrame, status: str = "status_code", chunk: int = 1
             "pair_no": F.min(n)}
     rest = [c for c in pairs.columns if c not in kept and c not in KEY and c != "request_data"]
     aggs = [v.alias(k) for k, v in kept.items()] + [F.max_by(c, n).alias(c) for c in rest]
+    out = grouped.groupBy(*KEY, "__group").agg(*aggs).where(F.coalesce(F.col(status), F.lit(0)) != 100)
     if "request_data" in pairs.columns:
-        # A chain of continued requests is cut to the snap length again.
-        parts = F.array_sort(F.collect_list(F.struct(n, "request_data")))
-        aggs.append(F.substring(F.aggregate(parts, F.lit(b""), lambda acc, e: F.concat(acc, e["request_data"])),
-                                1, C.SNAP_BYTES).alias("request_data"))
-    return grouped.groupBy(*KEY, "__group").agg(*aggs).drop("__group").where(F.coalesce(F.col(status), F.lit(0)) != 100)
+        out = out.join(_chained_data(grouped), [*KEY, "__group"], "left")
+    return out.drop("__group")
+
+
+def _chained_data(grouped: DataFrame) -> DataFrame:
+    """Request data of a chain cut to the snap length; as in ``_payloads`` the first ``snap`` parts are enough."""
+    w = Window.partitionBy(*KEY, "__group").orderBy("pair_no")
+    parts = grouped.where(F.octet_length("request_data") > 0).select(*KEY, "__group", "pair_no", "request_data")
+    first = parts.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= C.SNAP_BYTES)
+    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("pair_no", "request_data"))), F.lit(b""), lambda acc, e: F.concat(acc, e["request_data"]))
+    return first.groupBy(*KEY, "__group").agg(F.substring(joined, 1, C.SNAP_BYTES).alias("request_data"))
 
 
 DNS_KEY = ["pid", "fd", "sip", "dip", "sport", "dport", "dns_id"]

@@ -170,23 +170,26 @@ def trace_intervals(marks: DataFrame, keys: list[str], order: list[str], slice_:
         *keys, F.col("ts_ns").alias("start_ns"), "end_ns", (F.col("end_ns") - F.col("ts_ns")).alias("time_ns"))
 
 
-def resolve_trace_id(traces: DataFrame, marks: DataFrame, key: list[str]) -> DataFrame:
+def resolve_trace_id(traces: DataFrame, marks: DataFrame, key: list[str], slice_ns: int = scan.DEFAULT_SLICE_NS) -> DataFrame:
     """Trace id of a trace without one: the last transaction its response thread had between start and end.
 
     The first one of the request thread is reported too, but only the response thread decides.
     ``traces``: key, pid, request_tid, response_tid, start_ns, end_ns, trace_id. ``marks``: pid, tid, ts_ns, trace_id.
     """
     open_ = traces.where(F.coalesce("trace_id", F.lit("")) == "")
-    # Marks are met per second of the trace, so the join has an equality on a narrow key.
-    second = F.explode(F.sequence(F.floor(F.col("start_ns") / S), F.floor(F.col("end_ns") / S))).alias("__s")
-    asked = open_.select(*key, "pid", "request_tid", "response_tid", "start_ns", "end_ns", second)
-    m = marks.select("pid", F.col("tid").alias("__tid"), F.col("ts_ns").alias("__t"), F.col("trace_id").alias("__id"), F.floor(F.col("ts_ns") / S).alias("__s"))
-    hit = asked.join(m, ["pid", "__s"]).where((F.col("__t") > F.col("start_ns")) & (F.col("__t") < F.col("end_ns")))
-    req, resp = F.col("__tid") == F.col("request_tid"), F.col("__tid") == F.col("response_tid")
-    found = hit.where(req | resp).groupBy(*key).agg(
-        F.min_by("__id", F.when(req, F.struct("__t", "__id"))).alias("request_trace_id"),
-        F.max_by("__id", F.when(resp, F.struct("__t", "__id"))).alias("response_trace_id"))
-    return (traces.join(found, key, "left").withColumn("trace_id", F.coalesce(F.nullif("trace_id", F.lit("")), "response_trace_id")))
+    m = marks.select("pid", "tid", F.col("ts_ns").alias("__t"), F.col("trace_id").alias("__id"))
+    span = [*key, "pid", "start_ns", "end_ns"]
+
+    def nearest(thread, at, forward, name):
+        probe = open_.select(*span, F.col(thread).alias("tid"))
+        hit = scan.asof_join(probe, m, ["pid", "tid"], at, "__t", ["__t", "__id"], slice_ns, forward=forward, inclusive=False, ties=["__id"])
+        inside = (F.col("__t") > F.col("start_ns")) & (F.col("__t") < F.col("end_ns"))
+        return hit.select(*key, F.when(inside, F.col("__id")).alias(name))
+
+    first = nearest("request_tid", "start_ns", True, "request_trace_id")
+    last = nearest("response_tid", "end_ns", False, "response_trace_id")
+    out = traces.join(first, key, "left").join(last, key, "left")
+    return out.withColumn("trace_id", F.coalesce(F.nullif("trace_id", F.lit("")), "response_trace_id"))
 
 
 def time_breakdown(timeline: DataFrame, locks: DataFrame, carrying: DataFrame, key: list[str]) -> DataFrame:
@@ -280,14 +283,11 @@ def flame_parents(frames: DataFrame, key: list[str], chunk: int = 100_000) -> Da
     Frames of one level do not overlap, so the parent is the last one that starts at or before the frame: a merge of
     both levels by index, not a join of every pair.
     """
-    node = F.struct(*frames.columns)
-    up = frames.select(*key, (F.col("depth") + 1).alias("__level"), F.col("index").alias("__at"), F.lit(0).alias("__kind"), node.alias("__n"))
-    me = frames.select(*key, F.col("depth").alias("__level"), F.col("index").alias("__at"), F.lit(1).alias("__kind"), node.alias("__n"))
-    seen = scan.carry_last(up.unionByName(me), [*key, "__level"], ["__at", "__kind"], {"__p": F.col("__n")},
-                           F.floor(F.col("__at") / chunk), F.col("__kind") == 0)
-    inside = F.col("__n.index") < F.col("__p.index") + F.col("__p.width")
-    return seen.where("__kind = 1").select(*[F.col(f"__n.{c}").alias(c) for c in frames.columns], F.when(inside, F.col("__p.index")).alias("parent_index"),
-                                           F.when(inside, F.col("__p.name")).alias("parent_name"))
+    up = frames.select(*key, (F.col("depth") + 1).alias("depth"), F.col("index").alias("parent_index"), F.col("width").alias("__w"),
+                       F.col("name").alias("parent_name"))
+    hit = scan.asof_join(frames, up, [*key, "depth"], "index", "parent_index", ["parent_index", "parent_name", "__w"], chunk)
+    inside = F.col("index") < F.col("parent_index") + F.col("__w")
+    return hit.select(*frames.columns, F.when(inside, F.col("parent_index")).alias("parent_index"), F.when(inside, F.col("parent_name")).alias("parent_name"))
 
 
 def stack_levels(calls: DataFrame, key: list[str], tree: str = "flames") -> DataFrame:

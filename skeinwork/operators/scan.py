@@ -71,3 +71,23 @@ def carry_next(df: DataFrame, keys: list[str], order: list[str], values: dict[st
              .select(*keys, SLICE, "__carry"))
     out = local.join(heads, [*keys, SLICE], "left").withColumn("__hit", F.coalesce("__local", "__carry"))
     return out.select(*df.columns, *[F.col(f"__hit.{n}").alias(n) for n in values])
+
+
+def asof_join(probes: DataFrame, table: DataFrame, keys: list[str], at: str, table_at: str, values: list[str], slice_width: int,
+              forward: bool = False, inclusive: bool = True, ties: list[str] = ()) -> DataFrame:
+    """Add to each probe row the values of the nearest table row of its key before (or after) it.
+
+    Both sides are merged in order and scanned, so nothing is paired up and a hot key is cut into slices.
+    ``inclusive`` takes a table row at the very same position too; of equal positions the last by ``ties`` is taken.
+    """
+    sign = -1 if forward else 1
+    row_first = 0 if inclusive else 2
+    tie_cols = [F.col(t).alias(f"__tie{i}") for i, t in enumerate(ties)]
+    rows = table.select(*keys, (F.col(table_at) * sign).alias("__at"), F.lit(row_first).alias("__side"), *tie_cols,
+                        F.struct(*values).alias("__t"))
+    packed = F.struct("*").alias("__p")
+    asked = probes.select(*keys, (F.col(at) * sign).alias("__at"), F.lit(1).alias("__side"), packed)
+    merged = asked.unionByName(rows, allowMissingColumns=True)
+    order = ["__at", "__side", *[f"__tie{i}" for i in range(len(ties))]]
+    seen = carry_last(merged, keys, order, {"__hit": F.col("__t")}, F.floor(F.col("__at") / F.lit(slice_width)), F.col("__side") != 1)
+    return seen.where("__side = 1").select("__p.*", *[F.col(f"__hit.{v}").alias(v) for v in values])

@@ -32,14 +32,16 @@ def stream(env) -> StreamEnv:
     return StreamEnv(env.spark, env.sf_dir)
 
 
-def in_order(env, df, ts="ts_ns", parts=3):
-    """A stream of ``df`` in ``parts`` time slices, one micro-batch each: every slice is written after the one before."""
+def in_order(env, df, s, ts="ts_ns", parts=3):
+    """Feed ``df`` to a stateful stream in time slices. Every slice is one micro-batch of a query that is started again
+    from its checkpoint, so the slices meet through the state only."""
     root = work_dir(env.spark, "feed")
     lo, hi = df.agg(F.min(ts), F.max(ts)).first()
     width = (hi - lo) // parts + 1
     for i in range(parts):
-        df.where((F.col(ts) >= lo + i * width) & (F.col(ts) < lo + (i + 1) * width)).coalesce(1).write.mode("append").parquet(root)
-    return env.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(root)
+        df.where((F.col(ts) >= lo + i * width) & (F.col(ts) < lo + (i + 1) * width)).write.mode("append").parquet(root)
+        s.start(env.spark.readStream.schema(df.schema).parquet(root)).awaitTermination()
+    return s.output(env.spark)
 
 
 _END = "(SELECT max(ts_ns) FROM v_socket_events)"
@@ -80,7 +82,7 @@ def stream_pairing(env):
     # Timers longer than the data: a pair ends when the next one opens, across three micro-batches.
     long = 10 ** 9
     s = stateful.pairing_stream(src.schema, work_dir(env.spark, "pairing"), fd_reuse_s=long, no_response_s=long, slice_ns=HOUR)
-    return s.run_available(in_order(env, src)).select("pid", "fd", "first_req_ts", "first_req_latency", "last_req_ts", "n_req", "req_bytes", "first_resp_ts", "last_resp_ts", "n_resp", "resp_bytes")
+    return in_order(env, src, s).select("pid", "fd", "first_req_ts", "first_req_latency", "last_req_ts", "n_req", "req_bytes", "first_resp_ts", "last_resp_ts", "n_resp", "resp_bytes")
 
 
 @query("stream_dns_pending", f"""
@@ -114,7 +116,7 @@ def tcp_connects(env):
 def stream_connects(env):
     src = env.v_connects
     s = stateful.connect_stream(src.schema, work_dir(env.spark, "connects"))
-    return s.run_available(in_order(env, src))
+    return in_order(env, src, s)
 
 
 _NAT = """SELECT seq AS id, ts_ns, concat('10.0.0.', pid) AS src_ip, sport AS src_port, '10.9.0.1' AS dst_ip, CAST(dport AS BIGINT) AS dst_port, concat('20.0.0.', k) AS dnat_ip, CAST(k AS BIGINT) AS dnat_port, k % 3 <> 0 AS is_lookup FROM v_socket_events"""
@@ -126,7 +128,7 @@ q AS (SELECT *, min(ts_ns) OVER (PARTITION BY src_ip, src_port, dst_ip, dst_port
 SELECT id, ts_ns, CASE WHEN first_read - hit.at <= 3600000000000 THEN hit.ip END AS dnat_ip, CASE WHEN first_read - hit.at <= 3600000000000 THEN hit.port END AS dnat_port FROM q""")
 def stream_nat(env):
     s = stateful.nat_stream(work_dir(env.spark, "nat"), ttl_s=3600, slice_ns=HOUR)
-    return s.run_available(in_order(env, env.sql(_NAT))).select("id", "ts_ns", "dnat_ip", "dnat_port")
+    return in_order(env, env.sql(_NAT), s).select("id", "ts_ns", "dnat_ip", "dnat_port")
 
 
 _CHANGES = """SELECT concat('10.1.0.', o_custkey % 250) AS ip, concat('u', o_orderkey) AS uid, 'add' AS op, EPOCH_US(o_orderdate) * 1000 AS ts_ns, concat('pod-', o_orderkey) AS pod FROM orders
@@ -137,7 +139,7 @@ _CHANGES = """SELECT concat('10.1.0.', o_custkey % 250) AS ip, concat('u', o_ord
 SELECT a.ip, a.uid, a.ts_ns AS valid_from, d.ts_ns AS valid_to, a.pod FROM ({_CHANGES}) a JOIN ({_CHANGES}) d ON a.op = 'add' AND d.op = 'delete' AND a.ip = d.ip AND a.uid = d.uid""")
 def stream_metadata(env):
     s = stateful.metadata_stream(T.StructType([T.StructField("pod", T.StringType())]), work_dir(env.spark, "metadata"))
-    return s.run_available(in_order(env, env.sql(_CHANGES))).select("ip", "uid", "valid_from", "valid_to", "pod")
+    return in_order(env, env.sql(_CHANGES), s).select("ip", "uid", "valid_from", "valid_to", "pod")
 
 
 @query("stream_cumulative", f"""
@@ -146,7 +148,7 @@ def stream_cumulative(env):
     src = env.v_socket_events.select("pid", "name", "res", F.lit(1).cast("long").alias("n"), "ts_ns")
     labels = T.StructType([T.StructField("pid", T.LongType()), T.StructField("name", T.StringType())])
     s = stateful.cumulative_stream(labels, ["n", "res"], work_dir(env.spark, "totals"), expire_s=10 ** 9)
-    out = s.run_available(in_order(env, src))
+    out = in_order(env, src, s)
     # The totals of the last dump.
     return out.groupBy("pid", "name").agg(F.max_by(F.struct("n", "res"), "clock").alias("t")).select("pid", "name", "t.*")
 
@@ -162,7 +164,7 @@ WHERE is_entry = 0 AND ts_ns - ent > 60000000000 AND ts_ns - ent <= 864000000000
 def stream_apm(env):
     src = env.sql(_MARKS)
     s = stateful.apm_stream(src.schema, work_dir(env.spark, "apm"), 60_000, expire_s=86_400, slice_ns=HOUR)
-    return s.run_available(in_order(env, src))
+    return in_order(env, src, s)
 
 
 @query("stream_thread_exit", f"""

@@ -88,10 +88,8 @@ NAT_STATE = T.StructType([T.StructField("src_ip", T.StringType()), T.StructField
 def nat_lookups(entries: DataFrame, lookups: DataFrame, ttl_s: int = 120, slice_ns: int = scan.DEFAULT_SLICE_NS) -> DataFrame:
     """Lookups with the translation registered last before them. An entry that is not read within the time to live is
     gone, also for later lookups; one that was read stays."""
-    e = entries.select(*NAT_KEY, "ts_ns", F.lit(0).alias("__kind"), F.struct("dnat_ip", "dnat_port", F.col("ts_ns").alias("at"), "is_read").alias("__e"), F.lit(None).cast("bigint").alias("id"))
-    q = lookups.select(*NAT_KEY, "ts_ns", F.lit(1).alias("__kind"), F.lit(None).cast(e.schema["__e"].dataType).alias("__e"), "id")
-    seen = scan.carry_last(e.unionByName(q), NAT_KEY, ["ts_ns", "__kind"], {"__hit": F.col("__e")}, scan.time_slice("ts_ns", slice_ns), F.col("__kind") == 0)
-    asked = seen.where("__kind = 1").select(*NAT_KEY, "ts_ns", "id", "__hit.*")
+    table = entries.select(*NAT_KEY, F.col("ts_ns").alias("at"), "dnat_ip", "dnat_port", "is_read")
+    asked = scan.asof_join(lookups.select(*NAT_KEY, "ts_ns", "id"), table, NAT_KEY, "ts_ns", "at", ["at", "dnat_ip", "dnat_port", "is_read"], slice_ns)
     first = asked.where(F.col("at").isNotNull()).groupBy(*NAT_KEY, "at").agg(F.min("ts_ns").alias("__first"))
     out = asked.join(first, [*NAT_KEY, "at"], "left")
     alive = F.col("is_read") | (F.col("__first") - F.col("at") <= ttl_s * S)
