@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork import constants as C
@@ -28,17 +28,32 @@ def number_attempts(events: DataFrame, slice_ns: int = scan.DEFAULT_SLICE_NS) ->
     belongs to one when the last opening or decision before it is an opening, or when it opens one itself.
     Events: KEY, ts_ns, seq, name, ret, old_state, new_state, pid.
     """
+    sl = scan.SLICE
     e = events.where(F.col("src_port") != 0).withColumn("__o", outcome(F.col("name"), F.col("ret"), F.col("old_state"), F.col("new_state")))
-    e = e.where(F.col("__o").isNotNull())
-    order = ["ts_ns", "seq"]
-    sl = scan.time_slice("ts_ns", slice_ns)
+    e = e.where(F.col("__o").isNotNull()).withColumn(sl, scan.time_slice("ts_ns", slice_ns))
     start = F.col("name") == "tcp_connect"
     decided = F.col("__o") != "open"
-    seen = scan.carry_last(e, KEY, order, {"__last": F.when(decided, "end").otherwise("open")}, sl, start | decided)
-    opens = start & (F.coalesce("__last", F.lit("end")) == "end")
-    numbered = scan.running_sum(seen.withColumn("__opens", opens.cast("int")), KEY, order, F.col("__opens"), "attempt", sl)
-    mine = (F.col("__opens") == 1) | (F.coalesce("__last", F.lit("end")) == "open")
-    return numbered.where(mine).drop("__last", "__opens")
+    # Only openings and decisions change whether an attempt is open after them.
+    e = e.withColumns({"__start": start, "__mark": F.when(start | decided, ~decided)})
+    w = Window.partitionBy(*KEY, sl).orderBy("ts_ns", "seq")
+    rows = e.withColumn("__before", F.last("__mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("__opens", (F.col("__start") & ~F.coalesce("__before", F.lit(True))).cast("int"))
+    # Rows in front of the first mark of a slice, and that mark, are decided by the slices before.
+    at = F.struct("ts_ns", "seq")
+    slices = rows.groupBy(*KEY, sl).agg(
+        F.min_by("__start", F.when(F.col("__mark").isNotNull(), at)).alias("__first"), F.max_by("__mark", F.when(F.col("__mark").isNotNull(), at)).alias("__last"),
+        F.sum("__opens").alias("__n"))
+    ws = Window.partitionBy(*KEY).orderBy(sl)
+    earlier = ws.rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("__open", F.coalesce(F.last("__last", ignorenulls=True).over(earlier), F.lit(False)))
+    slices = slices.withColumn("__head", (F.coalesce("__first", F.lit(False)) & ~F.col("__open")).cast("int"))
+    slices = slices.withColumn("__base", F.coalesce(F.sum(F.col("__n") + F.col("__head")).over(earlier), F.lit(0)))
+    out = rows.join(slices.select(*KEY, sl, "__open", "__base"), [*KEY, sl])
+    opened = F.coalesce("__before", "__open")
+    opens = (F.col("__start") & ~opened).cast("int")
+    numbered = out.withColumns({"__is": opened | (opens == 1), "__opens": opens})
+    numbered = numbered.withColumn("attempt", F.col("__base") + F.sum("__opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.where("__is").select(*events.columns, "__o", "attempt")
 
 
 def attempts(events: DataFrame, slice_ns: int = scan.DEFAULT_SLICE_NS) -> DataFrame:

@@ -60,22 +60,22 @@ def enrich_http(df: DataFrame, url_clustering: str = "alphabet") -> DataFrame:
 
 def enrich_mysql(df: DataFrame) -> DataFrame:
     q, r = F.col("request_data"), F.col("response_data")
-    command = payload.uint_be(q, 4, 1)
     body = F.substring(q, 6, 2 ** 31 - 1)
-    skipped = F.when((command == 3) & (F.octet_length(body) > 2) & (F.hex(F.substring(body, 1, 2)) == "0001"),
-                     F.substring(body, 3, 2 ** 31 - 1)).otherwise(body)
-    sql = payload.utf8_prefix(skipped)
+    prefixed = (F.col("__cmd") == 3) & (F.octet_length(body) > 2) & (F.hex(F.substring(body, 1, 2)) == "0001")
+    t = df.withColumns({"__cmd": payload.uint_be(q, 4, 1), "__kind": payload.uint_be(r, 4, 1)})
+    t = t.withColumn("__body", F.when(prefixed, F.substring(body, 3, 2 ** 31 - 1)).otherwise(body))
     verbs = "|".join(v for v, _ in C.SQL_VERBS)
-    is_sql = command.isin(3, 22) & _latin(skipped).rlike(f"(?is)^({verbs})")
-    oneway = command == 1
-    kind = payload.uint_be(r, 4, 1)
-    failed = kind == 255
+    t = t.withColumns({"__is_sql": F.coalesce(F.col("__cmd").isin(3, 22) & _latin(F.col("__body")).rlike(f"(?is)^({verbs})"), F.lit(False)),
+                       "__code": F.when(F.col("__kind") == 255, payload.uint_le(r, 5, 2))})
+    t = t.withColumn("__sql", F.when(F.col("__is_sql"), payload.utf8_prefix(F.col("__body"))))
+    t = t.withColumn("__digest", text.sql_digest("__sql"))
+    is_sql, oneway, kind, code = F.col("__is_sql"), F.col("__cmd") == 1, F.col("__kind"), F.col("__code")
     state = (F.octet_length(r) > 14) & (payload.uint_be(r, 8, 1) == 35)
     rest = F.when(state, F.concat(F.substring(r, 9, 5), F.lit(b":"), F.substring(r, 14, 2 ** 31 - 1))).otherwise(F.substring(r, 9, 2 ** 31 - 1))
-    code = F.when(failed, payload.uint_le(r, 5, 2))
-    return _finish(df, (F.octet_length(q) >= 5) & (is_sql | oneway), failed | kind.isin(0, 254) | is_sql, {
-        "sql": F.when(is_sql, sql), "content_key": F.when(is_sql, text.sql_digest(sql)), "oneway": oneway,
-    }, {"sql_error_code": code, "sql_error_msg": F.when(failed, payload.utf8_prefix(rest)), "is_error": F.coalesce(code, F.lit(0)) != 0})
+    out = _finish(t, (F.octet_length(q) >= 5) & (is_sql | oneway), kind.isin(255, 0, 254) | is_sql, {
+        "sql": F.col("__sql"), "content_key": F.when(is_sql, F.col("__digest")), "oneway": oneway,
+    }, {"sql_error_code": code, "sql_error_msg": F.when(kind == 255, payload.utf8_prefix(rest)), "is_error": F.coalesce(code, F.lit(0)) != 0})
+    return out.drop("__cmd", "__kind", "__body", "__is_sql", "__code", "__sql", "__digest")
 
 
 # Single-word commands of the key-value protocol (fixed values).
@@ -97,32 +97,31 @@ ZUNIONSTORE
 """.split()
 
 
-def _redis_fold(message: Column, commands: list[str]) -> Column:
-    """Walk the CRLF parts: a ``$n`` part announces a value of n bytes. Keeps the last command and the first error."""
-    start = F.struct(F.lit(-1).alias("expect"), F.lit(None).cast("string").alias("command"), F.lit(None).cast("string").alias("error"),
-                     F.lit(False).alias("broken"))
+# A bulk string: size line and value. Matches are taken from left to right, so a value is never read as a size line.
+_BULK = r"\$([0-9]{1,9})\r\n([^\r]*)(?:\r\n|\r?$)"
+_CUT_SIZE = r"(?:^|\n)\$[0-9]{1,9}\r?$"
 
-    def step(acc, part):
-        value = acc["expect"] >= 0
-        size = F.regexp_extract(part, r"^\$([0-9]{1,9})$", 1).try_cast("int")
-        is_command = value & (F.length(part) == acc["expect"]) & (F.upper(part).isin(commands) if commands else F.lit(False))
-        is_error = ~value & part.startswith("-") & (F.length(part) > 1) & acc["error"].isNull()
-        return F.struct(F.when(~value & size.isNotNull(), size).otherwise(-1).alias("expect"),
-                        F.when(is_command, part).otherwise(acc["command"]).alias("command"),
-                        F.when(is_error, F.substring(part, 2, 2 ** 31 - 1)).otherwise(acc["error"]).alias("error"),
-                        (acc["broken"] | (value & (F.length(part) != acc["expect"]))).alias("broken"))
 
-    return F.aggregate(F.split(message, "\r\n"), start, step)
+def _bulk_ok(message: Column) -> Column:
+    """Every bulk string has the announced length and none is cut off."""
+    sizes = F.regexp_extract_all(message, F.lit(_BULK), F.lit(1))
+    values = F.regexp_extract_all(message, F.lit(_BULK), F.lit(2))
+    same = F.forall(F.arrays_zip(sizes.alias("n"), values.alias("v")), lambda z: z["n"].cast("int") == F.length(z["v"]))
+    return same & ~F.regexp_replace(message, _BULK, "").rlike(_CUT_SIZE)
 
 
 def enrich_redis(df: DataFrame, commands: list[str] = REDIS_COMMANDS) -> DataFrame:
     """``commands`` are the names that count as a command; multi-word names can be given as well."""
-    q, r = _latin(F.col("request_data")), _latin(F.col("response_data"))
-    t = df.withColumns({"__q": _redis_fold(q, commands), "__r": _redis_fold(F.coalesce(r, F.lit("")), [])})
-    out = _finish(t, q.rlike(r"^[*$:]") & ~F.col("__q.broken"), r.rlike(r"^[-+:$*]") & ~F.col("__r.broken"),
-                  {"redis_command": F.col("__q.command"), "content_key": F.col("__q.command")},
-                  {"redis_error_msg": F.col("__r.error"), "is_error": F.col("__r.error").isNotNull()})
-    return out.drop("__q", "__r")
+    t = df.withColumns({"__q": _latin(F.col("request_data")), "__r": _latin(F.col("response_data"))})
+    q, r = F.col("__q"), F.col("__r")
+    names = F.filter(F.regexp_extract_all(q, F.lit(_BULK), F.lit(2)), lambda v: F.upper(v).isin(commands))
+    # What is left without the bulk strings: an error is a line of its own.
+    error = F.nullif(F.regexp_extract(F.regexp_replace(r, _BULK, ""), r"(?:^|\n)-([^\r]+)\r\n", 1), F.lit(""))
+    t = t.withColumns({"__command": F.try_element_at(names, F.lit(-1)), "__error": error})
+    out = _finish(t, q.rlike(r"^[*$:]") & _bulk_ok(q), r.rlike(r"^[-+:$*]") & _bulk_ok(r),
+                  {"redis_command": F.col("__command"), "content_key": F.col("__command")},
+                  {"redis_error_msg": F.col("__error"), "is_error": F.col("__error").isNotNull()})
+    return out.drop("__q", "__r", "__command", "__error")
 
 
 def enrich_dns_header(df: DataFrame, tcp: bool = False, ignore_rcode3: bool = False) -> DataFrame:
@@ -253,16 +252,16 @@ def detect(pairs: DataFrame, order: list[str]) -> DataFrame:
     Enrichers run one after the other on the same row, so the whole detection is one pass without a shuffle.
     """
     base = pairs.columns
-    out = pairs.withColumns({"__protocol": F.lit(None).cast("string"), "__key": F.lit(None).cast("string"), "__error": F.lit(False)})
+    found, key, error = "__found", "__found_key", "__found_error"
+    out = pairs.withColumns({found: F.lit(None).cast("string"), key: F.lit(None).cast("string"), error: F.lit(False)})
     for name in order:
-        hit = ENRICHERS[name](out.select(*base, "__protocol", "__key", "__error"))
-        key = F.col("content_key") if "content_key" in hit.columns else F.lit(None).cast("string")
-        error = F.col("is_error") if "is_error" in hit.columns else F.lit(False)
-        take = F.col("__protocol").isNull() & F.col("matched")
-        out = hit.select(*base, F.when(take, F.lit(name)).otherwise(F.col("__protocol")).alias("__protocol"),
-                         F.when(take, key).otherwise(F.col("__key")).alias("__key"), F.when(take, error).otherwise(F.col("__error")).alias("__error"))
-    return out.select(*base, F.coalesce("__protocol", F.lit(C.NOSUPPORT)).alias("protocol"), F.col("__key").alias("content_key"),
-                      F.col("__error").alias("is_error"))
+        hit = ENRICHERS[name](out)
+        its_key = F.col("content_key") if "content_key" in hit.columns else F.lit(None).cast("string")
+        its_error = F.col("is_error") if "is_error" in hit.columns else F.lit(False)
+        take = F.col(found).isNull() & F.col("matched")
+        out = hit.select(*base, F.when(take, F.lit(name)).otherwise(F.col(found)).alias(found), F.when(take, its_key).otherwise(F.col(key)).alias(key),
+                         F.when(take, its_error).otherwise(F.col(error)).alias(error))
+    return out.select(*base, F.coalesce(found, F.lit(C.NOSUPPORT)).alias("protocol"), F.col(key).alias("content_key"), F.col(error).alias("is_error"))
 
 
 def parse_agent_lines(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Lookup tables are joined without a hint: below the session's broadcast threshold Spark broadcasts them, above it the
 join is a shuffle join whose hot keys AQE splits. Every lookup table is reduced to one row per key first, so a join
-never multiplies rows.
+never multiplies rows. ``Cluster.staged`` writes the lookups to the shared work folder once: their size is then known
+from the files instead of being guessed from the plan that makes them, and no record table is shuffled for a small one.
 """
 
 from __future__ import annotations
@@ -54,34 +55,56 @@ class Cluster:
         self.containers, self.ports, self.host_ports = containers, ports, host_ports
         self.services, self.nodes = services, nodes
         self.local_node, self.local_ip = local_node, local_ip
+        self._staged, self._root = {}, None
+
+    def staged(self, root: str) -> Cluster:
+        """Write each lookup below ``root`` when it is first used and read it from there."""
+        self._root = root.rstrip("/")
+        return self
+
+    def _lookup(self, name: str, make) -> DataFrame:
+        if self._root is None:
+            return make()
+        if name not in self._staged:
+            path = f"{self._root}/{name}"
+            table = make()
+            table.write.mode("overwrite").parquet(path)
+            self._staged[name] = table.sparkSession.read.schema(table.schema).parquet(path)
+        return self._staged[name]
+
+    def _any_port(self) -> DataFrame:
+        keep = ["container", "container_id", *POD_COLS]
+        own = F.col("port") == 0
+        return (self.ports.groupBy("ip").agg(
+            F.max(own.cast("int")).alias("has_own"),
+            F.min_by(F.struct(*keep), F.when(own & ~F.col("host_network"), F.struct("pod"))).alias("own"),
+            F.min_by(F.struct(*keep), F.when(~F.col("host_network"), F.struct("port", "pod"))).alias("other"))
+            .select("ip", F.struct(F.when(F.col("has_own") == 1, F.col("own")).otherwise(F.col("other")).alias("m")).alias("__m")))
 
     def join_container(self, df, key: Column, name: str):
         keep = ["container", "container_id", *POD_COLS]
-        return _attach(df, one_per_key(self.containers, ["container_id"], ["pod"], keep), {"container_id": key}, name)
+        table = self._lookup("container", lambda: one_per_key(self.containers, ["container_id"], ["pod"], keep))
+        return _attach(df, table, {"container_id": key}, name)
 
     def join_ip_port(self, df, ip: Column, port: Column, name: str):
         """Exact port, else the undeclared-port entry unless on the host network, else the lowest other entry."""
         keep = ["container", "container_id", *POD_COLS]
-        exact = one_per_key(self.ports, ["ip", "port"], ["pod"], keep)
-        own = F.col("port") == 0
-        any_ = (self.ports.groupBy("ip").agg(
-            F.max(own.cast("int")).alias("has_own"),
-            F.min_by(F.struct(*keep), F.when(own & ~F.col("host_network"), F.struct("pod"))).alias("own"),
-            F.min_by(F.struct(*keep), F.when(~F.col("host_network"), F.struct("port", "pod"))).alias("other"))
-            .select("ip", F.struct(F.when(F.col("has_own") == 1, F.col("own")).otherwise(F.col("other")).alias("m")).alias("__m")))
+        exact = self._lookup("ip_port", lambda: one_per_key(self.ports, ["ip", "port"], ["pod"], keep))
+        any_ = self._lookup("ip_any_port", self._any_port)
         out = _attach(df, exact, {"ip": ip, "port": port.cast("int")}, "__exact")
         out = _attach(out, any_, {"ip": ip}, "__any")
         return out.withColumn(name, F.coalesce(F.col("__exact"), F.col("__any.m"))).drop("__exact", "__any")
 
     def join_pod_ip(self, df, ip: Column, name: str):
-        pods = one_per_key(self.ports.where(~F.col("host_network")), ["ip"], ["port", "pod"], POD_COLS)
+        pods = self._lookup("pod_ip", lambda: one_per_key(self.ports.where(~F.col("host_network")), ["ip"], ["port", "pod"], POD_COLS))
         return _attach(df, pods, {"ip": ip}, name)
 
     def join_service(self, df, ip: Column, port: Column, name: str):
         """Service by cluster address, or by node port when the address is a node's."""
         keep = ["namespace", "service", "workload_kind", "workload_name"]
-        by_ip = one_per_key(self.services, ["ip", "port"], ["namespace", "service"], keep)
-        by_node = one_per_key(self.services.where(F.col("node_port").isNotNull()), ["node_port"], ["namespace", "service"], keep)
+        order = ["namespace", "service"]
+        by_ip = self._lookup("service", lambda: one_per_key(self.services, ["ip", "port"], order, keep))
+        by_node = self._lookup("node_port", lambda: one_per_key(self.services.where(F.col("node_port").isNotNull()), ["node_port"], order, keep))
         out = _attach(df, by_ip, {"ip": ip, "port": port.cast("int")}, "__svc")
         out = self.join_node(out, ip, "__node")
         on_node = F.when(F.col("__node").isNotNull(), port.cast("int"))
@@ -90,11 +113,11 @@ class Cluster:
 
     def join_host_port(self, df, ip: Column, port: Column, name: str):
         keep = ["container", "container_id", *POD_COLS, "port"]
-        table = one_per_key(self.host_ports, ["host_ip", "host_port"], ["pod"], keep)
+        table = self._lookup("host_port", lambda: one_per_key(self.host_ports, ["host_ip", "host_port"], ["pod"], keep))
         return _attach(df, table, {"host_ip": ip, "host_port": port.cast("int")}, name)
 
     def join_node(self, df, ip: Column, name: str):
-        return _attach(df, one_per_key(self.nodes, ["ip"], ["node"], ["node"]), {"ip": ip}, name)
+        return _attach(df, self._lookup("node", lambda: one_per_key(self.nodes, ["ip"], ["node"], ["node"])), {"ip": ip}, name)
 
 
 _OUT = ["node", "node_ip", "namespace", "workload_kind", "workload_name", "service", "pod", "container", "container_id", "ip", "port"]

@@ -77,18 +77,16 @@ def namespace_nodes(samples: DataFrame, entities: DataFrame) -> DataFrame:
 def namespace_edges(samples: DataFrame, order: str | None = None) -> DataFrame:
     """Edges between namespaces, or from a namespace to the address of a DNS server; self loops are left out."""
     t = _named(samples)
-    dns = F.col("protocol") == "dns"
-    target = F.when(dns, F.col("dst_ip")).otherwise(F.col("dst_namespace"))
-    edges = (t.groupBy(F.col("src_namespace").alias("source"), target.alias("target"), dns.alias("dns_edge")).agg(F.lit(1).alias("__x"))
-             .drop("__x").where(F.col("source") != F.col("target")))
-    # A namespace edge takes every row between its namespaces, a DNS edge every row to its address.
-    keys = F.array(F.struct(F.lit(False).alias("dns_edge"), F.col("dst_namespace").alias("target")),
-                   F.struct(F.lit(True).alias("dns_edge"), F.col("dst_ip").alias("target")))
     m = [c for c in EDGE_METRICS if c in t.columns]
     part = t.groupBy("src_namespace", "dst_namespace", "dst_ip", "protocol", "status_code").agg(*[F.sum(c).alias(c) for c in m])
+    # A namespace edge takes every row between its namespaces, a DNS edge every row to its address. A row counts for
+    # both keys and makes one of them an edge, so edges and sums come out of one aggregation.
+    dns = F.col("protocol") == "dns"
+    keys = F.array(F.struct(F.lit(False).alias("dns_edge"), F.col("dst_namespace").alias("target"), (~dns).alias("__own")),
+                   F.struct(F.lit(True).alias("dns_edge"), F.col("dst_ip").alias("target"), dns.alias("__own")))
     both = part.select(F.col("src_namespace").alias("source"), "protocol", "status_code", *m, F.inline(keys))
-    sums = both.groupBy("source", "target", "dns_edge").agg(*_sums(both, EDGE_METRICS, "status_code"))
-    return finish(edges.join(sums, ["source", "target", "dns_edge"], "left"))
+    sums = both.groupBy("source", "target", "dns_edge").agg(*_sums(both, EDGE_METRICS, "status_code"), F.max("__own").alias("__own"))
+    return finish(sums.where(F.col("__own") & (F.col("source") != F.col("target"))).drop("__own"))
 
 
 # --- workload and pod graph -----------------------------------------------------------------------------------
@@ -126,11 +124,15 @@ def _candidates(side: str, pods: bool) -> Column:
     return F.when(ns.isin(C.EXTERNAL_NAMESPACES), F.array(key("external", f"{side}_ip"))).otherwise(inside)
 
 
-def in_scope(samples: DataFrame, namespace: str, workload: str | None = None) -> DataFrame:
+def _in_scope(namespace: str, workload: str | None = None) -> Column:
     def side(s):
         hit = F.col(f"{s}_namespace") == namespace
         return hit if workload is None else hit & (F.col(f"{s}_workload_name") == workload)
-    return samples.where(side("dst") | side("src"))
+    return F.coalesce(side("dst") | side("src"), F.lit(False))
+
+
+def in_scope(samples: DataFrame, namespace: str, workload: str | None = None) -> DataFrame:
+    return samples.where(_in_scope(namespace, workload))
 
 
 _LABELS = ["src_namespace", "src_workload_name", "src_workload_kind", "src_pod", "src_ip", "dst_namespace", "dst_workload_name",
@@ -153,20 +155,24 @@ def external_ports(samples: DataFrame) -> DataFrame:
 def detail_edges(samples: DataFrame, namespace: str, workload: str | None = None, pods: bool = False, services: bool = False) -> DataFrame:
     """Edges between workloads (or pods) that touch a namespace or one workload; self calls are left out."""
     svc = F.when(F.col("dst_namespace").isin(C.EXTERNAL_NAMESPACES), "").otherwise(F.coalesce("dst_service", F.lit(""))) if services else F.lit("")
-    scope = in_scope(samples, namespace, workload)
-    ends = scope.groupBy(_end("src", pods).alias("s"), _end("dst", pods).alias("d"), svc.alias("service")).agg(F.lit(1).alias("__x"))
-    key = ["s_kind", "s_namespace", "s_name", "d_kind", "d_namespace", "d_name", "service"]
-    edges = ends.select(*[F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in "sd" for c in ("kind", "namespace", "name")], "service").distinct()
-    edges = edges.where(F.concat_ws("_", "s_namespace", "s_name") != F.concat_ws("_", "d_namespace", "d_name"))
     m = [c for c in EDGE_METRICS if c in samples.columns]
     part = samples.groupBy(*_LABELS, "protocol", "status_code").agg(*[F.sum(c).alias(c) for c in m])
-    part = part.withColumns({"s": F.explode(_candidates("src", pods))}).withColumns({"d": F.explode(_candidates("dst", pods))})
+
+    def bare(end):
+        return F.struct(end["kind"].alias("kind"), end["namespace"].alias("namespace"), end["name"].alias("name"))
+
+    # Each row counts for every node it belongs to and makes an edge of the one it is shown as, if it is in scope.
+    part = part.withColumns({"__s": bare(_end("src", pods)), "__d": bare(_end("dst", pods)), "__svc": svc,
+                             "__scope": _in_scope(namespace, workload)})
     lines = F.array_distinct(F.array(F.coalesce("dst_service", F.lit("")), F.lit(""))) if services else F.array(F.lit(""))
-    part = part.withColumn("service", F.explode(lines))
-    part = part.select("protocol", "status_code", *m, "service", *[F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in "sd" for c in ("kind", "namespace", "name")])
-    sums = part.groupBy(*key).agg(*_sums(part, EDGE_METRICS, "status_code"))
-    out = finish(edges.join(sums, key, "left").na.fill(0, EDGE_METRICS + ["errors"]))
-    return _named_external(out, samples)
+    part = part.withColumn("s", F.explode(_candidates("src", pods))).withColumn("d", F.explode(_candidates("dst", pods))).withColumn("service", F.explode(lines))
+    own = F.col("__scope") & (F.col("s") == F.col("__s")) & (F.col("d") == F.col("__d")) & (F.col("service") == F.col("__svc"))
+    ends = [F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in "sd" for c in ("kind", "namespace", "name")]
+    part = part.select("protocol", "status_code", *m, "service", *ends, own.alias("__own"))
+    key = ["s_kind", "s_namespace", "s_name", "d_kind", "d_namespace", "d_name", "service"]
+    sums = part.groupBy(*key).agg(*_sums(part, EDGE_METRICS, "status_code"), F.max("__own").alias("__own"))
+    loop = F.concat_ws("_", "s_namespace", "s_name") == F.concat_ws("_", "d_namespace", "d_name")
+    return _named_external(finish(sums.where(F.col("__own") & ~loop).drop("__own")), samples)
 
 
 def _named_external(edges: DataFrame, samples: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skeinwork.functions import text
 from skeinwork.operators import metadata
 from skeinwork.plans.catalog import query
+from skeinwork.session import work_dir
 
 LOCAL_NODE, LOCAL_IP = "node-1", "10.9.0.1"
 
@@ -15,7 +15,8 @@ def cluster(env) -> metadata.Cluster:
     p = env.v_pod_info
     by_port = p.withColumn("container_id", F.lit(""))
     host = by_port.where("host_port <> 0").withColumn("host_ip", F.col("node_ip"))
-    return metadata.Cluster(p, by_port, host, env.v_service_info, env.v_nodes, LOCAL_NODE, LOCAL_IP)
+    lookups = metadata.Cluster(p, by_port, host, env.v_service_info, env.v_nodes, LOCAL_NODE, LOCAL_IP)
+    return lookups.staged(work_dir(env.spark, "lookups"))
 
 
 # One row per key, as CTEs: containers, exact port, port fallback, pod by ip, service, node port, host port, node.
