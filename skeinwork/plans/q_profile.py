@@ -223,7 +223,7 @@ def profile_filters(env):
 
 # A flame graph per supplier: a root, its nations' parts below and lines below those.
 _FLAME = """SELECT s_suppkey AS stack_id, 0 AS depth, 0 AS index, 1000 AS width, 'root' AS name FROM supplier
-  UNION ALL SELECT s_suppkey, 1, n * 100, 90, concat('f', n) FROM supplier, (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) t(n) WHERE (s_suppkey + n) % 3 <> 0
+  UNION ALL SELECT s_suppkey, 1, n * 100, 90, concat('f', n) FROM (SELECT s_suppkey, UNNEST(0, 1, 2, 3, 4, 5, 6, 7, 8, 9) AS n FROM supplier) t WHERE (s_suppkey + n) % 3 <> 0
   UNION ALL SELECT s_suppkey, 2, CAST(l_linenumber * 37 + l_orderkey % 500 AS INT), 5, 'leaf' FROM (SELECT s_suppkey, l_linenumber, l_orderkey FROM supplier JOIN lineitem ON l_suppkey = s_suppkey) x"""
 
 
@@ -232,8 +232,7 @@ WITH f AS ({_FLAME})
 SELECT f.stack_id, f.depth, f.index, f.width, f.name, p.index AS parent_index, p.name AS parent_name FROM f
 LEFT JOIN f p ON p.stack_id = f.stack_id AND p.depth = f.depth - 1 AND p.depth < 2 AND f.index >= p.index AND f.index < p.index + p.width""")
 def flame_parents(env):
-    sql = _FLAME.replace("(VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) t(n)", "(SELECT explode(sequence(0, 9)) AS n) t")
-    return profile.flame_parents(env.sql(sql), ["stack_id"])
+    return profile.flame_parents(env.sql(_FLAME), ["stack_id"])
 
 
 @query("stack_levels", """

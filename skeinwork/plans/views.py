@@ -1,7 +1,8 @@
 """Deterministic views over the given tables, one text for both engines.
 
-``EPOCH_US(x)`` is the only dialect difference: ``unix_micros(CAST(x AS TIMESTAMP))`` in Spark and ``epoch_us(x)``
-in DuckDB. A view may use the views above it.
+Two words differ between the dialects: ``EPOCH_US(x)`` is ``unix_micros(CAST(x AS TIMESTAMP))`` in Spark and
+``epoch_us(x)`` in DuckDB, ``UNNEST(a, b, ...)`` is ``explode(array(...))`` and ``unnest([...])``. A view may use the
+views above it.
 """
 
 from __future__ import annotations
@@ -253,7 +254,7 @@ SELECT o_orderkey * 4 + step AS seq,
        CASE WHEN step = 2 THEN 2 WHEN step = 3 THEN 1 ELSE 0 END AS old_state,
        CASE WHEN step = 2 THEN 1 WHEN step = 3 THEN 8 ELSE 0 END AS new_state,
        CASE WHEN step = 1 THEN o_custkey ELSE 0 END AS pid
-FROM orders JOIN (SELECT DISTINCT turn AS step FROM conversations WHERE turn < 4) t ON step <> 2 OR o_orderkey % 7 <> 0
+FROM (SELECT *, UNNEST(0, 1, 2, 3) AS step FROM orders) o WHERE step <> 2 OR o_orderkey % 7 <> 0
 """
 
 
@@ -282,7 +283,7 @@ def duck_sql(body: str) -> str:
         text = "WITH " + ",\n".join(ctes) + ",\n" + stripped[5:]
     else:
         text = "WITH " + ",\n".join(ctes) + "\n" + stripped
-    return re.sub(r"\bEPOCH_US\(", "epoch_us(", text)
+    return re.sub(r"\bUNNEST\(([^()]*)\)", r"unnest([\1])", re.sub(r"\bEPOCH_US\(", "epoch_us(", text))
 
 
 class Env:
@@ -311,6 +312,7 @@ class Env:
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         """Run SQL whose FROM/JOIN names are tables, views or the given frames."""
         text = re.sub(r"\bEPOCH_US\((\w+)\)", r"unix_micros(CAST(\1 AS TIMESTAMP))", text)
+        text = re.sub(r"\bUNNEST\(([^()]*)\)", r"explode(array(\1))", text)
         used = dict(frames)
 
         def swap(match):
