@@ -2,8 +2,8 @@
 
 Lookup tables are joined without a hint: below the session's broadcast threshold Spark broadcasts them, above it the
 join is a shuffle join whose hot keys AQE splits. Every lookup table is reduced to one row per key first, so a join
-never multiplies rows. ``Cluster.staged`` writes the lookups to the shared work folder once: their size is then known
-from the files instead of being guessed from the plan that makes them, and no record table is shuffled for a small one.
+never multiplies rows. ``Cluster.staged`` writes the tables to the shared work folder once: their size is then known from
+the files instead of being guessed from the plan that makes them, and no record table is shuffled for a small one.
 """
 
 from __future__ import annotations
@@ -55,22 +55,14 @@ class Cluster:
         self.containers, self.ports, self.host_ports = containers, ports, host_ports
         self.services, self.nodes = services, nodes
         self.local_node, self.local_ip = local_node, local_ip
-        self._staged, self._root = {}, None
 
     def staged(self, root: str) -> Cluster:
-        """Write each lookup below ``root`` when it is first used and read it from there."""
-        self._root = root.rstrip("/")
-        return self
-
-    def _lookup(self, name: str, make) -> DataFrame:
-        if self._root is None:
-            return make()
-        if name not in self._staged:
-            path = f"{self._root}/{name}"
-            table = make()
-            table.write.mode("overwrite").parquet(path)
-            self._staged[name] = table.sparkSession.read.schema(table.schema).parquet(path)
-        return self._staged[name]
+        """The same tables, written below ``root`` once and read from there."""
+        def put(name: str, table: DataFrame) -> DataFrame:
+            table.write.mode("overwrite").parquet(f"{root}/{name}")
+            return table.sparkSession.read.schema(table.schema).parquet(f"{root}/{name}")
+        names = ("containers", "ports", "host_ports", "services", "nodes")
+        return Cluster(*[put(n, getattr(self, n)) for n in names], self.local_node, self.local_ip)
 
     def _any_port(self) -> DataFrame:
         keep = ["container", "container_id", *POD_COLS]
@@ -83,28 +75,28 @@ class Cluster:
 
     def join_container(self, df, key: Column, name: str):
         keep = ["container", "container_id", *POD_COLS]
-        table = self._lookup("container", lambda: one_per_key(self.containers, ["container_id"], ["pod"], keep))
+        table = one_per_key(self.containers, ["container_id"], ["pod"], keep)
         return _attach(df, table, {"container_id": key}, name)
 
     def join_ip_port(self, df, ip: Column, port: Column, name: str):
         """Exact port, else the undeclared-port entry unless on the host network, else the lowest other entry."""
         keep = ["container", "container_id", *POD_COLS]
-        exact = self._lookup("ip_port", lambda: one_per_key(self.ports, ["ip", "port"], ["pod"], keep))
-        any_ = self._lookup("ip_any_port", self._any_port)
+        exact = one_per_key(self.ports, ["ip", "port"], ["pod"], keep)
+        any_ = self._any_port()
         out = _attach(df, exact, {"ip": ip, "port": port.cast("int")}, "__exact")
         out = _attach(out, any_, {"ip": ip}, "__any")
         return out.withColumn(name, F.coalesce(F.col("__exact"), F.col("__any.m"))).drop("__exact", "__any")
 
     def join_pod_ip(self, df, ip: Column, name: str):
-        pods = self._lookup("pod_ip", lambda: one_per_key(self.ports.where(~F.col("host_network")), ["ip"], ["port", "pod"], POD_COLS))
+        pods = one_per_key(self.ports.where(~F.col("host_network")), ["ip"], ["port", "pod"], POD_COLS)
         return _attach(df, pods, {"ip": ip}, name)
 
     def join_service(self, df, ip: Column, port: Column, name: str):
         """Service by cluster address, or by node port when the address is a node's."""
         keep = ["namespace", "service", "workload_kind", "workload_name"]
         order = ["namespace", "service"]
-        by_ip = self._lookup("service", lambda: one_per_key(self.services, ["ip", "port"], order, keep))
-        by_node = self._lookup("node_port", lambda: one_per_key(self.services.where(F.col("node_port").isNotNull()), ["node_port"], order, keep))
+        by_ip = one_per_key(self.services, ["ip", "port"], order, keep)
+        by_node = one_per_key(self.services.where(F.col("node_port").isNotNull()), ["node_port"], order, keep)
         out = _attach(df, by_ip, {"ip": ip, "port": port.cast("int")}, "__svc")
         out = self.join_node(out, ip, "__node")
         on_node = F.when(F.col("__node").isNotNull(), port.cast("int"))
@@ -113,23 +105,28 @@ class Cluster:
 
     def join_host_port(self, df, ip: Column, port: Column, name: str):
         keep = ["container", "container_id", *POD_COLS, "port"]
-        table = self._lookup("host_port", lambda: one_per_key(self.host_ports, ["host_ip", "host_port"], ["pod"], keep))
+        table = one_per_key(self.host_ports, ["host_ip", "host_port"], ["pod"], keep)
         return _attach(df, table, {"host_ip": ip, "host_port": port.cast("int")}, name)
 
     def join_node(self, df, ip: Column, name: str):
-        return _attach(df, self._lookup("node", lambda: one_per_key(self.nodes, ["ip"], ["node"], ["node"])), {"ip": ip}, name)
+        return _attach(df, one_per_key(self.nodes, ["ip"], ["node"], ["node"]), {"ip": ip}, name)
 
 
 _OUT = ["node", "node_ip", "namespace", "workload_kind", "workload_name", "service", "pod", "container", "container_id", "ip", "port"]
 
 
-def _resolve(base: dict[str, Column], steps: list[tuple[Column, dict[str, Column]]]) -> dict[str, Column]:
-    """Apply ordered (condition, assignments); a later step overwrites what an earlier one set."""
-    out = {k: v for k, v in base.items()}
-    for when, values in steps:
+def _resolve(df: DataFrame, name: str, base: dict[str, Column], steps: list[tuple[Column, dict[str, Column]]]) -> tuple[DataFrame, dict[str, Column]]:
+    """Apply ordered (condition, assignments); a later step overwrites what an earlier one set.
+
+    The conditions become columns of their own first: every output column tests them, and copies of them in each would
+    make the generated code too large to be compiled.
+    """
+    tests = {f"__{name}{i}": F.coalesce(when, F.lit(False)) for i, (when, _) in enumerate(steps)}
+    out = dict(base)
+    for test, (_, values) in zip(tests, steps):
         for k, v in values.items():
-            out[k] = F.when(when, F.coalesce(v, F.lit(""))).otherwise(out[k]) if k != "port" else F.when(when, v).otherwise(out[k])
-    return out
+            out[k] = F.when(F.col(test), v if k == "port" else F.coalesce(v, F.lit(""))).otherwise(out[k])
+    return df.withColumns(tests), out
 
 
 def _pod(m: Column, src: bool, current_ip: Column | None = None, service: bool = True) -> dict[str, Column]:
@@ -183,7 +180,7 @@ def enrich_client(df: DataFrame, cluster: Cluster) -> DataFrame:
     by_id = cid != ""
     local = {"node": F.lit(cluster.local_node), "node_ip": F.lit(cluster.local_ip)}
     no_pod = ~by_id & ~has["__sp"]
-    src = _resolve(_empty(sip, None), [
+    t, src = _resolve(t, "s", _empty(sip, None), [
         (by_id, {"container_id": cid}),
         (by_id & has["__sc"], _container(F.col("__sc"), True)), _service(by_id, F.col("__sc")),
         (by_id & ~has["__sc"], {**local, "namespace": F.lit(C.INTERNAL)}),
@@ -198,7 +195,7 @@ def enrich_client(df: DataFrame, cluster: Cluster) -> DataFrame:
     host = ~svc & ~has["__dc"] & has["__dh"]
     rest = ~svc & ~has["__dc"] & ~has["__dh"]
     s = F.col("__ds")
-    dst = _resolve(_empty(dip0, dport), [
+    t, dst = _resolve(t, "d", _empty(dip0, dport), [
         (dip0 == C.LOOPBACK, local),
         (svc, {"namespace": s["namespace"], "service": s["service"], "workload_kind": s["workload_kind"], "workload_name": s["workload_name"]}),
         (translated & has["__dd"], _container(F.col("__dd"), False, dip0)),
@@ -222,12 +219,12 @@ def enrich_server(df: DataFrame, cluster: Cluster) -> DataFrame:
     t = cluster.join_container(t, F.nullif(cid, F.lit("")), "__dc")
     local = {"node": F.lit(cluster.local_node), "node_ip": F.lit(cluster.local_ip)}
     pod, node, con = F.col("__sp").isNotNull(), F.col("__sn").isNotNull(), F.col("__dc").isNotNull()
-    src = _resolve(_empty(sip, None), [
+    t, src = _resolve(t, "s", _empty(sip, None), [
         (sip == C.LOOPBACK, local), (pod, _pod(F.col("__sp"), True)), _service(pod, F.col("__sp")),
         (~pod & node, {"node": F.col("__sn.node"), "node_ip": sip, "namespace": F.lit(C.INTERNAL)}),
         (~pod & ~node, {"namespace": F.lit(C.EXTERNAL)})])
     dip = F.coalesce("dst_ip", F.lit(""))
-    dst = _resolve(_empty(dip, F.col("dst_port").cast("long")), [
+    t, dst = _resolve(t, "d", _empty(dip, F.col("dst_port").cast("long")), [
         (F.lit(True), {"container_id": cid}), (con, _container(F.col("__dc"), False, dip)), _service(con, F.col("__dc")),
         (~con, {**local, "namespace": F.lit(C.INTERNAL)})])
     new = {**_emit(t, "src", src), **_emit(t, "dst", dst)}
@@ -253,7 +250,7 @@ def enrich_tcp(df: DataFrame, cluster: Cluster) -> DataFrame:
     t = cluster.join_pod_ip(t, dip, "__dp")
     t = cluster.join_node(t, dip, "__dn")
     h = {n: F.col(n).isNotNull() for n in ("__sc", "__sp", "__sn", "__ds", "__dd", "__dc", "__dh", "__dp", "__dn")}
-    src = _resolve(_empty(sip, None), [
+    t, src = _resolve(t, "s", _empty(sip, None), [
         (h["__sc"], _container(F.col("__sc"), True)), _service(h["__sc"], F.col("__sc")),
         (~h["__sc"] & h["__sp"], _pod(F.col("__sp"), True)), _service(~h["__sc"] & h["__sp"], F.col("__sp")),
         (~h["__sc"] & ~h["__sp"] & h["__sn"], {"namespace": F.lit(C.INTERNAL)}),
@@ -265,7 +262,7 @@ def enrich_tcp(df: DataFrame, cluster: Cluster) -> DataFrame:
     host = later & h["__dh"]
     cur_ip = F.when(host, F.col("__dh.ip")).otherwise(dip)
     # The pod and node steps search with the address the record came with.
-    dst = _resolve(_empty(dip, dport), [
+    t, dst = _resolve(t, "d", _empty(dip, dport), [
         (svc, {"namespace": s["namespace"], "service": s["service"], "workload_kind": s["workload_kind"], "workload_name": s["workload_name"]}),
         (translated & h["__dd"], _container(F.col("__dd"), False, dip)),
         (con, _container(F.col("__dc"), False, dip)),

@@ -51,7 +51,12 @@ def pair_requests(events: DataFrame, labels: list[str] = (), payload: bool = Fal
     ``labels`` are taken from the first request. With ``payload`` the data of each side is concatenated up to
     ``snap`` bytes.
     """
-    numbered = number_pairs(events, slice_ns).where(F.col("pair_no") > 0)
+    return summarize_pairs(number_pairs(events, slice_ns), labels, payload, snap)
+
+
+def summarize_pairs(numbered: DataFrame, labels: list[str] = (), payload: bool = False, snap: int = C.SNAP_BYTES) -> DataFrame:
+    """Pairs of events that carry their ``pair_no``."""
+    numbered = numbered.where(F.col("pair_no") > 0)
     q = F.col("is_request")
     ordq, ordr = F.when(q, F.struct(*_ORD)), F.when(~q, F.struct(*_ORD))
     aggs = []
@@ -61,7 +66,7 @@ def pair_requests(events: DataFrame, labels: list[str] = (), payload: bool = Fal
                  F.max(F.when(flag, F.col("ts_ns"))).alias(f"last_{side}_ts"),
                  F.count(F.when(flag, 1)).alias(f"n_{side}"),
                  F.coalesce(F.sum(F.when(flag, F.col("res"))), F.lit(0)).cast("long").alias(f"{side}_bytes")]
-    if "tid" in events.columns:
+    if "tid" in numbered.columns:
         aggs += [F.min_by("tid", ordq).alias("request_tid"), F.min_by("tid", ordr).alias("response_tid")]
     aggs += [F.min_by(c, ordq).alias(c) for c in labels]
     pairs = numbered.groupBy(*KEY, "pair_no").agg(*aggs)

@@ -6,17 +6,16 @@ from pyspark.sql import functions as F
 
 from skeinwork.operators import metadata
 from skeinwork.plans.catalog import query
-from skeinwork.session import work_dir
+from skeinwork.session import stage
 
 LOCAL_NODE, LOCAL_IP = "node-1", "10.9.0.1"
 
 
 def cluster(env) -> metadata.Cluster:
-    p = env.v_pod_info
+    p = stage(env.v_pod_info, "pods")
     by_port = p.withColumn("container_id", F.lit(""))
     host = by_port.where("host_port <> 0").withColumn("host_ip", F.col("node_ip"))
-    lookups = metadata.Cluster(p, by_port, host, env.v_service_info, env.v_nodes, LOCAL_NODE, LOCAL_IP)
-    return lookups.staged(work_dir(env.spark, "lookups"))
+    return metadata.Cluster(p, by_port, host, stage(env.v_service_info, "services"), env.v_nodes, LOCAL_NODE, LOCAL_IP)
 
 
 # One row per key, as CTEs: containers, exact port, port fallback, pod by ip, service, node port, host port, node.

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinwork.session import pin_session
+from skeinwork.sources.events import spread
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -299,7 +300,7 @@ class Env:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self._frame(name, lambda: self.spark.read.parquet(self.path(name)))
+            return self._frame(name, lambda: spread(self.spark.read.parquet(self.path(name))))
         if name in VIEWS:
             return self._frame(name, lambda: self.sql(VIEWS[name]))
         raise AttributeError(name)

@@ -53,6 +53,12 @@ class StatefulStream:
         return self.output(source.sparkSession)
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write what a step uses more than once and read it from there; the next batch overwrites it."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_append(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
     """Run a built-in streaming plan over what is there into files and read them back."""
     query = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/out")

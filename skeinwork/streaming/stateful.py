@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from skeinwork import constants as C
 from skeinwork.operators import connects, pairing, profile, scan
-from skeinwork.streaming.state import StatefulStream
+from skeinwork.streaming.state import StatefulStream, written
 
 S = 1_000_000_000
 
@@ -25,8 +25,8 @@ def pairing_stream(event_schema: T.StructType, root: str, labels: list[str] = ()
     cols = event_schema.fieldNames()
 
     def step(state: DataFrame, batch: DataFrame, clock: int):
-        events = state.unionByName(batch.select(*cols))
-        pairs = pairing.pair_requests(events, labels, payload, slice_ns=slice_ns)
+        numbered = written(pairing.number_pairs(state.unionByName(batch.select(*cols)), slice_ns), f"{root}/numbered")
+        pairs = written(pairing.summarize_pairs(numbered, labels, payload), f"{root}/pairs")
         last = pairs.groupBy(*pairing.KEY).agg(F.max("pair_no").alias("__last"))
         p = pairs.join(last, pairing.KEY)
         answered = F.col("n_resp") > 0
@@ -34,7 +34,7 @@ def pairing_stream(event_schema: T.StructType, root: str, labels: list[str] = ()
         done = (F.col("pair_no") < F.col("__last")) | (answered & (idle >= fd_reuse_s)) | (idle >= no_response_s)
         p = p.withColumn("__done", done)
         waiting = p.where("NOT __done").select(*pairing.KEY, "pair_no")
-        kept = pairing.number_pairs(events, slice_ns).join(waiting, [*pairing.KEY, "pair_no"], "left_semi").select(*cols)
+        kept = numbered.join(waiting, [*pairing.KEY, "pair_no"], "left_semi").select(*cols)
         return p.where("__done").drop("__done", "__last", "pair_no"), kept
 
     return StatefulStream(step, event_schema, root)
@@ -65,7 +65,7 @@ def connect_stream(event_schema: T.StructType, root: str, sockets: DataFrame | N
     key = [*connects.KEY, "attempt"]
 
     def step(state, batch, clock):
-        numbered = connects.number_attempts(state.unionByName(batch.select(*cols)), slice_ns)
+        numbered = written(connects.number_attempts(state.unionByName(batch.select(*cols)), slice_ns), f"{root}/numbered")
         att = connects.summarize(numbered)
         ended = att.where(F.col("outcome").isNotNull())
         waiting = att.where(F.col("outcome").isNull())
@@ -103,7 +103,7 @@ def nat_stream(root: str, ttl_s: int = 120, slice_ns: int = scan.DEFAULT_SLICE_N
     def step(state, batch, clock):
         new = batch.where("NOT is_lookup").withColumn("is_read", F.lit(False)).select(*names)
         entries = state.unionByName(new)
-        found = nat_lookups(entries, batch.where("is_lookup"), ttl_s, slice_ns)
+        found = written(nat_lookups(entries, batch.where("is_lookup"), ttl_s, slice_ns), f"{root}/found")
         read = found.where(F.col("dnat_ip").isNotNull()).select(*NAT_KEY, F.col("at").alias("ts_ns")).distinct().withColumn("__now", F.lit(True))
         marked = entries.join(read, [*NAT_KEY, "ts_ns"], "left").withColumn("is_read", F.col("is_read") | F.coalesce("__now", F.lit(False))).drop("__now")
         latest = marked.groupBy(*NAT_KEY).agg(F.max_by(F.struct("dnat_ip", "dnat_port", "ts_ns", "is_read"), F.struct("ts_ns", "dnat_ip", "dnat_port")).alias("m")).select(*NAT_KEY, "m.*")
