@@ -30,7 +30,7 @@ def test_sql_digest(spark, sql, want):
     ({"uber-trace-id": "3997ed0a6a71f050:77a:0:1"}, ("jaeger", "3997ed0a6a71f050")),
     ({"traceparent": "00-4bf92f3577b34da6a3ce929d0e0e4736-00f067aa0ba902b7-01"}, ("w3c", "4bf92f3577b34da6a3ce929d0e0e4736")),
     ({"sw8": "1-OWZhM2VkOGRhZDhmNGExNWFkYjIz"}, ("skywalking", "9fa3ed8dad8f4a15adb23")),
-    ({"sw8": "1"}, ("skywalking", "")), ({"x-b3-traceid": "abc", "apm-transactionid": "t1"}, ("harmonycloud", "t1")), ({"traceparent": "short"}, ("", ""))])
+    ({"sw8": "1"}, ("skywalking", "")), ({"x-b3-traceid": "abc", "apm-transactionid": "t1"}, ("apm", "t1")), ({"traceparent": "short"}, ("", ""))])
 def test_trace_header(spark, headers, want):
     df = spark.createDataFrame([(headers,)], "h map<string,string>")
     assert tuple(df.select(text.trace_header("h").alias("t")).first()["t"]) == want
