@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skeinwork.llm import op3_packing, op10_token_files
+from skeinwork.llm import op3_packing, op5_shards, op6_simhash, op9_urls, op10_token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+SHARDS = [f"shard-{k:03d}" for k in range(256)]
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +23,29 @@ def op3_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_packing.digest(op3_packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, size=2048, end_id=1))
 
 
+def op5_lookup_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_shards.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op6_simhash.dedup_ids(table(spark, sf_dir, "documents"), words=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = op9_urls.UrlModel(op9_urls.labelled_table(spark))
+    return op9_urls.judge(table(spark, sf_dir, "pages"), URL_RULES, model)
+
+
 def op10_token_files_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_token_files.write_and_read(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sum_of_squares": op3_sum_of_squares,
+    "op5_lookup_shards": op5_lookup_shards,
+    "op6_simhash_tiles": op6_simhash_tiles,
+    "op9_url_model": op9_url_model,
     "op10_token_files": op10_token_files_,
 }
 ORACLES: dict[str, str] = {}
