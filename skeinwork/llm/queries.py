@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import op3_packing, op5_shards, op6_simhash, op9_urls, op10_token_files
+from skeinwork.llm import op2_quality, op3_packing, op5_shards, op6_simhash, op9_urls, op10_token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = [f"shard-{k:03d}" for k in range(256)]
@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op2_quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
+    counts = [f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance")]
+    return found.select("doc_id", *counts, "kept")
+
+
 def op3_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_packing.digest(op3_packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, size=2048, end_id=1))
 
@@ -42,6 +48,7 @@ def op10_token_files_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mcd_outliers": op2_mcd_outliers,
     "op3_sum_of_squares": op3_sum_of_squares,
     "op5_lookup_shards": op5_lookup_shards,
     "op6_simhash_tiles": op6_simhash_tiles,
