@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import op2_quality, op3_packing, op5_shards, op6_simhash, op9_urls, op10_token_files
+from skeinwork.llm import op2_quality, op3_packing, op5_shards, op6_simhash, op7_token_counts, op8_toxicity, op9_urls, op10_token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 SHARDS = [f"shard-{k:03d}" for k in range(256)]
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -38,6 +39,14 @@ def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_two_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_token_counts.counts(table(spark, sf_dir, "documents"), PIECE_BPE, limit=4096)
+
+
+def op8_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_toxicity.score_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op9_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = op9_urls.UrlModel(op9_urls.labelled_table(spark))
     return op9_urls.judge(table(spark, sf_dir, "pages"), URL_RULES, model)
@@ -52,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sum_of_squares": op3_sum_of_squares,
     "op5_lookup_shards": op5_lookup_shards,
     "op6_simhash_tiles": op6_simhash_tiles,
+    "op7_two_tier_counts": op7_two_tier_counts,
+    "op8_noisy_channel": op8_noisy_channel,
     "op9_url_model": op9_url_model,
     "op10_token_files": op10_token_files_,
 }
