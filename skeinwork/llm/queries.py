@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import op2_quality, op3_packing, op5_shards, op6_simhash, op7_token_counts, op8_toxicity, op9_urls, op10_token_files
+from skeinwork.llm import op1_licenses, op2_quality, op3_packing, op4_decontamination, op5_shards, op6_simhash, op7_token_counts, op8_toxicity, op9_urls, op10_token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_licenses.scan(table(spark, sf_dir, "documents"), least=0.8)
+
+
 def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op2_quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
     counts = [f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance")]
@@ -30,6 +34,10 @@ def op3_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_packing.digest(op3_packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, size=2048, end_id=1))
 
 
+def op4_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_decontamination.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, threshold=0.8)
+
+
 def op5_lookup_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_shards.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
@@ -57,8 +65,10 @@ def op10_token_files_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_patience_licenses": op1_patience_licenses,
     "op2_mcd_outliers": op2_mcd_outliers,
     "op3_sum_of_squares": op3_sum_of_squares,
+    "op4_minhash_containment": op4_minhash_containment,
     "op5_lookup_shards": op5_lookup_shards,
     "op6_simhash_tiles": op6_simhash_tiles,
     "op7_two_tier_counts": op7_two_tier_counts,
@@ -66,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_model": op9_url_model,
     "op10_token_files": op10_token_files_,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_minhash_containment": op4_decontamination.SQL}
