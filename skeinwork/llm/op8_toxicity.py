@@ -34,7 +34,7 @@ _EDGES = ".,;:?!*%&#|()[]{}\"'$+-=<>~^/\\"
 _SPACED_RUN = re.compile(r"(?<![^\s.*/_-])(?:[^\s.*/_-][ .\-_*/]){2,}[^\s.*/_-](?![^\s.*/_-])")
 _WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
-FORM_TEXTS, CHANCE = 5, 0.01
+FORM_TEXTS, CHANCE, SIGNATURES = 5, 0.01, 10
 
 
 def _codes(text: str) -> np.ndarray:
@@ -246,18 +246,18 @@ def _word_rows(df: DataFrame, shared) -> DataFrame:
 
 
 def _signatures(text: str) -> list[int]:
-    """Three min-hashes of the word triples, which near copies mostly share."""
+    """Min-hashes of the word triples, which near copies mostly share."""
     words = text.lower().split()
     hashed = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], np.uint64)
-    return [int((hashed * np.uint64(f)).min().view(np.int64)) for f in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+    return [int((hashed * np.uint64(2 * k + 1) * np.uint64(0x9E3779B97F4A7C15)).min().view(np.int64)) for k in range(SIGNATURES)]
 
 
 def _without_copies(rows: DataFrame) -> DataFrame:
     """Ids of rows (``id``, ``text``), one of each group that shares a signature."""
     signed = rows.select("id", by_text(lambda: _signatures, "array<bigint>", pa.list_(pa.int64()))(F.col("text")).alias("s"))
-    left = stage(signed.select("id", *[F.col("s")[k].alias(f"s{k}") for k in range(3)]), "signatures")
-    for k in range(3):
-        left = left.groupBy(f"s{k}").agg(F.min_by(F.struct("id", "s0", "s1", "s2"), F.xxhash64("id")).alias("r")).select("r.*")
+    left = stage(signed, "signatures")
+    for k in range(SIGNATURES):
+        left = left.groupBy(F.col("s")[k]).agg(F.min_by(F.struct("id", "s"), F.xxhash64("id")).alias("r")).select("r.*")
     return left.select("id")
 
 
