@@ -57,25 +57,16 @@ def ascii_text(data: Column) -> Column:
     return F.regexp_replace(F.decode(data, "ISO-8859-1"), r"[^\x20-\x7e]", ".")
 
 
-def utf8_prefix(data: Column) -> Column:
-    """Start of the bytes that is readable UTF-8, written for ASCII and three-byte text.
-
-    A two-byte character counts as broken when ASCII or a cut character follows it, and a character in front of a
-    byte that can not start one is dropped with it.
-    """
-    one, tail = "[0-7][0-9A-F]", "[89AB][0-9A-F]"
-    no_start = "(?![89AB][0-9A-F]|C[01]|F[5-9A-F])"
-    cut = "(?:[CD][0-9A-F]|E[0-9A-F](?:..)?|F[0-4](?:..){0,2})$"
-    two = f"(?:C[2-9A-F]|D[0-9A-F]){tail}{no_start}(?![0-7]|{cut})"
-    three = f"(?:E0[AB][0-9A-F]{tail}|(?:E[1-9A-C]|E[EF]){tail}{tail}|ED[89][0-9A-F]{tail}){no_start}"
-    four = f"(?:F0[9AB][0-9A-F]{tail}{tail}|F[1-3]{tail}{tail}{tail}|F48[0-9A-F]{tail}{tail}){no_start}"
-    good = F.unhex(F.regexp_extract(F.hex(data), f"^((?:{one}|{two}|{three}|{four})*+)", 1))
-    plain = F.decode(data, "ISO-8859-1")
-    return F.when(plain.rlike(r"^[\x00-\x7f]*$"), plain).otherwise(F.decode(good, "UTF-8"))
+def utf8_text(data: Column) -> Column:
+    """Bytes as UTF-8 text. A character that the end of the bytes cuts off is dropped, other broken bytes read as U+FFFD."""
+    more = "[89AB][0-9A-F]"
+    cut = f"(?:[CD][0-9A-F]|E[0-9A-F](?:{more})?|F[0-7](?:{more}){{0,2}})"
+    whole = F.regexp_extract(F.hex(data), f"^((?:..)*?){cut}?$", 1)
+    return F.make_valid_utf8(F.unhex(whole).cast("string"))
 
 
 def payload_preview(data: str | Column, protocol: str | Column, limit: int = C.PAYLOAD_BYTES) -> Column:
     data, protocol = _col(data).cast("binary"), _col(protocol)
-    text = F.when(protocol.isin("http", "redis"), utf8_prefix(take(data, 0, limit)))
+    text = F.when(protocol.isin("http", "redis"), utf8_text(take(data, 0, limit)))
     text = text.when(protocol == "dubbo", ascii_text(take(data, 16, limit)))
     return F.coalesce(text.otherwise(ascii_text(take(data, 0, limit))), F.lit(""))

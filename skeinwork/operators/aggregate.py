@@ -21,13 +21,15 @@ registry.register_agg_kind("histogram", lambda v, order=None: agg_histogram(v, C
 
 
 def merge_histograms(df: DataFrame, keys: list[str], hist: str, n_bounds: int) -> DataFrame:
-    """Add up histograms per group element by element; another number of bounds is an error."""
+    """Add up histograms per group element by element; histograms of one group with different bounds are an error."""
     h = F.col(hist)
     bad = F.raise_error(F.lit("histograms with different bounds can not be merged")).cast("long")
     part = F.when(F.size(h["bounds"]) == n_bounds, h["count"]).otherwise(bad)
+    low, high = F.min(h["bounds"]), F.max(h["bounds"])
+    same = F.when(low.eqNullSafe(high), low).otherwise(F.raise_error(F.lit("histograms with different bounds can not be merged")).cast("array<long>"))
     sums = [F.sum(F.get(h["buckets"], F.lit(i))).cast("long") for i in range(n_bounds)]
     merged = F.struct(F.sum(h["sum"]).cast("long").alias("sum"), F.sum(part).cast("long").alias("count"),
-                      F.first(h["bounds"]).alias("bounds"), F.array(*sums).alias("buckets"))
+                      same.alias("bounds"), F.array(*sums).alias("buckets"))
     return df.groupBy(*keys).agg(merged.alias(hist))
 
 
@@ -127,14 +129,19 @@ def workload_info(pods: DataFrame, node: str | None = None) -> DataFrame:
     return local.select("namespace", "workload_kind", "workload_name").distinct().withColumn("value", F.lit(1).cast("long"))
 
 
-def side_metrics(labelled: DataFrame, labels: list[str], is_server: bool) -> tuple[DataFrame, DataFrame]:
-    """Durations and bytes per label set, and counts per label set with ``is_slow``."""
+def side_metrics(labelled: DataFrame, labels: list[str], is_server: bool) -> DataFrame:
+    """Durations and bytes per label set, and counts per label set with ``is_slow``, as (labels, is_slow, metric, value).
+
+    ``is_slow`` is null where it is not a label. The rows are aggregated once, with ``is_slow``; the sums of both kinds are
+    then grouped by labels and what is left of ``is_slow``, which only the counts keep.
+    """
     n = C.ENTITY_METRICS if is_server else C.TOPOLOGY_METRICS
-    values = labelled.groupBy(*labels).agg(
-        F.sum("request_total_time").cast("long").alias(n["request_total_time"]),
-        F.sum("request_io").cast("long").alias(n["request_io"]), F.sum("response_io").cast("long").alias(n["response_io"]))
-    counts = labelled.groupBy(*labels, "is_slow").agg(F.sum("request_count").cast("long").alias(n["request_count"]))
-    return values, counts
+    sums = ["request_total_time", "request_io", "response_io"]
+    fine = labelled.groupBy(*labels, "is_slow").agg(*[F.sum(c).cast("long").alias(c) for c in [*sums, "request_count"]])
+    parts = [F.struct(F.lit(None).cast("boolean").alias("is_slow"), F.lit(n[c]).alias("metric"), F.col(c).alias("value")) for c in sums]
+    parts.append(F.struct(F.col("is_slow"), F.lit(n["request_count"]).alias("metric"), F.col("request_count").alias("value")))
+    long_ = fine.select(*labels, F.inline(F.array(*parts)))
+    return long_.groupBy(*labels, "is_slow", "metric").agg(F.sum("value").cast("long").alias("value"))
 
 
 ENTITY_LABELS = ["namespace", "workload_kind", "workload_name", "service", "protocol", "request_content", "response_content"]
@@ -142,26 +149,16 @@ ENTITY_DETAIL = ["ip", "port", "node", "pod", "container", "container_id"]
 _METRIC_COLS = ["is_slow", "request_total_time", "request_io", "response_io", "request_count"]
 
 
-def long_metrics(values: DataFrame, counts: DataFrame, labels: list[str]) -> DataFrame:
-    """Both grains as (labels, is_slow, metric, value); ``is_slow`` is null where it is not a label."""
-    metrics = [c for c in values.columns if c not in labels]
-    v = values.select(*labels, F.lit(None).cast("boolean").alias("is_slow"), F.inline(F.array(
-        *[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])))
-    (count_name,) = [c for c in counts.columns if c not in labels and c != "is_slow"]
-    c = counts.select(*labels, "is_slow", F.lit(count_name).alias("metric"), F.col(count_name).alias("value"))
-    return v.unionByName(c)
-
-
 def entity_metrics(aggregated: DataFrame, detail: bool = False) -> DataFrame:
     server = relabel.relabel_entity(aggregated.where(F.col("is_server")), detail, _METRIC_COLS)
     labels = ENTITY_LABELS + (ENTITY_DETAIL if detail else [])
-    return long_metrics(*side_metrics(server, labels, True), labels)
+    return side_metrics(server, labels, True)
 
 
 def topology_metrics(aggregated: DataFrame, detail: bool = False) -> DataFrame:
     client = relabel.relabel_topology(aggregated.where(~F.col("is_server")), detail, _METRIC_COLS)
     labels = relabel.TOPOLOGY_BASE + (relabel.TOPOLOGY_DETAIL if detail else []) + ["protocol", "status_code"]
-    return long_metrics(*side_metrics(client, labels, False), labels)
+    return side_metrics(client, labels, False)
 
 
 def external_topology(aggregated: DataFrame) -> DataFrame:
@@ -169,7 +166,7 @@ def external_topology(aggregated: DataFrame) -> DataFrame:
     outside = aggregated.where(F.col("is_server") & (F.col("src_namespace") == C.EXTERNAL))
     edges = relabel.relabel_topology(outside, True, _METRIC_COLS)
     labels = relabel.TOPOLOGY_BASE + relabel.TOPOLOGY_DETAIL + ["protocol", "status_code"]
-    return long_metrics(*side_metrics(edges, labels, False), labels)
+    return side_metrics(edges, labels, False)
 
 
 def trace_as_metric(records: DataFrame, labels: list[str], order: list[str]) -> DataFrame:

@@ -48,7 +48,7 @@ def number_attempts(events: DataFrame, slice_ns: int = scan.DEFAULT_SLICE_NS) ->
     slices = slices.withColumn("__open", F.coalesce(F.last("__last", ignorenulls=True).over(earlier), F.lit(False)))
     slices = slices.withColumn("__head", (F.coalesce("__first", F.lit(False)) & ~F.col("__open")).cast("int"))
     slices = slices.withColumn("__base", F.coalesce(F.sum(F.col("__n") + F.col("__head")).over(earlier), F.lit(0)))
-    out = rows.join(slices.select(*KEY, sl, "__open", "__base"), [*KEY, sl])
+    out = scan.join_same(rows, slices.select(*KEY, sl, "__open", "__base"), [*KEY, sl])
     opened = F.coalesce("__before", "__open")
     opens = (F.col("__start") & ~opened).cast("int")
     numbered = out.withColumns({"__is": opened | (opens == 1), "__opens": opens})

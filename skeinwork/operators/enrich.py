@@ -36,7 +36,7 @@ def enrich_http(df: DataFrame, url_clustering: str = "alphabet") -> DataFrame:
     q, r = F.col("__q"), F.col("__r")
     t = t.withColumns({
         "__m": F.regexp_extract(q, r"(?s)^([^ ]{1,7}) ", 1),
-        "__u": payload.utf8_prefix(F.encode(F.regexp_extract(q, r"(?s)^[^ ]+ ([^ ]*)", 1), "ISO-8859-1")),
+        "__u": payload.utf8_text(F.encode(F.regexp_extract(q, r"(?s)^[^ ]+ ([^ ]*)", 1), "ISO-8859-1")),
         "__c": F.regexp_extract(r, r"(?s)^HTTP/1\.[01] ([+-]?[0-9]{1,5})(?: |$)", 1).try_cast("int"),
         "__qh": text.header_map(q), "__rh": text.header_map(F.coalesce(r, F.lit("")))})
     t = t.withColumns({"__own": text.trace_header("__qh"), "__other": text.trace_header("__rh"),
@@ -67,14 +67,14 @@ def enrich_mysql(df: DataFrame) -> DataFrame:
     verbs = "|".join(v for v, _ in C.SQL_VERBS)
     t = t.withColumns({"__is_sql": F.coalesce(F.col("__cmd").isin(3, 22) & _latin(F.col("__body")).rlike(f"(?is)^({verbs})"), F.lit(False)),
                        "__code": F.when(F.col("__kind") == 255, payload.uint_le(r, 5, 2))})
-    t = t.withColumn("__sql", F.when(F.col("__is_sql"), payload.utf8_prefix(F.col("__body"))))
+    t = t.withColumn("__sql", F.when(F.col("__is_sql"), payload.utf8_text(F.col("__body"))))
     t = t.withColumn("__digest", text.sql_digest("__sql"))
     is_sql, oneway, kind, code = F.col("__is_sql"), F.col("__cmd") == 1, F.col("__kind"), F.col("__code")
     state = (F.octet_length(r) > 14) & (payload.uint_be(r, 8, 1) == 35)
     rest = F.when(state, F.concat(F.substring(r, 9, 5), F.lit(b":"), F.substring(r, 14, 2 ** 31 - 1))).otherwise(F.substring(r, 9, 2 ** 31 - 1))
     out = _finish(t, (F.octet_length(q) >= 5) & (is_sql | oneway), kind.isin(255, 0, 254) | is_sql, {
         "sql": F.col("__sql"), "content_key": F.when(is_sql, F.col("__digest")), "oneway": oneway,
-    }, {"sql_error_code": code, "sql_error_msg": F.when(kind == 255, payload.utf8_prefix(rest)), "is_error": F.coalesce(code, F.lit(0)) != 0})
+    }, {"sql_error_code": code, "sql_error_msg": F.when(kind == 255, payload.utf8_text(rest)), "is_error": F.coalesce(code, F.lit(0)) != 0})
     return out.drop("__cmd", "__kind", "__body", "__is_sql", "__code", "__sql", "__digest")
 
 
@@ -265,32 +265,27 @@ def detect(pairs: DataFrame, order: list[str]) -> DataFrame:
 
 
 def parse_agent_lines(lines: DataFrame) -> DataFrame:
-    """Lines an in-process agent wrote (pid, tid, ts_ns, line) as typed rows, one kind per prefix."""
-    def after(prefix):
-        return F.split(F.substring(F.col("line"), len(prefix) + 1, 2 ** 31 - 1), "!")
+    """Lines an in-process agent wrote (pid, tid, ts_ns, line) as typed rows, one kind per prefix; one pass over the lines."""
+    line, ts = F.col("line"), F.col("ts_ns")
+    kinds = {"lock": C.LINE_LOCK, "transaction": C.LINE_TXN, "span": C.LINE_SPAN, "thread": C.LINE_THREAD}
 
     def num(c):
         return F.coalesce(c.try_cast("long"), F.lit(0))
 
-    base = ["pid", "tid", "ts_ns"]
-    p = after(C.LINE_LOCK)
-    at = lambda i: F.get(p, F.lit(i))
-    lock = lines.where(F.col("line").startswith(C.LINE_LOCK)).select(
-        *base, F.lit("lock").alias("kind"), num(at(0)).alias("start_ns"), num(at(1)).alias("end_ns"), F.col("line").alias("data"))
-    p2 = after(C.LINE_TXN)
-    txn = lines.where(F.col("line").startswith(C.LINE_TXN)).select(
-        *base, F.lit("transaction").alias("kind"), F.col("ts_ns").alias("start_ns"), F.get(p2, F.lit(0)).alias("trace_id"),
-        num(F.substring(F.get(p2, F.lit(1)), 1, 1)).cast("int").alias("is_entry"), F.get(p2, F.lit(2)).alias("protocol"), F.get(p2, F.lit(3)).alias("url"))
-    p3 = after(C.LINE_SPAN)
-    new = F.get(p3, F.lit(0)) == "1"
-    sp = lambda i: F.when(new, F.get(p3, F.lit(i + 1))).otherwise(F.get(p3, F.lit(i)))
-    span = lines.where(F.col("line").startswith(C.LINE_SPAN) & (F.octet_length("line") >= 10)).select(
-        *base, F.lit("span").alias("kind"), F.when(new, num(sp(0))).otherwise(F.col("ts_ns") - num(sp(0))).alias("start_ns"),
-        F.col("ts_ns").alias("end_ns"), sp(1).alias("name"), sp(2).alias("trace_id"))
-    p4 = after(C.LINE_THREAD)
-    thread = lines.where(F.col("line").startswith(C.LINE_THREAD)).select(
-        "pid", num(F.get(p4, F.lit(0))).alias("tid"), "ts_ns", F.lit("thread").alias("kind"), F.get(p4, F.lit(1)).alias("name"))
-    out = lock
-    for other in (txn, span, thread):
-        out = out.unionByName(other, allowMissingColumns=True)
-    return out
+    kind, body = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, prefix in kinds.items():
+        hit = line.startswith(prefix) & ((F.octet_length("line") >= 10) if name == "span" else F.lit(True))
+        kind = F.when(hit, name).otherwise(kind)
+        body = F.when(hit, F.substring(line, len(prefix) + 1, 2 ** 31 - 1)).otherwise(body)
+    rows = lines.withColumns({"kind": kind, "__p": F.split(body, "!")}).where(F.col("kind").isNotNull())
+    is_ = {name: F.col("kind") == name for name in kinds}
+    at = lambda i: F.get("__p", F.lit(i))
+    new = at(0) == "1"
+    span = lambda i: F.when(new, at(i + 1)).otherwise(at(i))
+    return rows.select(
+        "pid", F.when(is_["thread"], num(at(0))).otherwise(F.col("tid")).alias("tid"), "ts_ns", "kind",
+        F.when(is_["lock"], num(at(0))).when(is_["transaction"], ts).when(is_["span"], F.when(new, num(span(0))).otherwise(ts - num(span(0)))).alias("start_ns"),
+        F.when(is_["lock"], num(at(1))).when(is_["span"], ts).alias("end_ns"), F.when(is_["lock"], line).alias("data"),
+        F.when(is_["transaction"], at(0)).when(is_["span"], span(2)).alias("trace_id"),
+        F.when(is_["transaction"], num(F.substring(at(1), 1, 1)).cast("int")).alias("is_entry"), F.when(is_["transaction"], at(2)).alias("protocol"),
+        F.when(is_["transaction"], at(3)).alias("url"), F.when(is_["span"], span(1)).when(is_["thread"], at(1)).alias("name"))

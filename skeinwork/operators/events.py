@@ -29,7 +29,7 @@ def subscribe_filter(events: DataFrame, subscription=C.SUBSCRIPTION) -> DataFram
 
 
 def suppress_comm(events: DataFrame, commands=C.SUPPRESSED_COMMANDS) -> DataFrame:
-    return events.where(~F.col("comm").isin([c[:C.COMMAND_LENGTH] for c in commands]))
+    return events.where(~F.coalesce(F.col("comm").isin([c[:C.COMMAND_LENGTH] for c in commands]), F.lit(False)))
 
 
 def route_events(events: DataFrame, routes=C.ROUTES) -> DataFrame:
@@ -56,7 +56,7 @@ def net_gate(events: DataFrame) -> DataFrame:
 
 def udp_dns_gate(events: DataFrame, ports=C.STATIC_PORTS) -> DataFrame:
     dns = [p for p, proto in ports.items() if proto == "dns"]
-    return events.where((F.col("l4") != "udp") | F.col("dport").isin(dns))
+    return events.where(~F.col("l4").eqNullSafe("udp") | F.col("dport").isin(dns))
 
 
 def is_request(name: Column, is_server_fd: Column) -> Column:
@@ -151,5 +151,5 @@ def explode_multimsg(events: DataFrame, name: str = "sendmmsg") -> DataFrame:
              .select("*", F.posexplode(parts).alias("part", "__p"))
              .withColumn("data", F.substr("data", (F.col("__p.off") + 1).cast("int"), F.col("__p.size").cast("int")))
              .withColumn("res", F.octet_length("data").cast("long")).drop("__p"))
-    single = events.where(F.col("name") != name).withColumn("part", F.lit(0))
+    single = events.where(~F.col("name").eqNullSafe(name)).withColumn("part", F.lit(0))
     return single.unionByName(multi.select(*single.columns))

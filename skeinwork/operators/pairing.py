@@ -40,7 +40,7 @@ def number_pairs(events: DataFrame, slice_ns: int = scan.DEFAULT_SLICE_NS, keys:
     slices = slices.withColumn("__base", F.col("__head") + F.coalesce(
         F.sum(F.col("__n") + F.col("__head")).over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     local = flagged.withColumn("__local", F.sum("__open").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = local.join(slices.select(*keys, s, "__base"), [*keys, s])
+    out = scan.join_same(local, slices.select(*keys, s, "__base"), [*keys, s])
     return out.select(*events.columns, (F.col("__base") + F.col("__local")).cast("long").alias("pair_no"))
 
 
@@ -71,7 +71,7 @@ def summarize_pairs(numbered: DataFrame, labels: list[str] = (), payload: bool =
     aggs += [F.min_by(c, ordq).alias(c) for c in labels]
     pairs = numbered.groupBy(*KEY, "pair_no").agg(*aggs)
     if payload:
-        pairs = pairs.join(_payloads(numbered, snap), [*KEY, "pair_no"], "left")
+        pairs = scan.join_same(pairs, _payloads(numbered, snap), [*KEY, "pair_no"], "left")
     return pairs
 
 
@@ -131,8 +131,8 @@ def connect_fail_records(pairs: DataFrame) -> DataFrame:
         "error_type": F.lit(C.CONNECT_FAIL), "is_slow": F.lit(False), "dnat_ip": F.lit(""), "dnat_port": F.lit(-1).cast("long")})
 
 
-def merge_continue(pairs: DataFrame, status: str = "status_code", chunk: int = 100_000) -> DataFrame:
-    """Put the request of a pair answered with status 100 in front of the next pair of the connection."""
+def merge_continue(pairs: DataFrame, status: str = "status_code", chunk: int = 100_000, snap: int = C.SNAP_BYTES) -> DataFrame:
+    """Put the request of a pair answered with status 100 in front of the next pair of the connection, up to ``snap`` bytes."""
     chunk_no = F.floor(F.col("pair_no") / F.lit(chunk))
     seen = scan.carry_last(pairs, KEY, ["pair_no"], {"__before": F.col(status)}, chunk_no)
     opened = F.when(F.coalesce("__before", F.lit(0)) == 100, 0).otherwise(1)
@@ -145,17 +145,17 @@ def merge_continue(pairs: DataFrame, status: str = "status_code", chunk: int = 1
     aggs = [v.alias(k) for k, v in kept.items()] + [F.max_by(c, n).alias(c) for c in rest]
     out = grouped.groupBy(*KEY, "__group").agg(*aggs).where(F.coalesce(F.col(status), F.lit(0)) != 100)
     if "request_data" in pairs.columns:
-        out = out.join(_chained_data(grouped), [*KEY, "__group"], "left")
+        out = scan.join_same(out, _chained_data(grouped, snap), [*KEY, "__group"], "left")
     return out.drop("__group")
 
 
-def _chained_data(grouped: DataFrame) -> DataFrame:
+def _chained_data(grouped: DataFrame, snap: int) -> DataFrame:
     """Request data of a chain cut to the snap length; as in ``_payloads`` the first ``snap`` parts are enough."""
     w = Window.partitionBy(*KEY, "__group").orderBy("pair_no")
     parts = grouped.where(F.octet_length("request_data") > 0).select(*KEY, "__group", "pair_no", "request_data")
-    first = parts.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= C.SNAP_BYTES)
+    first = parts.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= snap)
     joined = F.aggregate(F.array_sort(F.collect_list(F.struct("pair_no", "request_data"))), F.lit(b""), lambda acc, e: F.concat(acc, e["request_data"]))
-    return first.groupBy(*KEY, "__group").agg(F.substring(joined, 1, C.SNAP_BYTES).alias("request_data"))
+    return first.groupBy(*KEY, "__group").agg(F.substring(joined, 1, snap).alias("request_data"))
 
 
 DNS_KEY = ["pid", "fd", "sip", "dip", "sport", "dport", "dns_id"]

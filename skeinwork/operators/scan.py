@@ -5,11 +5,14 @@ into slices of consecutive rows (usually time slices). Rows are windowed inside
 per (key, slice) is scanned over the slices of a key, and what it carries is joined back. The largest unit of
 work is then one slice, or the slice count of one key, never the rows of one key.
 
-Keys must not be null, and ``slice_`` has to be a non-decreasing function of the order columns.
+A null key is a key, and ``slice_`` has to be a non-decreasing function of the order columns.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,13 @@ def _slice_window(keys):
     return Window.partitionBy(*keys).orderBy(SLICE)
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null."""
+    there = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return left.join(there, same, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def carry_last(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], slice_: Column,
                where: Column | None = None) -> DataFrame:
     """Add, per row, the values of the latest earlier row of the key that satisfies ``where``."""
@@ -44,7 +54,7 @@ def carry_last(df: DataFrame, keys: list[str], order: list[str], values: dict[st
     carried = (tails.withColumn("__carry", F.last("__tail", ignorenulls=True)
                                 .over(_slice_window(keys).rowsBetween(Window.unboundedPreceding, -1)))
                .select(*keys, SLICE, "__carry"))
-    out = local.join(carried, [*keys, SLICE], "left").withColumn("__hit", F.coalesce("__local", "__carry"))
+    out = join_same(local, carried, [*keys, SLICE], "left").withColumn("__hit", F.coalesce("__local", "__carry"))
     keep = [F.col(c) for c in df.columns]
     return out.select(*keep, *[F.col(f"__hit.{n}").alias(n) for n in values])
 
@@ -57,7 +67,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
     bases = (rows.groupBy(*keys, SLICE).agg(F.sum("__v").alias("__n"))
              .withColumn("__base", F.sum("__n").over(_slice_window(keys).rowsBetween(Window.unboundedPreceding, -1)))
              .select(*keys, SLICE, "__base"))
-    out = local.join(bases, [*keys, SLICE], "left")
+    out = join_same(local, bases, [*keys, SLICE], "left")
     return out.select(*df.columns, (F.coalesce("__base", F.lit(0)) + F.col("__local")).alias(name))
 
 
@@ -69,7 +79,7 @@ def carry_next(df: DataFrame, keys: list[str], order: list[str], values: dict[st
     heads = (rows.groupBy(*keys, SLICE).agg(F.min_by("__v", F.struct(*order)).alias("__head"))
              .withColumn("__carry", F.lead("__head").over(_slice_window(keys)))
              .select(*keys, SLICE, "__carry"))
-    out = local.join(heads, [*keys, SLICE], "left").withColumn("__hit", F.coalesce("__local", "__carry"))
+    out = join_same(local, heads, [*keys, SLICE], "left").withColumn("__hit", F.coalesce("__local", "__carry"))
     return out.select(*df.columns, *[F.col(f"__hit.{n}").alias(n) for n in values])
 
 

@@ -202,7 +202,7 @@ def topology_metrics(env):
 
 _EXT_SQL = """SELECT src_namespace, dst_namespace, dst_pod, protocol, CASE WHEN dnat_ip <> '' AND dnat_port >= 1 THEN dnat_ip ELSE dst_ip END AS dst_ip,
   CASE WHEN dnat_ip <> '' AND dnat_port >= 1 THEN dnat_port ELSE dst_port END AS dst_port, is_slow, request_total_time, request_io, response_io
-  FROM (SELECT * REPLACE ('NOT_FOUND_EXTERNAL' AS src_namespace) FROM v_records WHERE is_server AND request_id % 3 = 0) r"""
+  FROM (SELECT * REPLACE ('NOT_FOUND_EXTERNAL' AS src_namespace) FROM v_records WHERE is_server) r"""
 
 
 @query("external_topology", f"""
@@ -211,7 +211,7 @@ SELECT dst_namespace, dst_pod, protocol, dst_ip, dst_port, metric, CAST(sum(v) A
   SELECT *, 'duration_nanoseconds_total' AS metric, request_total_time AS v FROM s UNION ALL SELECT *, 'request_bytes_total', request_io FROM s
   UNION ALL SELECT *, 'response_bytes_total', response_io FROM s UNION ALL SELECT *, 'total', 1 FROM s) t GROUP BY 1, 2, 3, 4, 5, 6""")
 def external_topology(env):
-    r = env.v_records.where("request_id % 3 = 0").withColumn("src_namespace", F.lit(C.EXTERNAL))
+    r = env.v_records.withColumn("src_namespace", F.lit(C.EXTERNAL))
     agg = aggregate.external_topology(aggregate.agg_net_requests(r))
     return agg.groupBy("dst_namespace", "dst_pod", "protocol", "dst_ip", "dst_port", "metric").agg(F.sum("value").cast("long").alias("value"))
 

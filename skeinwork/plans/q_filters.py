@@ -114,15 +114,19 @@ def udtf_multimsg(env):
     return parts.groupBy("pid").agg(F.count("*").alias("messages"), F.sum("res").cast("long").alias("bytes"))
 
 
-@query("payload_preview", """
-SELECT pid, seq, regexp_replace(left(CAST(regexp_replace(data, '[^\\x20-\\x7e]', '', 'g') AS VARCHAR), 200), '[^\\x20-\\x7e]', '.', 'g') AS preview,
-  regexp_replace(substr(CAST(regexp_replace(data, '[^\\x20-\\x7e]', '', 'g') AS VARCHAR), 17, 200), '[^\\x20-\\x7e]', '.', 'g') AS dubbo_preview
-FROM v_messages""")
+# Bytes outside printable ASCII as dots, one per byte; the longest text of whole characters within some bytes.
+_ASCII = "array_to_string(list_transform(string_split(data, ''), lambda c: CASE WHEN c BETWEEN ' ' AND '~' AND strlen(c) = 1 THEN c ELSE repeat('.', strlen(c)) END), '')"
+
+
+def _utf8_sql(col, limit):
+    return f"coalesce({', '.join(f'TRY(decode(encode({col})[1:{limit - k}]))' for k in range(4))})"
+
+
+@query("payload_preview", f"""
+SELECT pid, seq, left({_ASCII}, 200) AS preview, substr({_ASCII}, 17, 200) AS dubbo_preview, {_utf8_sql("data", 200)} AS http_preview FROM v_messages""")
 def payload_preview(env):
-    plain = F.regexp_replace("data", r"[^\x20-\x7e]", "")
-    m = env.v_messages.withColumn("plain", plain)
-    return m.select("pid", "seq", payload.payload_preview("plain", F.lit("mysql")).alias("preview"),
-                    payload.payload_preview("plain", F.lit("dubbo")).alias("dubbo_preview"))
+    made = [payload.payload_preview("data", F.lit(p)).alias(n) for p, n in (("mysql", "preview"), ("dubbo", "dubbo_preview"), ("http", "http_preview"))]
+    return env.v_messages.select("pid", "seq", *made)
 
 
 @query("static_port_protocol", """
@@ -335,10 +339,14 @@ _SQL_TEXT = """CASE o_orderkey % 8 WHEN 0 THEN concat('select * from ', lower(o_
 
 
 def _digest_sql(col):
+    flat = f"trim(regexp_replace({col}, '\\s+', ' ', 'g'))"
+    words = f"string_split({flat}, ' ')"
     out = "''"
     for verb, word in reversed(C.SQL_VERBS):
-        obj = f"regexp_extract({col}, '({word})(\\s+(\\S*)\\s*|\\n)', 3, 'i')"
-        out = (f"CASE WHEN regexp_matches({col}, '^\\s*{verb}', 'i') THEN CASE WHEN regexp_matches({obj}, '^[A-Za-z_-]+$') "
+        listed = ", ".join(f"'{w}'" for w in word.split("|"))
+        at = f"list_position(list_transform({words}, lambda w: lower(w) IN ({listed})), true)"
+        obj = f"coalesce({words}[{at} + 1], '')"
+        out = (f"CASE WHEN starts_with(lower({flat}), '{verb}') THEN CASE WHEN {at} > 0 AND {obj} <> '' AND NOT regexp_matches({obj}, '[^-_[:alpha:]]') "
                f"THEN concat('{verb} ', {obj}, ' *') ELSE '{verb} *' END ELSE {out} END")
     return out
 

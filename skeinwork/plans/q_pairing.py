@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skeinwork.functions.payload import utf8_text
 from skeinwork.operators import events, pairing
 from skeinwork.plans.catalog import query
+from skeinwork.plans.q_filters import _utf8_sql
 
 # Socket events with direction; NUMBERED gives each its pair number, PAIRS one row per pair.
 _EVENTS_SQL = """SELECT pid, fd, seq, ts_ns, latency_ns, res, tid, sport,
@@ -48,15 +50,15 @@ def pair_requests(env):
     return pairing.pair_requests(socket_events(env))
 
 
-@query("pair_requests_payload", f"""
-SELECT pid, fd, CAST(pair_no AS BIGINT) AS pair_no, left(string_agg(CASE WHEN is_request THEN data ELSE '' END, '' ORDER BY ts_ns, seq), 1000) AS request_data,
-  left(string_agg(CASE WHEN is_request THEN '' ELSE data END, '' ORDER BY ts_ns, seq), 1000) AS response_data
-FROM ({_numbered("SELECT pid, fd, seq, ts_ns, is_request, 0 AS sport, regexp_replace(data, '[^ -~]', '', 'g') AS data FROM v_messages")}) n
-WHERE pair_no > 0 GROUP BY pid, fd, pair_no""")
+_PAYLOAD = f"""SELECT pid, fd, CAST(pair_no AS BIGINT) AS pair_no, string_agg(CASE WHEN is_request THEN data ELSE '' END, '' ORDER BY ts_ns, seq) AS q,
+  string_agg(CASE WHEN is_request THEN '' ELSE data END, '' ORDER BY ts_ns, seq) AS r
+  FROM ({_numbered("SELECT pid, fd, seq, ts_ns, is_request, 0 AS sport, data FROM v_messages")}) n WHERE pair_no > 0 GROUP BY pid, fd, pair_no"""
+
+
+@query("pair_requests_payload", f"SELECT pid, fd, pair_no, {_utf8_sql('q', 1000)} AS request_data, {_utf8_sql('r', 1000)} AS response_data FROM ({_PAYLOAD}) p")
 def pair_requests_payload(env):
-    m = env.v_messages.withColumn("data", F.regexp_replace("data", "[^ -~]", ""))
-    p = pairing.pair_requests(m, payload=True)
-    return p.select("pid", "fd", "pair_no", *[F.coalesce(F.decode(c, "UTF-8"), F.lit("")).alias(c) for c in ("request_data", "response_data")])
+    p = pairing.pair_requests(env.v_messages, payload=True)
+    return p.select("pid", "fd", "pair_no", *[F.coalesce(utf8_text(F.col(c)), F.lit("")).alias(c) for c in ("request_data", "response_data")])
 
 
 @query("phase_split", f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skeinwork.functions.registry import register_enricher as register
 from skeinwork.operators import enrich
 from skeinwork.plans.catalog import query
-from skeinwork.plans.q_filters import _SQL_TEXT, _digest_sql
+from skeinwork.plans.q_filters import _ASCII, _SQL_TEXT, _digest_sql
 
 
 def be(col, width):
@@ -21,7 +21,7 @@ def raw(*parts):
 
 # --- http -----------------------------------------------------------------------------------------------------
 
-_HTTP = """SELECT page_id, path, CASE page_id % 6 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'ET' WHEN 3 THEN 'BAD' WHEN 4 THEN 'DELETE' ELSE 'OPTIONS' END AS m,
+_HTTP = """SELECT page_id, CASE page_id % 5 WHEN 0 THEN concat(path, '/café/menü') WHEN 3 THEN concat(path, '-東京/😀x') ELSE path END AS path, CASE page_id % 6 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'ET' WHEN 3 THEN 'BAD' WHEN 4 THEN 'DELETE' ELSE 'OPTIONS' END AS m,
   CASE page_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 100 WHEN 3 THEN 1200 ELSE 503 END AS status,
   CASE WHEN page_id % 7 = 0 THEN 'HTTP/2.0' ELSE 'HTTP/1.1' END AS version, md5(url) AS h FROM v_urls"""
 _HTTP_OK = "m <> 'BAD' AND (m <> 'ET' OR starts_with(path, '/')) AND (page_id % 11 = 0 OR version = 'HTTP/1.1')"
@@ -46,7 +46,7 @@ def enrich_http(env):
 
 # --- mysql ----------------------------------------------------------------------------------------------------
 
-_MYSQL = f"""SELECT o_orderkey, CAST(o_orderkey % 9 AS INT) AS c, o_custkey % 3 AS r, 1000 + o_orderkey % 99 AS code, {_SQL_TEXT} AS q FROM orders"""
+_MYSQL = f"""SELECT o_orderkey, CAST(o_orderkey % 9 AS INT) AS c, o_custkey % 3 AS r, 1000 + o_orderkey % 99 AS code, concat({_SQL_TEXT}, CASE WHEN o_custkey % 2 = 0 THEN ' /* Orléans, 東京 😀 */' ELSE '' END) AS q FROM orders"""
 
 
 def mysql_pairs(env):
@@ -147,10 +147,10 @@ def enrich_rocketmq_json(env):
     return enrich.enrich_rocketmq_json(p).where("matched").drop("matched", "request_data", "response_data")
 
 
-@query("enrich_generic", """
-SELECT pid, seq, 'NOSUPPORT' AS protocol, left(regexp_replace(data, '[^ -~]', '', 'g'), 200) AS request_payload FROM v_messages""")
+@query("enrich_generic", f"""
+SELECT pid, seq, 'NOSUPPORT' AS protocol, left({_ASCII}, 200) AS request_payload FROM v_messages""")
 def enrich_generic(env):
-    p = env.v_messages.select("pid", "seq", F.regexp_replace("data", "[^ -~]", "").cast("binary").alias("request_data"), F.lit(None).cast("binary").alias("response_data"))
+    p = env.v_messages.select("pid", "seq", F.col("data").cast("binary").alias("request_data"), F.lit(None).cast("binary").alias("response_data"))
     return enrich.enrich_generic(p).select("pid", "seq", "protocol", "request_payload")
 
 

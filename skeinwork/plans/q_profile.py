@@ -75,12 +75,12 @@ def thread_logs(env):
 
 _LOCKS = f"""SELECT pid, tid, day, greatest(s, lo_ns) AS start_ns, least(e, hi_ns) AS end_ns, e - s - greatest(lo_ns - s, 0) - greatest(e - hi_ns, 0) AS time_ns, concat('0x', k) AS address, waiter
   FROM (SELECT *, day * 86400000000000 + 21600000000000 AS lo_ns, day * 86400000000000 + 64800000000000 AS hi_ns FROM (
-    SELECT pid, tid, {_RANGE} AS day, ts_ns AS s, ts_ns + latency_ns * 1000 AS e, k, CASE WHEN k % 3 = 0 THEN '' ELSE CAST(pid * 10 + k % 6 AS VARCHAR) END AS waiter FROM v_socket_events WHERE k % 2 = 0) a) b
+    SELECT pid, tid, {_RANGE} AS day, ts_ns AS s, ts_ns + latency_ns * 1000 AS e, k, CASE WHEN k % 3 = 0 THEN '' ELSE CAST(pid * 10 + k % 6 AS VARCHAR) END AS waiter FROM v_socket_events) a) b
   WHERE e > lo_ns AND s < hi_ns"""
 
 
 def locks(env):
-    e = env.v_socket_events.where("k % 2 = 0").withColumn("day", F.floor(F.col("ts_ns") / DAY))
+    e = env.v_socket_events.withColumn("day", F.floor(F.col("ts_ns") / DAY))
     k = F.col("k")
     waiter = F.when(k % 3 == 0, "-1").otherwise((F.col("pid") * 10 + k % 6).cast("string"))
     data = F.concat(F.lit("a!b!c!0x"), k.cast("string"), F.lit("!Enter!f!g!"), waiter, F.lit("!stack!"))
@@ -146,7 +146,7 @@ def trace_bounds(env):
 
 
 _TR = """SELECT seq AS trace_key, pid, tid AS request_tid, tid + 1 AS response_tid, ts_ns AS start_ns, ts_ns + latency_ns * 10000 AS end_ns,
-  CASE WHEN k % 4 = 0 THEN 'known' ELSE '' END AS trace_id FROM v_socket_events WHERE k % 3 = 0"""
+  CASE WHEN k % 4 = 0 THEN 'known' ELSE '' END AS trace_id FROM v_socket_events"""
 
 
 @query("resolve_trace_id", f"""
@@ -249,7 +249,7 @@ def stack_levels(env):
 
 # --- attachments ----------------------------------------------------------------------------------------------
 
-_TRACES = "SELECT seq AS trace_key, pid, ts_ns AS start_ns, ts_ns + latency_ns * 1000 AS end_ns FROM v_socket_events WHERE k % 10 = 0"
+_TRACES = "SELECT seq AS trace_key, pid, ts_ns AS start_ns, ts_ns + latency_ns * 1000 AS end_ns FROM v_socket_events"
 
 
 @query("trace_segments", f"""

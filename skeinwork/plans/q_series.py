@@ -74,7 +74,9 @@ def rpt_latency_quantile(env):
     return series.histogram_quantile(time_buckets(http, ["dst_namespace", "protocol"]), ["dst_namespace", "protocol"], 0.99)
 
 
-@query("series_and", f"SELECT {_K}, ts, value FROM ({_WRAP}) l WHERE EXISTS (SELECT 1 FROM v_series r WHERE r.protocol = 'http' AND r.total > 40 AND r.src_namespace = l.src_namespace AND r.dst_namespace = l.dst_namespace)")
+@query("series_and", f"""
+WITH kept AS MATERIALIZED (SELECT DISTINCT src_namespace, dst_namespace FROM v_series WHERE protocol = 'http' AND total > 40), l AS MATERIALIZED ({_WRAP})
+SELECT {_K}, ts, value FROM l SEMI JOIN kept USING (src_namespace, dst_namespace)""")
 def series_and(env):
     right = env.v_series.where("protocol = 'http' AND total > 40")
     return series.series_and(env.sql(_WRAP), right, ["src_namespace", "dst_namespace"])

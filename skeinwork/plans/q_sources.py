@@ -51,7 +51,7 @@ def scan_records(env):
 
 def _trace_files(env):
     """One block file per task: traces and two segments of each, in the stored form."""
-    t = env.v_socket_events.where("k % 10 = 0")
+    t = env.v_socket_events
     trace = sinks.to_record(F.lit("trace"), {"pid": F.col("pid"), "protocol": F.lit("http")}, {"request_total_time": F.col("latency_ns")}, F.col("ts_ns"))
     cpu = F.to_json(F.array(F.struct(F.col("ts_ns").alias("startTime"), (F.col("ts_ns") + F.col("latency_ns")).alias("endTime"), F.array("latency_ns").alias("typeSpecs"),
                                      F.array(F.lit(0)).alias("timeType"), F.lit("").alias("onInfo"), F.lit("").alias("offInfo"), F.lit("").alias("log"), F.lit("").alias("stack"))))
@@ -61,8 +61,8 @@ def _trace_files(env):
 
 
 @query("scan_trace_files", """
-SELECT 'trace' AS kind, pid, ts_ns AS at_ns, latency_ns AS value, 0 AS cpu_events FROM v_socket_events WHERE k % 10 = 0
-UNION ALL SELECT 'segment', pid, ts_ns, tid, 1 FROM v_socket_events WHERE k % 10 = 0 UNION ALL SELECT 'segment', pid, ts_ns, tid + 1, 0 FROM v_socket_events WHERE k % 10 = 0""")
+SELECT 'trace' AS kind, pid, ts_ns AS at_ns, latency_ns AS value, 0 AS cpu_events FROM v_socket_events
+UNION ALL SELECT 'segment', pid, ts_ns, tid, 1 FROM v_socket_events UNION ALL SELECT 'segment', pid, ts_ns, tid + 1, 0 FROM v_socket_events""")
 def scan_trace_files(env):
     path = work_dir(env.spark, "traces")
     _trace_files(env).write.option("lineSep", "\n------\n").text(path)
@@ -229,17 +229,17 @@ def skip_sent(env):
     return traces.skip_sent(env.v_segments.select(*keys), env.v_segments.where("cpu_type = 3").select(*keys), keys)
 
 
-_STATES = """SELECT pid, concat('10.0.0.', fd) AS src_ip, sport AS src_port, '10.1.0.1' AS dst_ip, dport AS dst_port, seq, ts_ns FROM v_socket_events WHERE k % 2 = 0"""
+_STATES = """SELECT pid, concat('10.0.0.', fd) AS src_ip, sport AS src_port, '10.1.0.1' AS dst_ip, dport AS dst_port, seq, ts_ns FROM v_socket_events"""
 
 
 @query("expire_connections", f"""
 SELECT seq, CASE WHEN state IS NULL THEN 'failure' WHEN state IN ('02', '03') THEN NULL ELSE 'success' END AS outcome FROM ({_STATES}) a LEFT JOIN (
-  SELECT pid, concat('10.0.0.', fd) AS src_ip, min(CASE pid % 4 WHEN 0 THEN '01' WHEN 1 THEN '02' ELSE '06' END) AS state FROM v_socket_events WHERE k % 9 = 0 GROUP BY 1, 2) s USING (pid, src_ip)
+  SELECT pid, concat('10.0.0.', fd) AS src_ip, min(CASE pid % 4 WHEN 0 THEN '01' WHEN 1 THEN '02' ELSE '06' END) AS state FROM v_socket_events WHERE fd = 1 GROUP BY 1, 2) s USING (pid, src_ip)
 WHERE pid <> 0 AND ts_ns <= (SELECT max(ts_ns) FROM v_socket_events) - 86400000000000""")
 def expire_connections(env):
     from skeinwork.operators.connects import expire
     e = env.v_socket_events
-    socks = e.where("k % 9 = 0").groupBy("pid", F.concat(F.lit("10.0.0."), F.col("fd").cast("string")).alias("local_ip"), F.col("sport").alias("local_port"), F.col("dport").alias("remote_port")).agg(
+    socks = e.where("fd = 1").groupBy("pid", F.concat(F.lit("10.0.0."), F.col("fd").cast("string")).alias("local_ip"), F.col("sport").alias("local_port"), F.col("dport").alias("remote_port")).agg(
         F.min(F.when(F.col("pid") % 4 == 0, "01").when(F.col("pid") % 4 == 1, "02").otherwise("06")).alias("state")).withColumn("remote_ip", F.lit("10.1.0.1"))
     now = e.agg(F.max("ts_ns")).scalar()
     return expire(env.sql(_STATES).withColumnRenamed("ts_ns", "first_ns"), socks, now, wait_s=86_400).select("seq", "outcome")

@@ -146,13 +146,13 @@ def conn_failures(env):
 
 
 @query("topology_overlay", f"""
-WITH t AS (SELECT src_namespace AS source, dst_namespace AS target, CAST(sum(calls) AS BIGINT) AS calls FROM v_edge_agg WHERE src_namespace <= 'ASIA' AND src_namespace <> dst_namespace GROUP BY 1, 2),
-f AS (SELECT source, target, {_FAIL} AS conn_fail FROM ({_CONN}) c WHERE source < target)
+WITH t AS (SELECT src_namespace AS source, dst_namespace AS target, CAST(sum(calls) AS BIGINT) AS calls FROM v_edge_agg WHERE src_namespace <> dst_namespace GROUP BY 1, 2),
+f AS (SELECT source, target, {_FAIL} AS conn_fail FROM ({_CONN}) c)
 SELECT coalesce(t.source, f.source) AS source, coalesce(t.target, f.target) AS target, calls, conn_fail FROM t FULL JOIN f ON t.source = f.source AND t.target = f.target""")
 def topology_overlay(env):
-    e = env.v_edge_agg.where("src_namespace <= 'ASIA' AND src_namespace <> dst_namespace")
+    e = env.v_edge_agg.where("src_namespace <> dst_namespace")
     traffic = e.groupBy(F.col("src_namespace").alias("source"), F.col("dst_namespace").alias("target")).agg(F.sum("calls").cast("long").alias("calls"))
-    return topology.overlay(traffic, connect_edges(env).where("source < target")).select("source", "target", "calls", "conn_fail")
+    return topology.overlay(traffic, connect_edges(env)).select("source", "target", "calls", "conn_fail")
 
 
 @query("edge_status", f"""

@@ -12,7 +12,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinwork.session import pin_session
-from skeinwork.sources.events import spread
+from skeinwork.sources.events import scan_table
+
+# Session setting: deal every table to so many partitions when it is read. Unset, splits are those of spark.sql.files.*.
+PARTITIONS = "spark.skeinwork.inputPartitions"
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -229,7 +232,7 @@ FROM (SELECT src_workload_name, dst_workload_name, src_namespace, CAST(floor(ts_
 VIEWS["v_trace_metric"] = """
 SELECT src_namespace, src_workload_name, dst_workload_name, protocol, dst_ip, max(request_id) AS last_id,
        CAST(max(request_total_time) AS BIGINT) AS duration
-FROM v_records WHERE NOT is_server AND is_slow AND request_id % 3 = 0 GROUP BY 1, 2, 3, 4, 5
+FROM v_records WHERE NOT is_server AND is_slow GROUP BY 1, 2, 3, 4, 5
 """
 VIEWS["v_entity_series"] = """
 SELECT namespace, workload_name, protocol, response_content, day,
@@ -293,6 +296,8 @@ class Env:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = pin_session(spark)
         self.sf_dir = sf_dir.rstrip("/")
+        dealt = spark.conf.get(PARTITIONS, None)
+        self.partitions = int(dealt) if dealt else None
         self._frames: dict[str, DataFrame] = {}
 
     def path(self, table: str) -> str:
@@ -300,7 +305,7 @@ class Env:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self._frame(name, lambda: spread(self.spark.read.parquet(self.path(name))))
+            return self._frame(name, lambda: scan_table(self.spark, self.path(name), self.partitions))
         if name in VIEWS:
             return self._frame(name, lambda: self.sql(VIEWS[name]))
         raise AttributeError(name)

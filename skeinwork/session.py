@@ -26,9 +26,14 @@ def build_session(master: str | None = None, app: str = "skeinwork", **conf: str
 
 
 def pin_session(spark: SparkSession) -> SparkSession:
-    """Time values are integer nanoseconds in UTC; casts must not depend on the host zone."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
+    """A session of its own (tables and cache are shared) in UTC: time values are integer nanoseconds, and casts must not
+    depend on the host zone. The caller's session keeps its settings."""
+    if spark.conf.get("spark.sql.session.timeZone") == "UTC":
+        return spark
+    own = spark.newSession()
+    for key, value in SESSION_CONF.items():
+        own.conf.set(key, value)
+    return own
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:

@@ -8,16 +8,10 @@ from pyspark.sql import functions as F
 from skeinwork.schema import EVENT, RECORD
 
 
-def spread(df: DataFrame, least_bytes: int = 1_000_000) -> DataFrame:
-    """Spread an input that comes in fewer splits than there are task slots (a few files with one row group each).
-
-    Inputs with enough splits, as every large table has, are left alone: no shuffle is added to them.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= slots:
-        return df
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(slots) if int(str(size)) >= least_bytes else df
+def scan_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A parquet table; with ``partitions`` its rows are dealt to so many tasks (for a few files with one row group each)."""
+    table = spark.read.parquet(path)
+    return table if partitions is None else table.repartition(partitions)
 
 
 def scan_events(spark: SparkSession, path: str, fmt: str = "parquet", streaming: bool = False, schema=EVENT, **options: str) -> DataFrame:

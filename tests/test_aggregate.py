@@ -51,3 +51,10 @@ def test_edge_helpers(spark):
     assert rows(topology.opposite_edge(e), "source", "target", "opposite") == [("a", "b", False), ("a", "c", False), ("b", "a", True)]
     f = spark.createDataFrame([("a", "b", 5.0), ("x", "y", 7.0)], "source string, target string, conn_fail double")
     assert rows(topology.overlay(e.select("source", "target"), f)) == [("a", "b", 5.0), ("a", "c", None), ("b", "a", None), ("x", "y", 7.0)]
+
+
+def test_histograms_with_other_bounds_are_an_error(spark):
+    rows = [("a", (3, 2, [1, 2], [1, 2])), ("a", (30, 2, [10, 20], [1, 2]))]
+    df = spark.createDataFrame(rows, "k string, h struct<sum:bigint,count:bigint,bounds:array<bigint>,buckets:array<bigint>>")
+    with pytest.raises(Exception, match="different bounds"):
+        aggregate.merge_histograms(df, ["k"], "h", 2).collect()

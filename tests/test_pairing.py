@@ -103,3 +103,23 @@ def test_enrich_edges(spark):
     redis = [(bytearray(b"*2\r\n$3\r\nget\r\n$1\r\nk\r\n"), bytearray(b"-ERR x\r\n")), (bytearray(b"*2\r\n$3\r\nget\r\n$9\r\nk"), None), (bytearray(b"$3\r\nget"), None)]
     out = enrich.enrich_redis(spark.createDataFrame(redis, "request_data binary, response_data binary"))
     assert [tuple(r) for r in out.select("matched", "redis_command", "redis_error_msg").collect()] == [(True, "get", "ERR x"), (False, None, None), (True, "get", None)]
+
+
+def test_null_keys_and_long_payloads(spark):
+    events = spark.createDataFrame([
+        (None, 3, 1, 100, 10, 600, 7, 5000, True, "q" * 600), (None, 3, 2, 200, 10, 900, 7, 5000, False, "r" * 900),
+        (8, None, 3, 100, 10, 2000, 7, 5000, True, "s" * 2000), (8, None, 4, 200, 10, 1, 7, 5000, False, "t")],
+        "pid long, fd long, seq long, ts_ns long, latency_ns long, res long, tid long, sport long, is_request boolean, data string")
+    pairs = pairing.pair_requests(events, payload=True, snap=5000)
+    got = sorted((str(r.pid), str(r.fd), len(r.request_data), len(r.response_data)) for r in pairs.collect())
+    assert got == [("8", "None", 2000, 1), ("None", "3", 600, 900)]
+    chained = pairing.merge_continue(pairs.withColumn("status_code", F.lit(200)), snap=5000)
+    assert sorted(len(r.request_data) for r in chained.collect()) == [600, 2000]
+
+
+def test_gates_keep_rows_without_the_tested_value(spark):
+    from skeinwork.operators import events
+
+    df = spark.createDataFrame([(None, None, 1, None), ("java", "tcp", 2, "read")], "comm string, l4 string, dport int, name string").withColumn("data", F.lit(b""))
+    assert events.suppress_comm(df).count() == 2 and events.udp_dns_gate(df).count() == 2
+    assert events.explode_multimsg(df.withColumn("res", F.lit(0).cast("long"))).count() == 2
