@@ -25,6 +25,20 @@ def time_slice(ts: str | Column, width_ns: int = DEFAULT_SLICE_NS) -> Column:
     return F.floor(col / F.lit(width_ns))
 
 
+def sliced(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt by key and slice, once for the windows inside slices and the summaries of slices.
+
+    Both are planned on this exchange. Summaries take whole rows (``whole``), so that they need the same columns of it and
+    Spark runs it and what is below it once.
+    """
+    return df.repartition(*keys, SLICE)
+
+
+def whole(df: DataFrame, first: str) -> Column:
+    """A struct of ``first`` and all columns."""
+    return F.struct(F.col(first).alias("__first"), *[F.col(c).alias(f"__c{k}") for k, c in enumerate(df.columns)])
+
+
 def _rows_window(keys, order):
     return Window.partitionBy(*keys, SLICE).orderBy(*order)
 
@@ -46,11 +60,12 @@ def carry_last(df: DataFrame, keys: list[str], order: list[str], values: dict[st
     packed = F.struct(*[v.alias(n) for n, v in values.items()])
     if where is not None:
         packed = F.when(where, packed)
-    rows = df.withColumn(SLICE, slice_).withColumn("__v", packed)
+    rows = sliced(df.withColumn(SLICE, slice_).withColumn("__v", packed), keys)
     before = _rows_window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("__local", F.last("__v", ignorenulls=True).over(before))
     # One summary row per slice; a slice without a qualifying row has a null tail and passes the carry on.
-    tails = rows.groupBy(*keys, SLICE).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__tail"))
+    tails = rows.groupBy(*keys, SLICE).agg(F.max_by(whole(rows, "__v"), F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__t"))
+    tails = tails.select(*keys, SLICE, F.col("__t.__first").alias("__tail"))
     carried = (tails.withColumn("__carry", F.last("__tail", ignorenulls=True)
                                 .over(_slice_window(keys).rowsBetween(Window.unboundedPreceding, -1)))
                .select(*keys, SLICE, "__carry"))
@@ -61,10 +76,12 @@ def carry_last(df: DataFrame, keys: list[str], order: list[str], values: dict[st
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, slice_: Column) -> DataFrame:
     """Add the running sum of ``value`` including the current row."""
-    rows = df.withColumn(SLICE, slice_).withColumn("__v", value)
+    rows = sliced(df.withColumn(SLICE, slice_).withColumn("__v", value), keys)
     upto = _rows_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("__local", F.sum("__v").over(upto))
-    bases = (rows.groupBy(*keys, SLICE).agg(F.sum("__v").alias("__n"))
+    # The running sum at a slice's last row is the slice's sum.
+    ends = local.groupBy(*keys, SLICE).agg(F.max_by(whole(local, "__local"), F.struct(*order)).alias("__t"))
+    bases = (ends.select(*keys, SLICE, F.col("__t.__first").alias("__n"))
              .withColumn("__base", F.sum("__n").over(_slice_window(keys).rowsBetween(Window.unboundedPreceding, -1)))
              .select(*keys, SLICE, "__base"))
     out = join_same(local, bases, [*keys, SLICE], "left")
@@ -74,10 +91,10 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
 def carry_next(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], slice_: Column) -> DataFrame:
     """Add, per row, the values of the following row of the key (null at the end)."""
     packed = F.struct(*[v.alias(n) for n, v in values.items()])
-    rows = df.withColumn(SLICE, slice_).withColumn("__v", packed)
+    rows = sliced(df.withColumn(SLICE, slice_).withColumn("__v", packed), keys)
     local = rows.withColumn("__local", F.lead("__v").over(_rows_window(keys, order)))
-    heads = (rows.groupBy(*keys, SLICE).agg(F.min_by("__v", F.struct(*order)).alias("__head"))
-             .withColumn("__carry", F.lead("__head").over(_slice_window(keys)))
+    heads = (rows.groupBy(*keys, SLICE).agg(F.min_by(whole(rows, "__v"), F.struct(*order)).alias("__t"))
+             .select(*keys, SLICE, F.col("__t.__first").alias("__head")).withColumn("__carry", F.lead("__head").over(_slice_window(keys)))
              .select(*keys, SLICE, "__carry"))
     out = join_same(local, heads, [*keys, SLICE], "left").withColumn("__hit", F.coalesce("__local", "__carry"))
     return out.select(*df.columns, *[F.col(f"__hit.{n}").alias(n) for n in values])
