@@ -86,6 +86,27 @@ def retention(files: DataFrame, group: list[str], mtime: str, tie: str, limit: i
     return newest.join(counts, group).where(keep).drop("__rn", "__n")
 
 
+def listing(df: DataFrame, order: list[tuple[str, bool]], size: int, after: tuple | None = None, more: str = "more") -> DataFrame:
+    """The first ``size`` rows in order of ``order`` (column, descending) behind the row with the key ``after``.
+
+    ``more`` says whether rows are left behind the page; the key of its last row is the next page's ``after``. Key columns
+    are not null and name a row. The row limit is applied in every task before the rows meet.
+    """
+    if after is not None:
+        behind, equal = F.lit(False), F.lit(True)
+        for (name, down), value in zip(order, after, strict=True):
+            col = F.col(name)
+            behind = behind | (equal & (col < value if down else col > value))
+            equal = equal & (col == value)
+        df = df.where(behind)
+    sort = [F.desc(name) if down else F.asc(name) for name, down in order]
+    found = df.orderBy(*sort).limit(size + 1)
+    # At most size + 1 rows are left.
+    w = Window.orderBy(*sort)
+    ranked = found.withColumns({"__rn": F.row_number().over(w), "__n": F.count("*").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    return ranked.where(F.col("__rn") <= size).withColumn(more, F.col("__n") > size).drop("__rn", "__n")
+
+
 def page(df: DataFrame, key: str, after, size: int) -> DataFrame:
     """One page by keyset: rows behind the last key of the page before."""
     src = df if after is None else df.where(F.col(key) > after)

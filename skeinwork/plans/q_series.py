@@ -101,18 +101,21 @@ def topk(env):
 _TL = "is_server AND protocol = 'http' AND ts_ns >= 800000000000000000 AND ts_ns <= 900000000000000000"
 
 
-@query("trace_list", f"""SELECT request_id, ts_ns, request_total_time, dst_pod FROM v_requests WHERE {_TL} ORDER BY ts_ns DESC, request_id DESC, request_total_time DESC, dst_pod DESC LIMIT 100""")
+@query("trace_list", f"""SELECT request_id, ts_ns, request_total_time, dst_pod, (SELECT count(*) > 100 FROM v_requests WHERE {_TL}) AS more FROM v_requests
+WHERE {_TL} ORDER BY ts_ns DESC, request_id DESC, request_total_time DESC, dst_pod DESC LIMIT 100""")
 def trace_list(env):
-    return (env.v_requests.where(_TL).select("request_id", "ts_ns", "request_total_time", "dst_pod")
-            .orderBy(F.desc("ts_ns"), F.desc("request_id"), F.desc("request_total_time"), F.desc("dst_pod")).limit(100))
+    rows = env.v_requests.where(_TL).select("request_id", "ts_ns", "request_total_time", "dst_pod")
+    return series.listing(rows, [("ts_ns", True), ("request_id", True), ("request_total_time", True), ("dst_pod", True)], 100)
 
 
 _SL = "pid = 10 AND start_ns <= 1705300000000000000 AND end_ns >= 1704300000000000000"
 
 
-@query("segment_list", f"SELECT seq, pid, tid, start_ns, end_ns FROM v_segments WHERE {_SL} ORDER BY tid DESC, start_ns, seq LIMIT 10000")
+@query("segment_list", f"""SELECT seq, pid, tid, start_ns, end_ns, (SELECT count(*) > 10000 FROM v_segments WHERE {_SL}) AS more FROM v_segments WHERE {_SL}
+ORDER BY tid DESC, start_ns, seq LIMIT 10000""")
 def segment_list(env):
-    return env.v_segments.where(_SL).select("seq", "pid", "tid", "start_ns", "end_ns").orderBy(F.desc("tid"), "start_ns", "seq").limit(10000)
+    rows = env.v_segments.where(_SL).select("seq", "pid", "tid", "start_ns", "end_ns")
+    return series.listing(rows, [("tid", True), ("start_ns", False), ("seq", False)], 10_000)
 
 
 @query("paged_search", """

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinwork.session import drop_folder
+
 Step = Callable[[DataFrame, DataFrame, int], tuple[DataFrame, DataFrame]]
 
 
@@ -39,6 +41,9 @@ class StatefulStream:
         emitted.write.mode("overwrite").parquet(f"{self.root}/out/batch={batch_id}")
         new.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.root}/state/v={batch_id}")
         spark.range(1).select(F.lit(clock).cast("long").alias("clock")).write.mode("overwrite").parquet(f"{self.root}/clock/v={batch_id}")
+        # A batch that runs again reads the version before it; older ones are not read any more.
+        for kind in ("state", "clock"):
+            drop_folder(spark, f"{self.root}/{kind}/v={batch_id - 2}")
 
     def start(self, source: DataFrame, **trigger):
         writer = source.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.root}/checkpoint")

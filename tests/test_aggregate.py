@@ -58,3 +58,16 @@ def test_histograms_with_other_bounds_are_an_error(spark):
     df = spark.createDataFrame(rows, "k string, h struct<sum:bigint,count:bigint,bounds:array<bigint>,buckets:array<bigint>>")
     with pytest.raises(Exception, match="different bounds"):
         aggregate.merge_histograms(df, ["k"], "h", 2).collect()
+
+
+def test_listing_pages(spark):
+    df = spark.createDataFrame([(k % 7, k) for k in range(50)], "a int, b long").repartition(4)
+    want = sorted(((k % 7, k) for k in range(50)), key=lambda r: (-r[0], r[1]))
+    got, after, more = [], None, True
+    while more:
+        page = series.listing(df, [("a", True), ("b", False)], 12, after).collect()
+        got += sorted(((r.a, r.b) for r in page), key=lambda r: (-r[0], r[1]))
+        after, more = got[-1], page[0].more
+        assert len({r.more for r in page}) == 1
+    assert got == want
+    assert series.listing(df.where("b < 0"), [("a", True)], 5).count() == 0
