@@ -183,9 +183,11 @@ def _initial(rows: DataFrame) -> DataFrame:
 
 def _concentrate(rows: DataFrame, fits: DataFrame, share: float) -> DataFrame:
     """A C-step: estimates from the ``share`` of each key's rows that are nearest under the last estimates."""
-    near = rows.join(fits, "key").select("key", "start", "x", _distance("x", "center", "whiten").alias("d"))
-    limit = near.groupBy("key", "start").agg(F.percentile_approx("d", share, 10_000).alias("limit"))
-    inner = near.join(limit.select("key", F.col("start").alias("_s"), "limit"), "key").where((F.col("start") == F.col("_s")) & (F.col("d") <= F.col("limit")))
+    near = rows.join(fits, "key").select("key", "start", _distance("x", "center", "whiten").alias("d"))
+    limits = near.groupBy("key", "start").agg(F.percentile_approx("d", share, 10_000).alias("limit"))
+    # Written, so that Spark knows the size of what meets the rows: they are not shuffled while it can be broadcast.
+    bounded = stage(fits.join(limits, ["key", "start"]), "limits")
+    inner = rows.join(bounded, "key").where(_distance("x", "center", "whiten") <= F.col("limit")).select("key", "start", "x")
     return stage(_estimate(inner.groupBy("key", "start").agg(*_moments())), "mcd")
 
 
