@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.session import stage, work_dir
 
-__all__ = ["by_text", "drop_folder", "fresh", "null_safe_key", "stage", "texts", "work_dir"]
+__all__ = ["by_text", "drop_folder", "fresh", "held", "null_safe_key", "stage", "texts", "work_dir"]
 
 
 def texts(column: pa.Array) -> list[str]:
@@ -18,6 +18,18 @@ def texts(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+_HELD: dict = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """The object that this worker process keeps under ``key``. It keeps one: workers serve one stage after another, and what
+    an earlier stage needed (a cache, an index) gives way. ``key`` must be unique to what is made, not an ``id()``."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def by_text(make: Callable[[], Callable[[str], object]], returns: str, arrow_type: pa.DataType, part_bytes: int = 1 << 25) -> Callable[[Column], Column]:
     """A column function that applies ``make()(text)`` to every text.
 

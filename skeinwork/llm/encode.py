@@ -9,13 +9,18 @@ concatenation of its chunks (" word" or "\\nword"); the ids of a chunk come from
 from __future__ import annotations
 
 import os
+import re
+from array import array
+from codecs import charmap_decode
 
-import numpy as np
+from skeinwork.llm.common import held
 
-# Chunks kept per worker and generation: two generations of 250,000 words take about 100 MB.
+# Chunks kept per worker and generation: two generations of 250,000 words take some 100 MB.
 CACHE_WORDS = 250_000
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+# A word of Latin letters, perhaps behind a space, is one piece of the pre-tokenizer, and marks behind it are another.
+MARKS = ",.!?;:"
+_WORD = re.compile(rf"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([{MARKS}]*)")
 
 
 class TwoGenerations(dict):
@@ -49,15 +54,37 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenize = self.tokenizer.model.tokenize
+        # The model's characters for the 256 bytes: printable ones stand for themselves, the others for 256, 257, ...
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in printable)}
+        self.letters = "".join(chr(rest.get(b, b)) for b in range(256))
+        self.space = self.letters[32]
+        self.marks = {m: self._library(m) for m in MARKS + "\n"}
         self.chunks = TwoGenerations(self._chunk, cache_words)
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece, which is written in the model's characters for bytes."""
+        return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk[:1] == "\0":  # the first chunk of a text
-            return self._library(chunk[1:])
-        return self._library(chunk if chunk[:1] == "\n" else " " + chunk)
+        if chunk.isascii():
+            if chunk.isalpha():
+                return self._piece(self.space + chunk)
+            if chunk[:-1].isalpha() and chunk[-1] in MARKS:
+                return self.chunks[chunk[:-1]] + self.marks[chunk[-1]]
+        text = chunk[1:] if chunk[:1] == "\0" else chunk if chunk[:1] == "\n" else " " + chunk
+        found = _WORD.fullmatch(text)
+        if not found:
+            return self._library(text)
+        before, word, after = found.groups()
+        behind = b"".join([self.marks[m] for m in after]) if len(after) < 2 else self._library(after)
+        if before == "\n":
+            return self.marks["\n"] + self._piece(charmap_decode(word.encode(), "strict", self.letters)[0]) + behind
+        return self._piece(charmap_decode((before + word).encode(), "strict", self.letters)[0]) + behind
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -66,11 +93,9 @@ class ChunkEncoder:
         parts = text.replace("\n", " \n").split(" ")
         parts[0] = "\0" + parts[0]
         chunks = self.chunks
-        return b"".join([chunks[p] for p in parts])
+        return b"".join(map(chunks.__getitem__, parts))
 
 
 def encoder(path: str) -> ChunkEncoder:
     """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: ChunkEncoder(path))

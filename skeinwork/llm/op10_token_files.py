@@ -13,21 +13,26 @@ from skeinwork.llm.common import texts, work_dir
 from skeinwork.llm.encode import encoder
 
 
-def token_ids(column: Column, tokenizer: str, end_id: int) -> Column:
-    """List of ids of a text with ``end_id`` behind; null is the empty text."""
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int, part_bytes: int = 1 << 23) -> DataFrame:
+    """``doc_id``, ``n_tokens`` and ``tokens`` of rows (``doc_id``, ``text``), in their order, with ``end_id`` behind each text.
 
-    def ids(column: pa.Array) -> pa.Array:
-        enc, end, parts = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), []
-        step = max(1, int((1 << 25) / max(1, column.nbytes / max(1, len(column)))))
-        for k in range(0, len(column), step):
-            rows = [enc.encode(t) + end for t in texts(column.slice(k, step))]
-            offsets = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))])
-            parts.append(pa.ListArray.from_arrays(pa.array(offsets), values))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+    Null is the empty text. Batches are cut so that some ``part_bytes`` of text are Python objects at a time.
+    """
+    end = np.array([end_id], "<u4").tobytes()
+
+    def run(batches):
+        enc = encoder(tokenizer)
+        for batch in batches:
+            column = batch.column(1)
+            step = max(1, int(part_bytes / max(1, column.nbytes / max(1, len(column)))))
+            for k in range(0, len(column), step):
+                rows = [enc.encode(t) + end for t in texts(column.slice(k, step))]
+                lengths = np.array([len(r) // 4 for r in rows], np.int64)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
+                values = pa.Array.from_buffers(pa.int32(), int(lengths.sum()), [None, pa.py_buffer(b"".join(rows))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, step), pa.array(lengths), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "n_tokens", "tokens"])
 
-    ids.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return F.arrow_udf(ids, "array<int>").asNondeterministic()(column)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, tokens array<int>")
 
 
 def write_tokens(
@@ -43,9 +48,9 @@ def write_tokens(
     disappear, so the output is whole or absent.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("doc_id", token_ids(F.col("text"), tokenizer, end_id).alias("tokens"))
+    rows = token_ids(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), tokenizer, end_id)
     (
-        rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens").write
+        rows.write
         .option("parquet.writer.version", "v2")
         .option("parquet.enable.dictionary", "true")
         .option("parquet.enable.dictionary#doc_id", "false")
