@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import by_text, fresh
+from skeinwork.llm.common import by_text, fresh, held
 from skeinwork.llm.encode import TwoGenerations
 
 # Runs of ASCII letters, digits and characters beyond ASCII; A-Z count as a-z.
@@ -63,7 +64,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], shingle: int, threshold: float):
         self.shingle, self.threshold = shingle, threshold
-        self.hash_of = TwoGenerations(lambda w: xxhash.xxh64_intdigest(w), 500_000)
+        self.hash_of = TwoGenerations(lambda w: xxhash.xxh64_intdigest(w), 200_000)
         self.partitions: dict[int, tuple[Signature, dict[int, list[int]]]] = {}
         self.shingles: dict[int, dict[int, tuple]] = {}
         for item, text in items:
@@ -125,16 +126,8 @@ class Index:
         return out
 
 
-_INDEX: dict = {}
-
-
-def _index(shared) -> Index:
-    items, shingle, threshold = shared.value
-    key = (id(items), shingle, threshold)
-    if key not in _INDEX:
-        _INDEX.clear()
-        _INDEX[key] = Index(items, shingle, threshold)
-    return _INDEX[key]
+def _index(name: str, shared) -> Index:
+    return held(name, lambda: Index(*shared.value))
 
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = 1 << 24) -> list[list[tuple[int, int, str]]]:
@@ -154,7 +147,8 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
 def contained(column: Column, block: list[tuple[int, int, str]], spark, shingle: int, threshold: float) -> Column:
     """Numbers of the block's items that a text contains, with the number of shingles shared."""
     shared = spark.sparkContext.broadcast(([(k, t) for k, _, t in block], shingle, threshold))
-    return by_text(lambda: _index(shared).search, "array<struct<item:int,shared:bigint>>", _FOUND)(column)
+    name = f"index-{uuid.uuid4().hex}"
+    return by_text(lambda: _index(name, shared).search, "array<struct<item:int,shared:bigint>>", _FOUND)(column)
 
 
 def find_contained(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:

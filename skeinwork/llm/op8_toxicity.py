@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from math import exp, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import by_text, fresh, stage, texts
+from skeinwork.llm.common import by_text, fresh, held, stage, texts
 
 # Symbols of the character model: 0 is a word boundary (anything that is not a letter), OTHER any letter beyond the list.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöùúûüýÿßœ"
@@ -214,13 +215,14 @@ class Scorer:
         return 1 / (1 + exp(-max(-30.0, min(30.0, evidence))))
 
 
-_MINE: dict[int, Scorer] = {}
-
-
 def _local(shared) -> Scorer:
     """The broadcast scorer, once per worker."""
-    scorer = shared.value
-    return _MINE.setdefault(id(scorer), scorer)
+    name, scorer = shared.value
+    return held(name, lambda: scorer)
+
+
+def _share(spark: SparkSession, scorer: Scorer):
+    return spark.sparkContext.broadcast((f"scorer-{uuid.uuid4().hex}", scorer))
 
 
 def _word_rows(df: DataFrame, shared) -> DataFrame:
@@ -293,7 +295,7 @@ def fit(
     spark = df.sparkSession
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     model = language_model(rows)
-    shared = spark.sparkContext.broadcast(Scorer(model, {}, 0.0))
+    shared = _share(spark, Scorer(model, {}, 0.0))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~F.coalesce(held_out(F.col("id")), F.lit(False)))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
 
@@ -321,7 +323,7 @@ def fit(
 
 def score(column: Column, scorer: Scorer, spark) -> Column:
     """Probability that a text is toxic; null is the empty text, which gets the prior."""
-    shared = spark.sparkContext.broadcast(scorer)
+    shared = _share(spark, scorer)
     return by_text(lambda: _local(shared).score, "double", pa.float64())(column)
 
 
