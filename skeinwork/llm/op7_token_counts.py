@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import by_text, texts
+from skeinwork.llm.common import by_text, held, stage, texts
 from skeinwork.llm.encode import TwoGenerations, single_spaced
 
 MARK = "▁"
+RARE = 16
 
 
 class PieceCounter:
@@ -75,19 +77,19 @@ def frequent_pre_tokens(df: DataFrame, text_col: str = "text", size: int = 65_53
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
     rows = df.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "word string, n long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    found = stage(rows.groupBy("word").agg(F.sum("n").alias("n")), "frequent")
+    # At most RARE x size words have this share or more of all, and only they are ordered: without that every partition would
+    # send the driver size rows.
+    total = found.agg(F.sum("n")).first()[0] or 0
+    return found.where(F.col("n") * RARE * size >= total).orderBy(F.desc("n"), "word").limit(size)
 
 
-_COUNTERS: dict[str, PieceCounter] = {}
-
-
-def _counter(path: str, shared) -> PieceCounter:
-    key = f"{path}:{shared.id if hasattr(shared, 'id') else id(shared)}"
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
+def _counter(name: str, path: str, shared) -> PieceCounter:
+    def make():
         words, lengths = shared.value
-        _COUNTERS[key] = PieceCounter(path, dict(zip(words.to_pylist(), lengths.to_pylist(), strict=True)))
-    return _COUNTERS[key]
+        return PieceCounter(path, dict(zip(words.to_pylist(), lengths.to_pylist(), strict=True)))
+
+    return held(name, make)
 
 
 def count_tokens(df: DataFrame, model: str, text_col: str = "text", table_size: int = 65_536) -> Column:
@@ -101,7 +103,8 @@ def count_tokens(df: DataFrame, model: str, text_col: str = "text", table_size:
     lengths = PieceCounter(model, cache_words=1)
     table = pa.array(words, pa.string()), pa.array([lengths._length(w) for w in words], pa.int32())
     shared = df.sparkSession.sparkContext.broadcast(table)
-    return by_text(lambda: _counter(model, shared).count, "bigint", pa.int64())(F.col(f"`{text_col}`").cast("string"))
+    name = f"counter-{uuid.uuid4().hex}"
+    return by_text(lambda: _counter(name, model, shared).count, "bigint", pa.int64())(F.col(f"`{text_col}`").cast("string"))
 
 
 def counts(df: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", table_size: int = 65_536) -> DataFrame:
