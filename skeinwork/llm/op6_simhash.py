@@ -209,18 +209,22 @@ def dedup_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return marked.join(near_duplicates(marked, radius=radius, parts=parts), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_least(df: DataFrame, classes: DataFrame, hashed: Column, id_: Column) -> DataFrame:
+    """One row of ``df`` for each ``root`` of ``classes`` (``doc_id``, ``hash``, ``root``, ``component_id``), chosen as ``keep_one`` says."""
+    key, rank = fresh(df.columns, "row_hash"), fresh(df.columns, "row_rank")
+    chosen = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("hash").alias(key)).select(key)
+    found = df.withColumn(key, hashed).join(chosen, key, "left_semi")
+    first = F.row_number().over(Window.partitionBy(key, id_).orderBy(key))
+    return found.withColumn(rank, first).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, parts: int = 4) -> DataFrame:
     """The rows of ``df`` with one row of each component: one with the smallest id, of several such the one with the least hash.
 
     Components are found on ids, fingerprints and hashes of id and text; full rows are shuffled once, to be met with the
     chosen hashes. Of rows that repeat id and text one stays, of a component without ids one row, too.
     """
-    key, rank = fresh(df.columns, "row_hash"), fresh(df.columns, "row_rank")
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
     hashed = F.xxhash64(id_, text)
     marked = stage(df.select(id_.alias("doc_id"), hashed.alias("hash"), fingerprint(text, words).alias("fp")), "simhash")
-    classes = marked.join(near_duplicates(marked, radius=radius, parts=parts), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = classes.groupBy("root").agg(F.min("hash").alias(key)).select(key)
-    found = df.withColumn(key, hashed).join(chosen, key, "left_semi")
-    first = F.row_number().over(Window.partitionBy(key, id_).orderBy(key))
-    return found.withColumn(rank, first).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
+    return keep_least(df, marked.join(near_duplicates(marked, radius=radius, parts=parts), "fp"), hashed, id_)
