@@ -43,6 +43,7 @@ TEMPLATES = {
 }
 
 _WORD = re.compile(r"\w+")
+LONG = 15  # words of a template whose parts are looked for with other words between them
 _FOUND = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("matched", pa.int64()), ("coverage", pa.float64())]))
 _RETURNS = "array<struct<license:string,start:bigint,end:bigint,matched:bigint,coverage:double>>"
 
@@ -108,9 +109,12 @@ class Template:
         self.name, self.words = name, words_of(text)
         # A text that covers ``least`` of the words has one of these: the longest words, until they fill what may be missing.
         self.room = len(self.words) - least * len(self.words)
+        self.counts = Counter(self.words)
+        # Words on each side of where the template would lie: none first, since a neighbour's words take anchors away.
+        self.slacks = sorted({int(self.room) + 2, *(1 << k for k in range(int(self.room) + 2) if 1 << k < self.room + 2), 0})
         self.seeds: set[str] = set()
         filled = 0
-        for w, n in sorted(Counter(self.words).items(), key=lambda x: (-len(x[0]), x[0])):
+        for w, n in sorted(self.counts.items(), key=lambda x: (-len(x[0]), x[0])):
             if filled > self.room + 1e-9:
                 break
             self.seeds.add(w)
@@ -127,6 +131,18 @@ class Scanner:
         self.templates = [t for t in (Template(n, x, least) for n, x in templates.items()) if t.words]
         self.seeds = set().union(*(t.seeds for t in self.templates)) if self.templates else set()
 
+    def _try(self, words: list[str], t: Template, a: int, b: int, tried: dict, found: list) -> int:
+        """Align a region once; number of words paired, 0 if the words it has of the template are too few."""
+        a, b = max(0, a), min(len(words), b)
+        if (a, b) not in tried:
+            m, tried[a, b] = len(t.words), 0
+            if sum((Counter(words[a:b]) & t.counts).values()) >= self.least * m - 1e-9:
+                pairs = align(words[a:b], t.words)
+                tried[a, b] = len(pairs)
+                if len(pairs) >= self.least * m - 1e-9:
+                    found.append((-len(pairs), pairs[-1][0] - pairs[0][0], a + pairs[0][0], a + pairs[-1][0] + 1, t.name, len(pairs) / m))
+        return tried[a, b]
+
     def scan(self, text: str) -> list[dict]:
         """Licenses in a text, without overlaps: the one that covers most words first."""
         lowered = text.lower()
@@ -140,20 +156,20 @@ class Scanner:
         found = []
         for t in self.templates:
             m = len(t.words)
-            slack = int(t.room) + 2
-            seen = set()
-            for w in t.seeds:
-                for p in at.get(w, ()):
-                    for q in t.places[w]:
-                        a, b = max(0, p - q - slack), min(len(words), p - q + m + slack)
-                        if (a, b) in seen:
-                            continue
-                        seen.add((a, b))
-                        pairs = align(words[a:b], t.words)
-                        if len(pairs) >= self.least * m - 1e-9:
-                            found.append((-len(pairs), pairs[-1][0] - pairs[0][0], a + pairs[0][0], a + pairs[-1][0] + 1, t.name, len(pairs) / m))
+            hits = sorted({(p - q, q) for w in t.seeds for p in at.get(w, ()) for q in t.places[w]})
+            starts = sorted({s for s, _ in hits})
+            tried: dict[tuple[int, int], int] = {}
+            for s in starts:
+                for slack in t.slacks:
+                    if self._try(words, t, s - slack, s + m + slack, tried, found) == m:
+                        break
+            # Two parts of one license with other words between them: from the first part's region to the last one's.
+            if m >= LONG:
+                for k, s in enumerate(starts):
+                    for e in starts[k + 1 : bisect_left(starts, s + m + 1)]:
+                        self._try(words, t, s, e + m, tried, found)
         out: list[dict] = []
-        for n, _, start, end, name, coverage in sorted(found):
+        for n, _, start, end, name, coverage in sorted(found, key=lambda f: (f[0], -f[5], f[1:5])):  # of equal ones the whole template
             if all(end <= o["start"] or start >= o["end"] for o in out):
                 out.append({"license": name, "start": start, "end": end, "matched": -n, "coverage": coverage})
         return sorted(out, key=lambda o: o["start"])
@@ -177,8 +193,9 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, least: float =
 
     Coverage is the share of the template's words that the alignment pairs; ``least`` of them are needed. A region is aligned
     around every occurrence of a seed word: one of a template's longest words, so many that a text without any of them cannot
-    reach ``least``. So a license is found wherever it stands in a long text, and as often as it occurs, with words added,
-    changed or left out within ``1 - least`` of its length. Null, empty and other texts without licenses give no rows; repeated rows give theirs
+    reach ``least``. Regions are aligned without words around them and with more and more. So a license is found wherever it
+    stands in a long text, and as often as it occurs, also many times in a row, with words added, changed or left out within
+    ``1 - least`` of its length; parts of a template of ``LONG`` words or more are joined over as many words as it has. Null, empty and other texts without licenses give no rows; repeated rows give theirs
     each. Other columns are not read; nothing is shuffled.
     """
     found = df.select(F.col(f"`{id_col}`").alias("doc_id"), licenses(F.col(f"`{text_col}`").cast("string"), templates, least).alias("f"))
