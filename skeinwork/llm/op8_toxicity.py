@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
+from collections.abc import Callable
 from math import exp, log
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.llm.common import by_text, fresh, held, stage, texts
+from skeinwork.llm.encode import TwoGenerations
 
 # Symbols of the character model: 0 is a word boundary (anything that is not a letter), OTHER any letter beyond the list.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöùúûüýÿßœ"
@@ -26,16 +28,23 @@ _CLASS = np.array([_CODE.get(chr(c), OTHER if chr(c).isalpha() else 0) for c in
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l"}
 SEPARATORS = " .-_*/"
 # Log probabilities of the channel: a letter written as leet, a letter written twice, or once more after that, a separator
-# inside a word; a separator or mark that stands between words.
-SUBSTITUTED, DOUBLED, REPEATED, SPACED, BETWEEN, MARK = -1.0, -2.0, -0.3, -0.5, -2.5, -8.0
+# inside a word; a separator or mark that stands between words; a separator between groups of letters that is dropped; a mark
+# that is punctuation: an exclamation mark at the end of a word, another one there, one in front.
+SUBSTITUTED, DOUBLED, REPEATED, SPACED, BETWEEN, MARK, JOINED, EXCLAIMED, BEHIND, BEFORE = -1.0, -3.5, -0.3, -0.5, -2.5, -8.0, -2.0, 0.0, -2.0, -8.0
+DOUBLED_SPACED = -6.0
 
+_LOWERED = np.array([ord(chr(c).lower()[0]) for c in range(_TOP)] + [_TOP], np.uint32)
+_DOUBLES = np.array([chr(c).isalpha() for c in range(_TOP)] + [True])
 _PIVOT = np.array([chr(c) in LEET for c in range(_TOP)] + [False])
 _SEP = np.array([chr(c) in SEPARATORS or chr(c).isspace() for c in range(_TOP)] + [False])
-_EDGES = ".,;:?!*%&#|()[]{}\"'$+-=<>~^/\\"
-_SPACED_RUN = re.compile(r"(?<![^\s.*/_-])(?:[^\s.*/_-][ .\-_*/]){2,}[^\s.*/_-](?![^\s.*/_-])")
+_EDGES = ".,;:?*%&#()[]{}\"'-=<>~^/\\"
+_MARKS = "!$+|"
+_SPACED_RUN = re.compile(r"(?<![^\s.*/_-])(?:[^\s.*/_-][ .\-_*/]{1,3}){2,}[^\s.*/_-](?![^\s.*/_-])")
+_INNER = np.array([chr(c) in SEPARATORS and chr(c) != " " for c in range(_TOP)] + [False])
 _WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 FORM_TEXTS, CHANCE, SIGNATURES = 5, 0.01, 10
+CACHED_CHARS, CACHED_SPANS = 64, 100_000
 
 
 def _codes(text: str) -> np.ndarray:
@@ -82,20 +91,24 @@ def language_model(df: DataFrame, text_col: str = "text") -> np.ndarray:
 def lattice(span: str) -> list[list[tuple[int | None, str, float]]]:
     """Choices at every character: (symbol, letter, log probability); symbol None writes nothing."""
     out, last, run = [], "", 0
-    spaced = _SPACED_RUN.fullmatch(span) is not None
-    for c in span.lower():
-        if spaced and c in SEPARATORS:
-            out.append([(None, "", SPACED), (0, " ", BETWEEN)])
+    spaced, lowered = _SPACED_RUN.fullmatch(span) is not None, span.lower()
+    begin, end = len(lowered) - len(lowered.lstrip(_MARKS)), len(lowered.rstrip(_MARKS))
+    for k, c in enumerate(lowered):
+        if c in SEPARATORS and (spaced or (c != " " and 0 < k < len(lowered) - 1)):
+            again = k > 0 and lowered[k - 1] in SEPARATORS  # of several separators one may stand between words
+            out.append([(None, "", 0.0 if again else SPACED if spaced else JOINED), (0, " ", BETWEEN if spaced else 0.0)])
             continue
         run = run + 1 if c == last else 1
         if c.isalpha():
             choices = [(_CODE.get(c, OTHER), c, 0.0)]
         elif c in LEET:
             choices = [(_CODE[x], x, SUBSTITUTED) for x in LEET[c]] + [(0, " ", MARK)]
+            if (k < begin or k >= end) and run == 1:
+                choices.append((None, "", BEFORE if k < begin else EXCLAIMED if c == "!" else BEHIND))
         else:
             choices = [(0, " ", 0.0)]
         if run > 1 and (c.isalpha() or c in LEET):
-            choices.append((None, "", (3 * DOUBLED if spaced else DOUBLED) if run == 2 else REPEATED))
+            choices.append((None, "", (DOUBLED_SPACED if spaced else DOUBLED) if run == 2 else REPEATED))
         last = c
         out.append(choices)
     return out
@@ -133,22 +146,20 @@ def _word_around(text: str, at: int, done: int) -> tuple[int, int]:
 
 
 def suspicious_spans(text: str) -> list[tuple[int, int]]:
-    """Spans that may be obfuscated: letters spaced out one by one, words with a leet character inside, letters three times in
-    a row or three doubled letters in a row. Other text has one path through the lattice, which is itself."""
-    c = _codes(text)
+    """Spans with more than one path through the lattice: letters spaced out one by one; words with a letter and a leet
+    character, a doubled letter, or a separator between letters or marks. Numbers without letters are left alone."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    c = np.minimum(raw, _TOP)
     if not len(c):
         return []
-    spans = []
+    lowered, spans = np.where(c < _TOP, _LOWERED[c], raw), []
     sep = np.concatenate(([True], _SEP[c], [True]))
-    if len(sep) > 6 and (sep[:-6] & ~sep[1:-5] & sep[2:-4] & ~sep[3:-3] & sep[4:-2] & ~sep[5:-1] & sep[6:]).any():
+    # Letters that stand alone, three or more of them.
+    if np.count_nonzero(sep[:-2] & ~sep[1:-1] & sep[2:]) > 2:
         spans += [m.span() for m in _SPACED_RUN.finditer(text)]
-    same = c[1:] == c[:-1]
-    at = []
+    at = [np.flatnonzero((lowered[1:] == lowered[:-1]) & _DOUBLES[c[1:]]), np.flatnonzero(_PIVOT[c])]
     if len(c) > 2:
-        at.append(np.flatnonzero(same[1:] & same[:-1]))
-    if len(c) > 5:
-        at.append(np.flatnonzero(same[:-4] & same[2:-2] & same[4:]))
-    at.append(np.flatnonzero(_PIVOT[c]))
+        at.append(np.flatnonzero(_INNER[c[1:-1]] & ~sep[1:-3] & ~sep[3:-1] | _INNER[c[1:-1]] & _INNER[c[2:]] & ~sep[1:-3]) + 1)
     done = 0
     for k in np.unique(np.concatenate(at)).tolist():
         if k < done or text[k].isspace():
@@ -157,11 +168,8 @@ def suspicious_spans(text: str) -> list[tuple[int, int]]:
         done = end
         word = text[start:end]
         core = word.strip(_EDGES)
-        begin = start + word.find(core) if core else start
-        if core and begin > start and text[begin - 1] in "$!" and core[0].isalpha() and (begin == start + 1 or text[begin - 2] != text[begin - 1]):
-            begin, core = begin - 1, text[begin - 1] + core  # one mark in front may be a letter
-        inside = any(x in LEET for x in core) and sum(map(str.isalpha, core)) >= 2
-        if inside or re.search(r"([^\W\d_])\1\1|([^\W\d_])\2([^\W\d_])\3([^\W\d_])\4", core):
+        if core and any(map(str.isalpha, core)):
+            begin = start + word.find(core)
             spans.append((begin, begin + len(core)))
     spans.sort()
     kept: list[tuple[int, int]] = []
@@ -173,10 +181,15 @@ def suspicious_spans(text: str) -> list[tuple[int, int]]:
     return kept
 
 
-def restore(text: str, model: list[float]) -> str:
+def restore(text: str, model: list[float], known: Callable[[str], str] | None = None, plain: set[str] | None = None) -> str:
+    """``text`` with its suspicious spans decoded; ``known`` decodes short spans, with a cache; ``plain`` receives those of
+    letters alone as they are written, since a doubled letter may be right ("worthless")."""
     parts, at = [], 0
     for start, end in suspicious_spans(text):
-        parts += [text[at:start], decode(text[start:end], model)]
+        span = text[start:end]
+        if plain is not None and span.isalpha():
+            plain.add(span.lower())
+        parts += [text[at:start], known(span) if known and len(span) <= CACHED_CHARS else decode(span, model)]
         at = end
     return "".join([*parts, text[at:]]) if at else text
 
@@ -192,14 +205,25 @@ class Scorer:
         self.words = {f: w for f, w in weights.items() if not f.endswith("*")}
         self.starts = {k: {f[:-1]: w for f, w in weights.items() if f.endswith("*") and len(f) == k + 1} for k in PREFIXES}
         self._list: list[float] | None = None
+        self._known: TwoGenerations | None = None
 
     def log_probs(self) -> list[float]:
         if self._list is None:
             self._list = self.model.tolist()
         return self._list
 
+    def known(self, span: str) -> str:
+        """Decoded span; words repeat, so a worker keeps those it has seen last."""
+        if self._known is None:
+            self._known = TwoGenerations(lambda s: decode(s.decode("utf-8", "surrogatepass"), self.log_probs()), CACHED_SPANS)
+        return self._known[span.encode("utf-8", "surrogatepass")]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_list": None, "_known": None}
+
     def words_of(self, text: str) -> set[str]:
-        return set(_WORDS.findall(restore(text, self.log_probs()).lower()))
+        plain: set[str] = set()
+        return set(_WORDS.findall(restore(text, self.log_probs(), self.known, plain).lower())) | plain
 
     def score(self, text: str) -> float:
         words, found = self.words_of(text), {}
