@@ -16,20 +16,32 @@ from skeinwork.llm.common import fresh
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_RULES = 10_000
 
-# A small labelled table of our own making, built by rule: every name below each prefix, with domains and paths in turn, so
-# that neither prefix, domain nor path tells the label. Domains are reserved for examples.
+# A small labelled table of our own making, built by rule: every name below each prefix, with domains and neutral paths in
+# turn, so that neither prefix, domain nor neutral path tells the label; and every name as a part of the path of plain hosts,
+# where the path alone tells it. No name is one of the given tables. Domains are reserved for examples.
+STEMS = ["pills", "casino", "bets", "spam", "ads", "adult"]
+SYLLABLES = ["an", "on", "re", "in", "ed", "nd", "ha", "at", "en", "es", "or", "nt", "ea", "ti", "st", "le", "ou", "ar", "tion", "ing", "ble", "ly", "sh", "wh", "th", "er"]
+PARTNERS = ["shop", "world", "best", "home", "city", "super", "daily"]  # with stems blocked, with other words allowed
 BLOCKED_NAMES = [
-    "cheap-pills", "buy-pills", "pills-discount", "casino-win", "casino-bonus", "win-casino", "free-bets", "best-bets", "bets-free", "spam-farm",
-    "link-farm", "spam-links", "ads-track", "track-ads", "ad-tracker", "adult-x", "adult-video", "x-adult",
+    *(f"{a}-{b}" for stem in STEMS for k, partner in enumerate(PARTNERS) for a, b in ([(stem, partner)] if k % 2 else [(partner, stem)])), *STEMS,
+    "buy-pills", "pills-discount", "pills-cheap", "casino-bonus", "win-casino", "casino-slots", "best-bets", "bets-free", "bets-win", "link-farm", "spam-links",
+    "farm-spam", "spam-mail", "track-ads", "ads-click", "ad-tracker", "adult-video", "x-adult", "adult-chat",
 ]
 ALLOWED_NAMES = [
-    "garden", "library", "weather", "kitchen", "museum", "theatre", "thether", "thering", "tiontion", "thether-news", "tionsh", "therand", "thathe",
-    "tionble", "school", "history", "music", "thesteer", "river", "bridge", "forest", "thound", "market", "ththen", "thaning", "council", "open-data",
-    "city-hall", "book-club", "science", "health-care", "thanth", "thhaed", "track-and-field", "farmers-market", "free-software",
+    "garden", "library", "weather", "kitchen", "museum", "theatre", "thether", "tionther", "tionthe", "thether-news", "tionness", "therand", "thathe",
+    "tionard", "school", "history", "music", "thesteer", "river", "bridge", "forest", "thound", "market", "theththen", "thaning", "council", "open-data",
+    "city-hall", "book-club", "science", "health-care", "thanth", "thhaed", "track-and-field", "farmers-market", "free-software", "shtion", "bletion",
+    *(f"{a}-{b}" for k, partner in enumerate(PARTNERS) for word in ("bread", "maps", "radio", "paint", "adventure", "bicycle") for a, b in ([(word, partner)] if k % 2 else [(partner, word)])),
+    *(f"{a}{SYLLABLES[k]}{SYLLABLES[(5 * k + 7) % 26]}" for k in range(24) for a in ("th", "ther", "en", "ti")),
+    "therbon", "ththness", "tionard-news", "thentha", "thorthe", "farm-shop", "win-win", "free-museum", "cheap-flights",
 ]
 PREFIXES = ["", "www.", "m.", "blog."]
 DOMAINS = ["example.com", "example.net", "example.org"]
-PATHS = ["/en/12", "/de/7?utm_source=feed", "/es/99", "/fr/3.html", "/en/840#top", "/fr/61/", "/es/5?page=2&ref=x", "/de/311"]
+ENDINGS = ["", "?utm_source=feed", ".html", "#top", "/", "?page=2&ref=x"]
+PATHS = [f"/{('en', 'de', 'es', 'fr')[k % 4]}/{7919 * (k + 1) % 10 ** (2 + k % 4)}{ENDINGS[k % 6]}" for k in range(97)]
+# Names in paths, and the hosts of such paths: by themselves they do not tell the label.
+NAMED_PATHS = ["/{}", "/en/{}", "/{}/12", "/de/{}.html", "/{}/start?page=2", "/fr/{}/7", "/start/{}", "/{}-{}"]
+PLAIN_HOSTS = ["", "www.", "m.", "blog.", "www.garden.", "library.", "m.music.", "news.", "www.thether.", "shop."]
 
 
 def labelled_urls() -> list[tuple[str, int]]:
@@ -38,7 +50,12 @@ def labelled_urls() -> list[tuple[str, int]]:
         for k, name in enumerate(names):
             for j, prefix in enumerate(PREFIXES):
                 scheme = "https" if (k + j) % 2 else "http"
-                rows.append((f"{scheme}://{prefix}{name}.{DOMAINS[(k + j) % 3]}{PATHS[(3 * k + j) % 8]}", label))
+                rows.append((f"{scheme}://{prefix}{name}.{DOMAINS[(k + j) % 3]}{PATHS[(31 * k + 7 * j) % 97]}", label))
+            for j, path in enumerate(NAMED_PATHS):
+                host = f"{PLAIN_HOSTS[(3 * k + j) % 10]}{DOMAINS[(k + j) % 3]}"
+                rows.append((f"https://{host}{path.format(name, names[(k + 1) % len(names)])}", label))
+    for k, host in enumerate(PLAIN_HOSTS):
+        rows += [(f"http://{host}{domain}{PATHS[(31 * k + 7 * j) % 97]}", 0) for j, domain in enumerate(DOMAINS)]
     return rows
 
 
