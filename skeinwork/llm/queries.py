@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import op1_licenses, op2_quality, op3_packing, op4_decontamination, op5_shards, op6_simhash, op7_token_counts, op8_toxicity, op9_urls, op10_token_files
+from skeinwork.llm import op1_licenses, op2_quality, op3_packing, op4_decontamination, op5_shards, op6_simhash, op7_token_counts, op8_toxicity, op9_urls, op10_token_files, op11_warc, op12_phrases, op13_conversations
+from skeinwork.llm.common import work_dir
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -64,6 +65,21 @@ def op10_token_files_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_token_files.write_and_read(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=0)
 
 
+def op11_seekable_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "warc")
+    op11_warc.write(table(spark, sf_dir, "pages"), folder, least_bytes=0)
+    found = op11_warc.read(spark, folder, payload=False)
+    return found.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op12_top_order_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_phrases.collocations(table(spark, sf_dir, "documents"), longest=5, least=100, top=2000)
+
+
+def op13_checkpointed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_conversations.repair(op13_conversations.damage(table(spark, sf_dir, "conversations")), present="present")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_patience_licenses": op1_patience_licenses,
     "op2_mcd_outliers": op2_mcd_outliers,
@@ -75,5 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_noisy_channel": op8_noisy_channel,
     "op9_url_model": op9_url_model,
     "op10_token_files": op10_token_files_,
+    "op11_seekable_bundles": op11_seekable_bundles,
+    "op12_top_order_phrases": op12_top_order_phrases,
+    "op13_checkpointed_repair": op13_checkpointed_repair,
 }
-ORACLES: dict[str, str] = {"op4_minhash_containment": op4_decontamination.SQL}
+ORACLES: dict[str, str] = {"op4_minhash_containment": op4_decontamination.SQL, "op11_seekable_bundles": op11_warc.SQL, "op12_top_order_phrases": op12_phrases.SQL}
