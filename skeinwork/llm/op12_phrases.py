@@ -13,9 +13,9 @@ fixed size (hashes without a bit are no frequent pair; a wrongly set bit costs a
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -53,9 +53,16 @@ def _rolled(windows: DataFrame, order: int, count: Column, least: int, total: bo
     return sums.where(F.col("lang").isNotNull() & (enough | (given == 0) if total else enough)).select("lang", given.alias("words"), F.concat_ws(" ", *names).alias("phrase"), "f")
 
 
+def _place(lang: Column, left: Column, right: Column) -> Column:
+    """Bit of a pair, from the hashes of its parts."""
+    mixed = F.shiftleft(F.xxhash64(left), 1).bitwiseXOR(F.xxhash64(right)).bitwiseXOR(F.shiftleft(F.xxhash64(lang), 2))
+    return mixed.bitwiseAND(F.lit(PAIR_BITS - 1).cast("long"))
+
+
 def _pair_bitmap(pairs: DataFrame) -> bytes:
-    """Bits of the pairs' hashes: ``PAIR_BITS`` / 8 bytes, whatever the number of pairs."""
-    place = F.pmod(F.xxhash64(F.concat_ws(" ", "lang", "phrase")), F.lit(PAIR_BITS)) + 1
+    """Bits of the pairs: ``PAIR_BITS`` / 8 bytes, whatever the number of pairs."""
+    words = F.split("phrase", " ")
+    place = _place(F.col("lang"), words[0], words[1]) + 1
     rows = pairs.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
     size = 32768 // 8
     out = bytearray(PAIR_BITS // 8)
@@ -64,50 +71,64 @@ def _pair_bitmap(pairs: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _cut_windows(order: int, bitmap, held_windows: int = 200_000):
-    """Batches of (lang, text) -> counted windows (lang, w1 .., n) of the runs in which every two neighbours are a pair."""
-    breaks, names = re.compile(BREAKS), [f"w{k}" for k in range(1, order + 1)]
-
-    def made(counts: Counter) -> pa.RecordBatch:
-        keys = list(counts)
-        columns = [pa.array([k[j] for k in keys], pa.string()) for j in range(order + 1)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], ["lang", *names, "n"])
+class _Hashes(dict):
+    """Hash of a word, kept for the words a task sees often; 0 for what separates pieces."""
+
+    def __missing__(self, word: str) -> int:
+        value = 0 if word[0] in ".,;:!?\n\x0b\x0c\r" else xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42) or 1
+        if len(self) >= 400_000:
+            self.clear()
+        self[word] = value
+        return value
+
+
+def _cut_windows(order: int, bitmap, part_chars: int = 1 << 21):
+    """Batches of (lang, text) -> windows (lang, w1 ..) at the words whose follower makes a pair with them; a window ends
+    where two neighbours are no pair."""
+    tokens = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
+    names = ["lang", *[f"w{k}" for k in range(1, order + 1)]]
+
+    def windows(words: list[str], langs: list[str], ends: list[int], bits, hashes: _Hashes) -> pa.RecordBatch:
+        """Windows of some texts; text t is ``words[ends[t - 1] : ends[t]]``."""
+        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+        spans = np.diff(ends, prepend=0)
+        seeds = np.repeat(np.array([hashes_of(lang) for lang in langs], np.uint64) << np.uint64(2), spans)
+        place = ((h[:-1] << np.uint64(1)) ^ h[1:] ^ seeds[:-1]) & np.uint64(PAIR_BITS - 1)
+        linked = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & (h[:-1] != 0) & (h[1:] != 0)
+        linked[np.array(ends[:-1], np.int64) - 1] = False
+        at = np.flatnonzero(linked)
+        column, open_ = pa.array(words, pa.string()), np.ones(len(at), bool)
+        text = np.repeat(np.arange(len(langs)), spans)
+        out = [pa.array(langs, pa.string()).take(pa.array(text[at])), column.take(pa.array(at))]
+        padded = np.concatenate([linked, np.zeros(order, bool)])
+        for k in range(1, order):
+            open_ = open_ & padded[at + k - 1]
+            out.append(column.take(pa.array(at + k, mask=~open_)))
+        return pa.RecordBatch.from_arrays(out, names)
+
+    def hashes_of(lang: str) -> int:
+        return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 42)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, counts, known, pad = bitmap.value, Counter(), {}, (None,) * (order - 1)
-        digest = xxhash.xxh64_intdigest
+        bits, hashes = np.frombuffer(bitmap.value, np.uint8), _Hashes()
+        words, langs, ends, chars = [], [], [], 0
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for lang, row in zip(langs, range(batch.num_rows)):
-                text = texts(batch.column(1).slice(row, 1))[0].translate(_FOLD)
-                for piece in breaks.split(text):
-                    words = [w for w in piece.replace("\t", " ").split(" ") if w]
-                    run = words[:1]
-                    for left, right in zip(words, words[1:]):
-                        key = f"{lang} {left} {right}"
-                        there = known.get(key)
-                        if there is None:
-                            place = digest(key.encode("utf-8", "surrogatepass"), 42) % PAIR_BITS
-                            there = bits[place >> 3] >> (place & 7) & 1
-                            if len(known) >= held_windows:
-                                known.clear()
-                            known[key] = there
-                        if there:
-                            run.append(right)
-                            continue
-                        if len(run) > 1:
-                            padded = (*run, *pad)
-                            counts.update((lang, *padded[k : k + order]) for k in range(len(run) - 1))
-                        run = [right]
-                    if len(run) > 1:
-                        padded = (*run, *pad)
-                        counts.update((lang, *padded[k : k + order]) for k in range(len(run) - 1))
-                    if len(counts) >= held_windows:
-                        yield made(counts)
-                        counts = Counter()
-        yield made(counts)
-
-    return cut, ", ".join(["lang string", *[f"{n} string" for n in names], "n long"])
+            for row, lang in enumerate(batch.column(0).to_pylist()):
+                text = texts(batch.column(1).slice(row, 1))[0]
+                found = tokens.findall(text.translate(_FOLD))
+                if not found:
+                    continue
+                words += found
+                langs.append(lang)
+                ends.append(len(words))
+                chars += len(text)
+                if chars >= part_chars:
+                    yield windows(words, langs, ends, bits, hashes)
+                    words, langs, ends, chars = [], [], [], 0
+        if langs:
+            yield windows(words, langs, ends, bits, hashes)
+
+    return cut, ", ".join(f"{n} string" for n in names)
 
 
 def phrase_counts(docs: DataFrame, longest: int, least: int) -> DataFrame:
@@ -120,7 +141,7 @@ def phrase_counts(docs: DataFrame, longest: int, least: int) -> DataFrame:
         return short.where(F.col("words") <= longest)
     bitmap = spark.sparkContext.broadcast(_pair_bitmap(short.where("words = 2")))
     cut, columns = _cut_windows(longest, bitmap)
-    long = _rolled(told.mapInArrow(cut, columns), longest, F.col("n"), least, False)
+    long = _rolled(told.mapInArrow(cut, columns), longest, F.lit(1), least, False)
     return stage(short.where("words < 2").unionByName(long.where("words > 1")), "phrases")
 
 
