@@ -76,13 +76,13 @@ class _Hashes(dict):
 
     def __missing__(self, word: str) -> int:
         value = 0 if word[0] in ".,;:!?\n\x0b\x0c\r" else xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42) or 1
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = value
         return value
 
 
-def _cut_windows(order: int, bitmap, part_chars: int = 1 << 21):
+def _cut_windows(order: int, bitmap, part_chars: int = 1 << 20):
     """Batches of (lang, text) -> windows (lang, w1 ..) at the words whose follower makes a pair with them; a window ends
     where two neighbours are no pair."""
     tokens = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
