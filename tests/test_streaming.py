@@ -1,100 +1,225 @@
-"""Streams: timers, state across restarts, equality with the batch operators, exactly-once repeats of a batch."""
+"""Streams: timers, state across restarts, order of arrival, equality with the batch operators, one output per event."""
 
+import random
+
+import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 from test_metadata import CONNECT, CONNECT_ROWS
 
-from skeinwork.operators import connects, pairing
+from skeinwork.operators import connects
 from skeinwork.session import work_dir
 from skeinwork.streaming import builtin, stateful
-from skeinwork.streaming.state import run_append
+from skeinwork.streaming.run import STATE_CONF, run_append, start_append
 
 S = 1_000_000_000
 EVENT = "pid long, fd int, seq long, ts_ns long, latency_ns long, res long, is_request boolean, sport int, tid long"
+PAIR = ["fd", "first_req_ts", "n_req", "n_resp", "last_resp_ts", "req_bytes"]
 
 
-def feed(spark, stream, frames):
-    """Every frame is one micro-batch of a query restarted from its checkpoint."""
-    root = work_dir(spark, "feed")
+def feed(spark, plan, frames, delay="0 seconds", root=None):
+    """Every frame is taken by a query that is started again from its checkpoint."""
+    source, root = work_dir(spark, "feed"), root or work_dir(spark, "stream")
     for f in frames:
-        f.write.mode("append").parquet(root)
-        stream.start(spark.readStream.schema(f.schema).parquet(root)).awaitTermination()
-    return stream.output(spark)
+        f.write.mode("append").parquet(source)
+        out = run_append(plan(spark.readStream.schema(f.schema).parquet(source), delay), root)
+    return out
+
+
+def state(spark, root, name="row"):
+    return spark.read.format("statestore").option("stateVarName", name).load(f"{root}/checkpoint")
 
 
-def ev(fd, seq, t, q):
-    return (1, fd, seq, t * S, 10, 5, q, 1, 7)
+def ev(fd, seq, t, q, port=1):
+    return (1, fd, seq, int(t * S), 10, 5, q, port, 7)
 
 
 def test_pairing_timers(spark):
     a = spark.createDataFrame([ev(1, 1, 1, True), ev(1, 2, 2, False), ev(2, 3, 3, True), ev(3, 4, 4, True), ev(3, 5, 5, False)], EVENT)
     b = spark.createDataFrame([ev(3, 6, 14, False), ev(4, 7, 20, True)], EVENT)          # fd 1 idle 18 s, fd 3 goes on
     c = spark.createDataFrame([ev(4, 8, 125, False), ev(1, 9, 126, False)], EVENT)        # fd 2 unanswered 123 s, late response of fd 1
-    s = stateful.pairing_stream(a.schema, work_dir(spark, "pair"))
-    got = rows(feed(spark, s, [a, b, c]), "fd", "n_req", "n_resp", "resp_bytes")
-    assert got == [(1, 1, 1, 5), (2, 1, 0, 0), (3, 1, 2, 10)]
-    left = spark.read.parquet(f"{s.root}/state/v=2")
-    assert rows(left, "fd", "seq") == [(4, 7), (4, 8)]
-
-
-def test_pairing_equals_batch(spark):
-    import random
-    rnd = random.Random(1)
-    evs = [ev(rnd.choice([1, 1, 1, 2]), i, i, rnd.random() < 0.5) for i in range(60)]
-    frames = [spark.createDataFrame(evs[i:i + 20], EVENT) for i in (0, 20, 40)]
-    long = 10 ** 9
-    got = feed(spark, stateful.pairing_stream(frames[0].schema, work_dir(spark, "pair"), fd_reuse_s=long, no_response_s=long, slice_ns=7 * S), frames)
-    p = pairing.pair_requests(spark.createDataFrame(evs, EVENT))
-    last = p.groupBy("fd").agg(F.max("pair_no").alias("pair_no"))
-    cols = ["fd", "first_req_ts", "n_req", "n_resp", "last_resp_ts", "req_bytes"]
-    assert rows(got, *cols) == rows(p.join(last, ["fd", "pair_no"], "left_anti"), *cols)
-
-
-def test_batch_repeated(spark):
-    """Running a batch again, as after a lost driver, writes the same output and state once."""
-    a = spark.createDataFrame([ev(1, 1, 1, True), ev(1, 2, 2, False)], EVENT)
-    b = spark.createDataFrame([ev(1, 3, 3, True)], EVENT)
-    s = stateful.pairing_stream(a.schema, work_dir(spark, "again"))
-    s(a, 0), s(b, 1), s(b, 1)
-    assert rows(s.output(spark), "fd", "n_req", "n_resp") == [(1, 1, 1)]
+    root = work_dir(spark, "pair")
+    got = feed(spark, lambda s, d: stateful.pair_stream(s, delay=d), [a, b, c], root=root)
+    assert rows(got, "fd", "n_req", "n_resp", "resp_bytes") == [(1, 1, 1, 5), (2, 1, 0, 0), (3, 1, 2, 10)]
+    # Connections without an open pair hold nothing.
+    assert rows(state(spark, root), "key.fd", "value.n_req", "value.n_resp") == [(4, 1, 1)]
+
+
+def plain_pairs(events, end, reuse=15, patience=120):
+    """Pairs of one process's events by a loop over the sorted events, with the state at ``end``."""
+    out, open_ = [], {}
+
+    def done(fd, ns):
+        p = open_.get(fd)
+        if p and (p[4] or p[2]) // S + (reuse if p[3] else patience) <= ns // S:
+            out.append((fd, *open_.pop(fd)))
+
+    for _, fd, _, ts, _, res, q, port, _ in sorted(events, key=lambda e: (e[3], e[2])):
+        done(fd, ts)
+        p = open_.get(fd)
+        if q and (p is None or p[3] or p[6] != port):
+            if p:
+                out.append((fd, *p))
+            open_[fd] = [ts, 1, ts, 0, None, res, port]
+        elif q:
+            p[1], p[2], p[5] = p[1] + 1, ts, p[5] + res
+        elif p:
+            p[3], p[4] = p[3] + 1, ts
+    for fd in list(open_):
+        done(fd, end)
+    return sorted(((r[0], r[1], r[2], r[4], r[5], r[6]) for r in out), key=str)
+
+
+@pytest.mark.parametrize("cuts,delay", [((20, 40), 0), ((), 0), ((7, 30, 55), 200)])
+def test_pairing_does_not_depend_on_batches_or_arrival(spark, cuts, delay):
+    """In three batches, in one, and out of order within the watermark's delay."""
+    rnd = random.Random(len(cuts))
+    evs, t = [], 0
+    for i in range(80):
+        t += rnd.choice([1, 2, 14, 16, 60, 130])
+        evs.append(ev(rnd.choice([1, 1, 1, 2]), i, t, rnd.random() < 0.5, rnd.choice([1, 1, 2])))
+    given = list(evs)
+    if delay:
+        given.sort(key=lambda e: e[3] + rnd.randrange(delay) * S)
+    frames = [spark.createDataFrame(given[i:j], EVENT) for i, j in zip((0, *cuts), (*cuts, len(given)))]
+    end = (t - delay) * S
+    got = feed(spark, lambda s, d: stateful.pair_stream(s, delay=d), frames, delay=f"{delay} seconds")
+    found = sorted((tuple(r) for r in got.select(*PAIR).collect()), key=str)
+    assert found == plain_pairs([e for e in evs if e[3] <= end], end)
+    assert len({r[:2] for r in found}) == len(found)
+
+
+def test_pairing_payload_is_bounded(spark):
+    events = [(1, 1, i, (i + 1) * S // 1000, 10, 100, i == 0 or i % 500 > 0, 1, 7, b"x" * 100) for i in range(1000)] + [(1, 2, 2000, 90 * S, 10, 1, True, 1, 7, b"")]
+    frames = [spark.createDataFrame(events[i:j], EVENT + ", data binary") for i, j in ((0, 600), (600, 1001))]
+    root = work_dir(spark, "pair")
+    got = feed(spark, lambda s, d: stateful.pair_stream(s, payload=True, snap=250, delay=d), frames, root=root)
+    assert [(r.n_req, len(r.request_data), len(r.response_data)) for r in got.collect()] == [(500, 250, 100)]
+    assert sorted((r.value.n_req, len(r.value.request_data)) for r in state(spark, root).collect()) == [(499, 250)]
+
+
+def test_state_settings_are_the_querys_own(spark):
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    source = work_dir(spark, "feed")
+    spark.createDataFrame([ev(1, 1, 1, True)], EVENT).write.parquet(source)
+    query = start_append(stateful.pair_stream(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), delay="0 seconds"), work_dir(spark, "stream"))
+    query.awaitTermination()
+    assert {k: spark.conf.get(k, None) for k in STATE_CONF} == before
+    assert any("rocksdbCommitFlushLatency" in str(p["stateOperators"]) or "rocksdb" in str(p["stateOperators"]).lower() for p in query.recentProgress)
+
+
+def test_dns_replaced_expired_and_late(spark):
+    schema = EVENT + ", sip string, dip string, dport int, dns_id long"
+
+    def q(seq, t, is_request, id_):
+        return (*ev(1, seq, t, is_request), "a", "b", 53, id_)
+
+    frames = [spark.createDataFrame(f, schema) for f in (
+        [q(1, 1, True, 7), q(2, 2, True, 7), q(3, 3, True, 8)],      # the second takes the place of the first
+        [q(4, 4, False, 7), q(5, 5, False, 7), q(6, 10, True, 9)],   # answers the second; nothing is pending then
+        [q(7, 124, False, 8), q(8, 125, False, 9)])]                 # 8 has expired at 123, 9 has not
+    root = work_dir(spark, "dns")
+    got = feed(spark, lambda s, d: stateful.dns_stream(s, delay=d), frames, root=root)
+    assert rows(got, "dns_id", "req_seq", "resp_seq") == [(7, 2, 4), (8, 3, None), (9, 6, 8)]
+    assert state(spark, root, "pending").count() == 0
 
 
 def test_connects_across_batches(spark):
-    data = sorted(CONNECT_ROWS, key=lambda r: r[1])
+    data = sorted(((r[0], r[1] * 1_000_000, *r[2:]) for r in CONNECT_ROWS), key=lambda r: r[1])
     frames = [spark.createDataFrame(data[i:i + 8], CONNECT) for i in range(0, len(data), 8)]
-    got = feed(spark, stateful.connect_stream(frames[0].schema, work_dir(spark, "connects")), frames)
-    want = connects.finished(connects.attempts(spark.createDataFrame(CONNECT_ROWS, CONNECT)))
+    none = spark.createDataFrame([], "pid long, local_ip string, local_port int, remote_ip string, remote_port int, state string")
+    # A last event of its own moves the watermark behind the others.
+    last = spark.createDataFrame([(999, max(r[1] for r in data) + 1_000_000, "sendto", "x", 9, "b", 80, 0, 0, 0, 1)], CONNECT)
+    got = feed(spark, lambda s, d: stateful.connect_stream(s, none, wait_s=10 ** 6, delay=d), [*frames, last])
+    want = connects.finished(connects.attempts(spark.createDataFrame(data, CONNECT)))
     cols = ["src_port", "success", "errno", "ts_ns", "connect_duration_nanoseconds_total"]
     assert rows(got, *cols) == rows(want, *cols)
 
 
 def test_connects_expire_by_socket(spark):
-    a = spark.createDataFrame([(1, 1 * S, "tcp_connect", "a", 1, "b", 80, 0, 0, 0, 0), (2, 2 * S, "connect", "a", 1, "b", 80, -115, 0, 0, 5)], CONNECT)
-    b = spark.createDataFrame([(3, 30 * S, "sendto", "x", 9, "b", 80, 0, 0, 0, 1)], CONNECT)
-    socks = spark.createDataFrame([(6, "a", 1, "b", 80, "01")], "pid long, local_ip string, local_port int, remote_ip string, remote_port int, state string")
-    got = feed(spark, stateful.connect_stream(a.schema, work_dir(spark, "connects"), socks), [a, b])
-    assert rows(got, "src_port", "success") == [(1, False)]
+    """After 10 s: established, gone, still connecting (an event decides it later), process unknown."""
+    a = [(10 * p + k, (p + k) * S, n, "a", p, "b", 80, r, 0, 0, pid) for p in (1, 2, 3, 4) for k, (n, r, pid) in enumerate([("tcp_connect", 0, 0), ("connect", -115, 5 if p < 4 else 0)])]
+    b = [(100, 30 * S, "sendto", "a", 3, "b", 80, 0, 0, 0, 1), (101, 31 * S, "sendto", "x", 9, "b", 80, 0, 0, 0, 1)]
+    socks = spark.createDataFrame([(5, "a", 1, "b", 80, "01"), (5, "a", 3, "b", 80, "02"), (6, "a", 2, "b", 80, "01")], "pid long, local_ip string, local_port int, remote_ip string, remote_port int, state string")
+    frames = [spark.createDataFrame(x, CONNECT) for x in (a, b)]
+    got = feed(spark, lambda s, d: stateful.connect_stream(s, socks, delay=d), frames)
+    assert rows(got, "src_port", "success", "ts_ns") == [(1, True, 2 * S), (2, False, 3 * S), (3, True, 30 * S)]
 
 
 def test_totals_expire(spark):
-    import pyspark.sql.types as T
-    frames = [spark.createDataFrame([(k, v, t * S)], "k string, v long, ts_ns long") for k, v, t in [("a", 1, 0), ("a", 2, 10), ("b", 5, 400), ("b", 1, 401)]]
-    s = stateful.cumulative_stream(T.StructType([T.StructField("k", T.StringType())]), ["v"], work_dir(spark, "totals"))
-    assert rows(feed(spark, s, frames), "k", "v") == [("a", 1), ("a", 3), ("a", 3), ("b", 5), ("b", 6)]
+    frames = [spark.createDataFrame([(k, v, t * S)], "k string, v long, ts_ns long") for k, v, t in [("a", 1, 1), ("a", 2, 10), ("b", 5, 400), ("b", 1, 401), ("a", 7, 402)]]
+    got = feed(spark, lambda s, d: stateful.totals_stream(s, ["k"], ["v"], delay=d), frames)
+    assert rows(got, "k", "v", "expired") == [("a", 1, False), ("a", 3, False), ("a", 3, True), ("a", 7, False), ("b", 5, False), ("b", 6, False)]
+
+
+def test_totals_of_a_frequent_label_set(spark):
+    data = [("hot", 1, i * 1000) for i in range(1, 20_001)] + [("cold", 1, S)]
+    got = feed(spark, lambda s, d: stateful.totals_stream(s, ["k"], ["v"], delay=d), [spark.createDataFrame(data, "k string, v long, ts_ns long").repartition(3)])
+    assert rows(got, "k", "v") == [("cold", 1), ("hot", 20_000)]
 
 
 def test_nat_time_to_live(spark):
     cols = "id long, ts_ns long, src_ip string, src_port long, dst_ip string, dst_port long, dnat_ip string, dnat_port long, is_lookup boolean"
     def row(i, t, port, look):
         return (i, t * S, "s", port, "d", 80, None if look else "n", None if look else 8, look)
-    frames = [spark.createDataFrame(r, cols) for r in ([row(1, 0, 1, False), row(2, 0, 2, False)], [row(3, 60, 1, True)], [row(4, 500, 1, True), row(5, 500, 2, True)])]
-    got = feed(spark, stateful.nat_stream(work_dir(spark, "nat")), frames)
+    frames = [spark.createDataFrame(r, cols) for r in ([row(1, 1, 1, False), row(2, 1, 2, False)], [row(3, 60, 1, True)], [row(4, 500, 1, True), row(5, 500, 2, True)])]
+    root = work_dir(spark, "nat")
+    got = feed(spark, lambda s, d: stateful.nat_stream(s, delay=d), frames, root=root)
     assert rows(got, "id", "dnat_ip") == [(3, "n"), (4, "n"), (5, None)]
+    assert rows(state(spark, root), "key.src_port") == [(1,)]
+
+
+def test_metadata_updates_and_what_is_open(spark):
+    cols = "ip string, uid string, op string, ts_ns long, pod string"
+    frames = [spark.createDataFrame(f, cols) for f in ([("i", "1", "add", S, "a"), ("i", "2", "add", 2 * S, "b")], [("i", "1", "update", 3 * S, "a2"), ("i", "9", "delete", 4 * S, "")], [("i", "1", "delete", 5 * S, ""), ("i", "2", "update", 6 * S, "b2")])]
+    root = work_dir(spark, "metadata")
+    got = feed(spark, lambda s, d: stateful.metadata_stream(s, ["pod"], delay=d), frames, root=root)
+    assert rows(got, "uid", "valid_from", "valid_to", "pod") == [("1", S, 3 * S, "a"), ("1", 3 * S, 5 * S, "a2"), ("2", 2 * S, 6 * S, "b")]
+    assert rows(stateful.open_metadata(spark, root), "uid", "valid_from", "pod") == [("2", 6 * S, "b2")]
+
+
+def test_metadata_batch_writes_its_changes_only(spark):
+    """Bytes of a batch's state files follow the batch, not the entries that are open."""
+    import glob
+    import os
+    cols = "ip string, uid string, op string, ts_ns long, pod string"
+    big = spark.createDataFrame([("i", str(k), "add", S + k, f"pod-{k}" * 20) for k in range(3000)], cols)
+    small = [spark.createDataFrame([("i", str(k), "delete", (2 + k) * S, "")], cols) for k in (1, 2)]
+    root = work_dir(spark, "metadata")
+    feed(spark, lambda s, d: stateful.metadata_stream(s, ["pod"], delay=d), [big, *small], root=root)
+    sizes = {}
+    for path in glob.glob(f"{root}/checkpoint/state/0/*/*.changelog"):
+        version = int(os.path.basename(path).split(".")[0].split("_")[0])
+        sizes[version] = sizes.get(version, 0) + os.path.getsize(path)
+    versions = sorted(sizes)
+    assert sum(sizes[v] for v in versions[-2:]) < max(sizes.values()) / 20, sizes
 
 
 def test_thread_exit(spark):
-    frames = [spark.createDataFrame(r, "pid long, tid long, ts_ns long, name string") for r in ([(1, 1, S, "read"), (1, 1, 2 * S, "procexit"), (1, 2, 3 * S, "read")], [(1, 2, 13 * S, "read")])]
-    assert rows(feed(spark, stateful.thread_exit_stream(work_dir(spark, "threads")), frames), "pid", "tid") == [(1, 1)]
+    frames = [spark.createDataFrame(r, "pid long, tid long, ts_ns long, name string") for r in ([(1, 1, S, "read"), (1, 1, 2 * S, "procexit"), (1, 2, 3 * S, "read")], [(1, 2, 13 * S, "read"), (1, 1, 13 * S, "read")])]
+    root = work_dir(spark, "threads")
+    got = feed(spark, lambda s, d: stateful.thread_exit_stream(s, delay=d), frames, root=root)
+    assert rows(got, "pid", "tid", "ts_ns", "exit_ns") == [(1, 1, 2 * S, 2 * S)]
+    # The number is used again by a new thread.
+    assert rows(state(spark, root), "key.tid", "value.ts_ns") == [(1, 13 * S), (2, 13 * S)]
+
+
+def test_transactions_forget_their_entries(spark):
+    cols = "trace_id string, pid long, ts_ns long, is_entry int, url string, protocol string"
+    frames = [spark.createDataFrame(f, cols) for f in (
+        [("t", 1, S, 1, "/a", "http"), ("t", 1, 2 * S, 1, "/b", "http"), ("t", 1, 4 * S, 0, "", "http"), ("u", 1, S, 1, "/c", "http")],
+        [("t", 1, 5 * S, 0, "", "http"), ("u", 1, 130 * S, 0, "", "http"), ("v", 1, 131 * S, 1, "/d", "http")],
+        [("v", 1, 500 * S, 1, "/e", "http")])]
+    source, root, sizes = work_dir(spark, "feed"), work_dir(spark, "stream"), []
+    for f in frames:
+        f.write.mode("append").parquet(source)
+        plan = stateful.apm_stream(spark.readStream.schema(f.schema).parquet(source), slow_ms=500, delay="0 seconds")
+        query = start_append(plan, root)
+        query.awaitTermination()
+        sizes.append(max((sum(o["numRowsTotal"] for o in p["stateOperators"]), p["batchId"]) for p in query.recentProgress[-1:])[0])
+    got = spark.read.parquet(f"{root}/out")
+    assert rows(got, "trace_id", "start_ns", "request_total_time", "content_key") == [("t", 2 * S, 2 * S, "/b"), ("t", 2 * S, 3 * S, "/b")]
+    # Three entries, an exit and what it met; at the end the last entry only.
+    assert sizes[0] == 5 and sizes[-1] == 1, sizes
 
 
 def test_segments_drop_late(spark):
