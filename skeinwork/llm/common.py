@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.session import stage, work_dir
 
-__all__ = ["by_text", "drop_folder", "fresh", "held", "null_safe_key", "stage", "texts", "work_dir"]
+__all__ = ["Scratch", "by_text", "drop_folder", "fresh", "held", "null_safe_key", "stage", "texts", "work_dir"]
 
 
 def texts(column: pa.Array) -> list[str]:
@@ -69,3 +69,25 @@ def drop_folder(df: DataFrame, path: str) -> None:
     jvm = df.sparkSession._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Staged tables that are removed before the result is returned."""
+
+    def __init__(self):
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def stage(self, df: DataFrame, purpose: str) -> DataFrame:
+        path = work_dir(df.sparkSession, purpose)
+        df.write.parquet(path)
+        staged = df.sparkSession.read.schema(df.schema).parquet(path)
+        self._paths[id(staged)] = (staged, path)
+        return staged
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing reads any more."""
+        for table in tables:
+            drop_folder(*self._paths.pop(id(table)))
+
+    def drop_all(self) -> None:
+        self.drop(*[table for table, _ in self._paths.values()])

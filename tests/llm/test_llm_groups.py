@@ -294,15 +294,17 @@ def test_stages_keep_the_columns_of_documents(spark, stages):
         assert after.count() < before.count() and after.exceptAll(before).count() == 0
 
 
+def five_words(text):
+    words = text.encode().lower().split()
+    return [tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))]
+
+
 def test_stages_decide_as_their_operators(spark, stages):
     by = {name: (b, a) for name, b, a in stages}
     before, after = by["near_duplicates"]
-    rows = before.select("doc_id", "text").collect()
-    prints = {r.doc_id: brute_fingerprint(r.text) for r in rows}
-    ids = sorted(prints)
-    values = np.array([prints[i] for i in ids], np.uint64)
-    pairs = [(ids[k], ids[k + 1 + j]) for k in range(len(ids)) for j in np.flatnonzero(np.bitwise_count(values[k + 1 :] ^ values[k]) <= 2)]
-    assert sorted(r.doc_id for r in after.select("doc_id").collect()) == sorted(set(roots_of(ids, pairs).values()))
+    rows = [(r.doc_id, set(five_words(r.text))) for r in before.select("doc_id", "text").collect()]
+    pairs = [(a, b) for k, (a, x) in enumerate(rows) for b, y in rows[:k] if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y)]
+    assert sorted(r.doc_id for r in after.select("doc_id").collect()) == sorted(set(roots_of([i for i, _ in rows], pairs).values()))
     before, after = by["toxicity"]
     labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
     left = after.join(labels, "doc_id").agg(F.sum("toxic"), F.count("*")).first()
@@ -340,4 +342,4 @@ def test_queries_are_registered():
 
     found = entry.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(found)
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 14))
