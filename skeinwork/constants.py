@@ -91,7 +91,7 @@ TOPOLOGY_METRICS = {**ENTITY_METRICS, "request_io": "request_bytes_total", "resp
 HTTP_METHODS = ["GET", "POST", "PUT", "DELETE", "HEAD", "TRACE", "OPTIONS", "CONNECT"]
 HTTP_VERSIONS = ["HTTP/1.0", "HTTP/1.1"]
 
-# SQL verb -> word in front of the object.
+# SQL verb -> word in front of the object.
 SQL_VERBS = [("select", "from"), ("insert", "into"), ("update", "update"), ("delete", "from"),
              ("drop", "index|table|database"), ("create", "index|table|database"), ("alter", "table"),
              ("set", "set"), ("commit", "commit")]

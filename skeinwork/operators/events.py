@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import struct
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinwork import constants as C
 
+_SIZE = struct.Struct("<I")
+
 
 def const_map(mapping: dict, key: Column, value_type: str | None = None) -> Column:
     """Look a key up in a fixed mapping; null when it is not there."""
@@ -122,34 +128,48 @@ def status_band(ns: Column, green_ms: int, red_ms: int) -> Column:
     return F.when(ns <= green_ms * 1_000_000, "1").when(ns >= red_ms * 1_000_000, "3").otherwise("2")
 
 
-def explode_multimsg(events: DataFrame, name: str = "sendmmsg") -> DataFrame:
-    """One row per message of a multi-message send: buffer of ``uint32 size + data``, the last one may be cut.
+def message_bounds(buffer: memoryview) -> list[tuple[int, int]]:
+    """Offset and length of the messages of a buffer of repeated ``uint32 size + data``; the last one may be cut."""
+    at, total, out = 0, len(buffer), []
+    while at + 4 < total:
+        (size,) = _SIZE.unpack_from(buffer, at)
+        at += 4
+        out.append((at, min(size, total - at)))
+        at += size
+    return out
+
+
+def explode_multimsg(events: DataFrame, name: str = "sendmmsg", part_bytes: int = 1 << 24) -> DataFrame:
+    """One row per message of a multi-message send (``message_bounds``), ``part`` from 0; other events are part 0.
 
-    The walk over the buffer is a fold over its bytes in the row, so it needs no Python and no shuffle.
+    Buffers are walked in Arrow batches, in time linear in their bytes; what is made of a batch is handed on some
+    ``part_bytes`` at a time. A null or empty buffer has no message.
     """
-    from skeinwork.functions.payload import uint_le
-    empty = F.struct(F.lit(0).cast("long").alias("at"),
-                     F.array().cast("array<struct<off:bigint,size:bigint>>").alias("parts"))
-    total = F.octet_length("data").cast("long")
-
-    def size_at(offset):
-        raw = F.hex(F.substr(F.col("data"), (offset + 1).cast("int"), F.lit(4)))
-        swapped = F.concat(*[F.substring(raw, 2 * i + 1, 2) for i in (3, 2, 1, 0)])
-        return F.conv(swapped, 16, 10).cast("long")
-
-    def step(acc, _):
-        done = acc["at"] + 4 >= total
-        size = size_at(acc["at"])
-        part = F.struct((acc["at"] + 4).alias("off"), F.least(size, total - acc["at"] - 4).alias("size"))
-        return F.when(done, acc).otherwise(
-            F.struct((acc["at"] + 4 + size).alias("at"), F.concat(acc["parts"], F.array(part)).alias("parts")))
-
-    # A part takes at least four bytes.
-    steps = F.sequence(F.lit(1), F.greatest(F.ceil(total / 4), F.lit(1)).cast("int"))
-    parts = F.aggregate(steps, empty, step, lambda acc: acc["parts"])
-    multi = (events.where(F.col("name") == name)
-             .select("*", F.posexplode(parts).alias("part", "__p"))
-             .withColumn("data", F.substr("data", (F.col("__p.off") + 1).cast("int"), F.col("__p.size").cast("int")))
-             .withColumn("res", F.octet_length("data").cast("long")).drop("__p"))
-    single = events.where(~F.col("name").eqNullSafe(name)).withColumn("part", F.lit(0))
-    return single.unionByName(multi.select(*single.columns))
+    columns = events.columns
+    schema = T.StructType([*[T.StructField("res", T.LongType()) if f.name == "res" else f for f in events.schema.fields], T.StructField("part", T.IntegerType())])
+
+    def split(batches):
+        for batch in batches:
+            buffers, rows, parts, bodies, held = batch.column(columns.index("data")), [], [], [], 0
+
+            def made():
+                at = pa.array(rows, pa.int64())  # noqa: B023 (called before the next batch)
+                own = {"data": pa.array(bodies, buffers.type), "res": pa.array([len(b) for b in bodies], pa.int64())}  # noqa: B023
+                taken = [own[c] if c in own else batch.column(k).take(at) for k, c in enumerate(columns)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*taken, pa.array(parts, pa.int32())], [*columns, "part"])  # noqa: B023
+
+            for row in range(batch.num_rows):
+                buffer = memoryview(buffers[row].as_buffer() or b"")
+                for part, (at, size) in enumerate(message_bounds(buffer)):
+                    rows.append(row)
+                    parts.append(part)
+                    bodies.append(bytes(buffer[at : at + size]))
+                    held += size + 64
+                    if held >= part_bytes:
+                        yield made()
+                        rows, parts, bodies, held = [], [], [], 0
+            yield made()
+
+    multi = events.where(F.col("name") == name).mapInArrow(split, schema)
+    single = events.where(~F.col("name").eqNullSafe(name)).withColumns({"res": F.col("res").cast("long"), "part": F.lit(0)})
+    return single.unionByName(multi)

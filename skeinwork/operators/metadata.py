@@ -8,6 +8,10 @@ the files instead of being guessed from the plan that makes them, and no record
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,8 +164,29 @@ def _service(when, m):
     return has, {"service": m["service"]}
 
 
+def _by_ends(df: DataFrame, ends: list[str], label: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows with what ``label`` makes of their distinct ``ends``.
+
+    Labels depend on the ends only, and records of one connection repeat them. So the lookups are joined to the distinct
+    ends, and the records meet the result in one join, whatever the number of lookups. Both sides are dealt by the ends.
+    """
+    found = label(df.select(*ends).distinct().withColumns({f"__e_{c}": F.col(c) for c in ends}))
+    made = [c for c in found.columns if not c.startswith("__e_")]
+    found = found.withColumnsRenamed({c: f"__m_{c}" for c in made})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__e_{c}")) for c in ends])
+    return df.join(found, same, "left").select(*[c for c in df.columns if c not in made and c not in ends], *[F.col(f"__m_{c}").alias(c) for c in made])
+
+
+_CLIENT_ENDS = ["container_id", "src_ip", "dst_ip", "dst_port", "dnat_ip", "dnat_port"]
+_TCP_ENDS = ["src_ip", "src_port", "dst_ip", "dst_port", "dnat_ip", "dnat_port"]
+
+
 def enrich_client(df: DataFrame, cluster: Cluster) -> DataFrame:
     """Labels of both ends of a client-side record, by the client precedence."""
+    return _by_ends(df, _CLIENT_ENDS, lambda ends: _client_labels(ends, cluster))
+
+
+def _client_labels(df: DataFrame, cluster: Cluster) -> DataFrame:
     keep = df.columns
     cid, sip = F.coalesce("container_id", F.lit("")), F.coalesce("src_ip", F.lit(""))
     dip0, dport = F.coalesce("dst_ip", F.lit("")), F.col("dst_port").cast("long")
@@ -236,6 +261,10 @@ def enrich_tcp(df: DataFrame, cluster: Cluster) -> DataFrame:
 
     A host-port hit does not stop the search: the pod and node steps after it can overwrite what it set.
     """
+    return _by_ends(df, _TCP_ENDS, lambda ends: _tcp_labels(ends, cluster))
+
+
+def _tcp_labels(df: DataFrame, cluster: Cluster) -> DataFrame:
     from skeinwork.operators.relabel import apply_dnat, prune_ports
     keep = df.columns
     sip, dip = F.coalesce("src_ip", F.lit("")), F.coalesce("dst_ip", F.lit(""))

@@ -110,7 +110,7 @@ SELECT pid, CAST(count(*) AS BIGINT) AS messages, CAST(sum(length(data)) AS BIGI
 def udtf_multimsg(env):
     from skeinwork.functions.udtf import SplitMessages
     env.spark.udtf.register("split_messages", SplitMessages)
-    parts = env.spark.sql("SELECT m.conv_id AS pid, p.res FROM {m} m, LATERAL split_messages(m.data) p", m=_multi_messages(env))
+    parts = env.spark.sql("SELECT id AS pid, res FROM split_messages(TABLE(SELECT conv_id AS id, data FROM {m}))", m=_multi_messages(env))
     return parts.groupBy("pid").agg(F.count("*").alias("messages"), F.sum("res").cast("long").alias("bytes"))
 
 

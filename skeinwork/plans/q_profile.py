@@ -113,12 +113,15 @@ def lock_waiter(env):
 
 @query("thread_names", """
 SELECT e.seq, e.pid, e.tid, coalesce(n.name, 'java') AS thread_name FROM v_socket_events e LEFT JOIN (
-  SELECT pid, tid, name FROM (SELECT pid, tid, concat('n', seq) AS name, row_number() OVER (PARTITION BY pid, tid ORDER BY ts_ns DESC, seq DESC) AS rn FROM v_socket_events WHERE k % 20 = 0) x WHERE rn = 1) n
+  SELECT pid, tid, name FROM (SELECT pid, tid, concat('n', seq) AS name, row_number() OVER (PARTITION BY pid, tid ORDER BY ts_ns DESC, seq DESC) AS rn FROM v_socket_events WHERE name = 'connect') x WHERE rn = 1) n
 ON e.pid = n.pid AND e.tid = n.tid""")
 def thread_names(env):
     s = lambda c: F.col(c).cast("string")
     src = env.v_socket_events
-    lines = src.where("k % 20 = 0").select("pid", "tid", "ts_ns", F.concat(F.lit("kd-tm@"), s("tid"), F.lit("!n"), s("seq"), F.lit("!")).alias("line"))
+    # Every event is a line of the agent: a thread's name or a transaction mark; threads without a name line have none.
+    named = F.concat(F.lit("kd-tm@"), s("tid"), F.lit("!n"), s("seq"), F.lit("!"))
+    marked = F.concat(F.lit("kd-txid@t"), s("seq"), F.lit("!1!http!/pay!"))
+    lines = src.select("pid", "tid", "ts_ns", F.when(F.col("name") == "connect", named).otherwise(marked).alias("line"))
     announced = parse_agent_lines(lines).where("kind = 'thread'")
     return profile.thread_names(src.withColumn("comm", F.lit("java")), announced).select("seq", "pid", "tid", "thread_name")
 

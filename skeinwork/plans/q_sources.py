@@ -234,12 +234,14 @@ _STATES = """SELECT pid, concat('10.0.0.', fd) AS src_ip, sport AS src_port, '10
 
 @query("expire_connections", f"""
 SELECT seq, CASE WHEN state IS NULL THEN 'failure' WHEN state IN ('02', '03') THEN NULL ELSE 'success' END AS outcome FROM ({_STATES}) a LEFT JOIN (
-  SELECT pid, concat('10.0.0.', fd) AS src_ip, min(CASE pid % 4 WHEN 0 THEN '01' WHEN 1 THEN '02' ELSE '06' END) AS state FROM v_socket_events WHERE fd = 1 GROUP BY 1, 2) s USING (pid, src_ip)
+  SELECT pid, concat('10.0.0.', fd) AS src_ip, min(CASE (pid + fd) % 4 WHEN 0 THEN '01' WHEN 1 THEN '02' WHEN 2 THEN '06' END) AS state FROM v_socket_events GROUP BY 1, 2) s USING (pid, src_ip)
 WHERE pid <> 0 AND ts_ns <= (SELECT max(ts_ns) FROM v_socket_events) - 86400000000000""")
 def expire_connections(env):
     from skeinwork.operators.connects import expire
     e = env.v_socket_events
-    socks = e.where("fd = 1").groupBy("pid", F.concat(F.lit("10.0.0."), F.col("fd").cast("string")).alias("local_ip"), F.col("sport").alias("local_port"), F.col("dport").alias("remote_port")).agg(
-        F.min(F.when(F.col("pid") % 4 == 0, "01").when(F.col("pid") % 4 == 1, "02").otherwise("06")).alias("state")).withColumn("remote_ip", F.lit("10.1.0.1"))
+    # A connection whose state is none has no row in the socket table.
+    nth = (F.col("pid") + F.col("fd")) % 4
+    socks = e.groupBy("pid", F.concat(F.lit("10.0.0."), F.col("fd").cast("string")).alias("local_ip"), F.col("sport").alias("local_port"), F.col("dport").alias("remote_port")).agg(
+        F.min(F.when(nth == 0, "01").when(nth == 1, "02").when(nth == 2, "06")).alias("state")).where("state IS NOT NULL").withColumn("remote_ip", F.lit("10.1.0.1"))
     now = e.agg(F.max("ts_ns")).scalar()
     return expire(env.sql(_STATES).withColumnRenamed("ts_ns", "first_ns"), socks, now, wait_s=86_400).select("seq", "outcome")

@@ -123,3 +123,19 @@ def test_gates_keep_rows_without_the_tested_value(spark):
     df = spark.createDataFrame([(None, None, 1, None), ("java", "tcp", 2, "read")], "comm string, l4 string, dport int, name string").withColumn("data", F.lit(b""))
     assert events.suppress_comm(df).count() == 2 and events.udp_dns_gate(df).count() == 2
     assert events.explode_multimsg(df.withColumn("res", F.lit(0).cast("long"))).count() == 2
+
+
+def test_multimsg_is_linear_in_bytes(spark):
+    """A buffer of 10 MB of four-byte messages, with other columns, a null and an empty buffer beside it."""
+    import struct
+    import time
+
+    n = 10_000_000 // 8
+    rows = [("sendmmsg", b"".join(struct.pack("<II", 4, k) for k in range(n)), 0, "big"), ("sendmmsg", None, 0, "null"), ("sendmmsg", b"", 0, "empty"),
+            ("sendmmsg", struct.pack("<I", 9) + b"cut", 0, "cut"), ("write", b"plain", 5, "single"), (None, b"x", 1, "none")]
+    df = spark.createDataFrame(rows, "name string, data binary, res int, kind string")
+    start = time.time()
+    out = events.explode_multimsg(df).groupBy("kind").agg(F.count("*"), F.max("part"), F.sum("res"), F.sum(F.octet_length("data")))
+    got = {r[0]: tuple(r)[1:] for r in out.collect()}
+    assert got == {"big": (n, n - 1, 4 * n, 4 * n), "cut": (1, 0, 3, 3), "single": (1, 0, 5, 5), "none": (1, 0, 1, 1)}
+    assert time.time() - start < 60
