@@ -333,13 +333,13 @@ def resolve_workload(pods: DataFrame, replicasets: DataFrame) -> DataFrame:
 
 
 def metadata_asof(records: DataFrame, validity: DataFrame, keys: list[str], values: list[str], ts: str = "ts_ns",
-                  grace_ns: int = C.METADATA_GRACE_S * 1_000_000_000, slice_ns: int = 3600 * 1_000_000_000) -> DataFrame:
+                  grace_ns: int = C.METADATA_GRACE_S * 1_000_000_000, slice_ns: int = 3600 * 1_000_000_000, slice_rows: int | None = None) -> DataFrame:
     """Metadata that was current at a record's time.
 
     The newest entry of a key replaces older ones at its ``valid_from``; it is gone ``grace`` after its ``valid_to``
-    (null = still there).
+    (null = still there). ``slice_rows`` also bounds the rows of a slice (bursts; counts the rows first).
     """
     table = validity.select(*keys, "valid_from", F.col("valid_to").alias("__valid_to"), *[F.col(v).alias(f"__m_{v}") for v in values])
-    hit = scan.asof_join(records, table, keys, ts, "valid_from", ["valid_from", "__valid_to", *[f"__m_{v}" for v in values]], slice_ns)
+    hit = scan.asof_join(records, table, keys, ts, "valid_from", ["valid_from", "__valid_to", *[f"__m_{v}" for v in values]], slice_ns, slice_rows=slice_rows)
     alive = F.col("valid_from").isNotNull() & (F.col("__valid_to").isNull() | (F.col(ts) <= F.col("__valid_to") + grace_ns))
     return hit.select(*records.columns, *[F.when(alive, F.col(f"__m_{v}")).alias(v) for v in values])

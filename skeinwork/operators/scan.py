@@ -25,6 +25,24 @@ def time_slice(ts: str | Column, width_ns: int = DEFAULT_SLICE_NS) -> Column:
     return F.floor(col / F.lit(width_ns))
 
 
+def balanced_slices(df: DataFrame, keys: list[str], at: str, width: int | None = None, rows: int = 1_000_000, name: str = "__fine") -> DataFrame:
+    """Add ``name``, a slice for the scans that holds about ``rows`` rows of its key at most, however they lie in time.
+
+    A key is cut by ``width`` of ``at`` (not at all without one). Slices of more rows are cut again, at 63 approximate
+    quantiles of their own: a burst of a second becomes many slices, and a quiet key stays one. Counts and quantiles are
+    aggregations with partial sums; the cuts are a row per full slice. Rows of one and the same ``at`` stay together.
+    """
+    coarse = F.floor(F.col(at) / F.lit(width)) if width else F.lit(0)
+    marked = df.withColumn("__coarse", coarse.cast("long"))
+    full = marked.groupBy(*keys, "__coarse").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows).drop("__n")
+    heavy = join_same(marked.select(*keys, "__coarse", at), full, [*keys, "__coarse"])
+    cuts = heavy.groupBy(*keys, "__coarse").agg(F.percentile_approx(at, [k / 64 for k in range(1, 64)], 10_000).alias("__cuts"))
+    cut = join_same(marked, cuts, [*keys, "__coarse"], "left")
+    behind = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(at))), F.lit(0))
+    fine = F.col("__coarse") * 64 + F.when(F.col("__cuts").isNull(), 0).otherwise(behind)
+    return cut.select(*df.columns, fine.alias(name))
+
+
 def sliced(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows dealt by key and slice, once for the windows inside slices and the summaries of slices.
 
@@ -101,10 +119,11 @@ def carry_next(df: DataFrame, keys: list[str], order: list[str], values: dict[st
 
 
 def asof_join(probes: DataFrame, table: DataFrame, keys: list[str], at: str, table_at: str, values: list[str], slice_width: int,
-              forward: bool = False, inclusive: bool = True, ties: list[str] = ()) -> DataFrame:
+              forward: bool = False, inclusive: bool = True, ties: list[str] = (), slice_rows: int | None = None) -> DataFrame:
     """Add to each probe row the values of the nearest table row of its key before (or after) it.
 
-    Both sides are merged in order and scanned, so nothing is paired up and a hot key is cut into slices.
+    Both sides are merged in order and scanned, so nothing is paired up and a hot key is cut into slices of ``slice_width``,
+    and with ``slice_rows`` also by count (``balanced_slices``).
     ``inclusive`` takes a table row at the very same position too; of equal positions the last by ``ties`` is taken.
     """
     sign = -1 if forward else 1
@@ -116,5 +135,8 @@ def asof_join(probes: DataFrame, table: DataFrame, keys: list[str], at: str, tab
     asked = probes.select(*keys, (F.col(at) * sign).alias("__at"), F.lit(1).alias("__side"), packed)
     merged = asked.unionByName(rows, allowMissingColumns=True)
     order = ["__at", "__side", *[f"__tie{i}" for i in range(len(ties))]]
-    seen = carry_last(merged, keys, order, {"__hit": F.col("__t")}, F.floor(F.col("__at") / F.lit(slice_width)), F.col("__side") != 1)
+    slice_ = F.floor(F.col("__at") / F.lit(slice_width))
+    if slice_rows:
+        merged, slice_ = balanced_slices(merged, keys, "__at", slice_width, slice_rows), F.col("__fine")
+    seen = carry_last(merged, keys, order, {"__hit": F.col("__t")}, slice_, F.col("__side") != 1)
     return seen.where("__side = 1").select("__p.*", *[F.col(f"__hit.{v}").alias(v) for v in values])

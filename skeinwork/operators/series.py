@@ -11,17 +11,19 @@ from skeinwork.operators import scan
 def deltas(samples: DataFrame, keys: list[str], ts: str = "ts", value: str | list[str] = "value", slice_: Column | None = None) -> DataFrame:
     """Growth from the sample before: a counter that went down started again from 0; the first sample grows 0.
 
-    One value gives column ``delta``; a list gives ``delta_<value>`` for each, in one pass.
+    One value gives column ``delta``; a list gives ``delta_<value>`` for each, in one pass. Without ``slice_`` long series are
+    cut by their number of samples, for which the samples are counted first.
     """
     values = [value] if isinstance(value, str) else list(value)
-    seen = scan.carry_last(samples, keys, [ts], {f"__prev_{v}": F.col(v) for v in values}, slice_ if slice_ is not None else F.lit(0))
+    cut = samples if slice_ is not None else scan.balanced_slices(samples, keys, ts)
+    seen = scan.carry_last(cut, keys, [ts], {f"__prev_{v}": F.col(v) for v in values}, slice_ if slice_ is not None else F.col("__fine"))
 
     def grown(v):
         prev, now = F.col(f"__prev_{v}"), F.col(v)
         return F.when(prev.isNull(), F.lit(0)).when(now < prev, now).otherwise(now - prev).cast("long")
 
     names = {v: "delta" if isinstance(value, str) else f"delta_{v}" for v in values}
-    return seen.withColumns({names[v]: grown(v) for v in values}).drop(*[f"__prev_{v}" for v in values])
+    return seen.withColumns({names[v]: grown(v) for v in values}).drop("__fine", *[f"__prev_{v}" for v in values])
 
 
 def increase(samples: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", step: Column | None = None,

@@ -54,3 +54,32 @@ def test_no_task_sees_a_whole_hot_key(data):
     assert "__slice" in plan and "[k#" in plan
     for line in (x for x in plan.splitlines() if "Window [" in x and "__slice" not in x.split("], [")[1]):
         assert "__n" in line, line
+
+
+def test_a_burst_is_cut_by_count(spark):
+    """Nine tenths of the rows in one second of one key: no slice holds twice the median, and scans agree with the window."""
+    rnd = random.Random(4)
+    burst = [("hot", i, 5_000_000_000 + rnd.randrange(1_000_000_000), i % 7) for i in range(18_000)]
+    quiet = [(rnd.choice(["hot", "b", None]), 18_000 + i, rnd.randrange(3600) * 1_000_000_000, i % 7) for i in range(2000)]
+    df = spark.createDataFrame(burst + quiet, "k string, seq long, ts long, v long")
+    fine = scan.balanced_slices(df, ["k"], "ts", 60_000_000_000, rows=1000)
+    sizes = sorted(r["count"] for r in fine.where("k = 'hot' AND ts >= 5000000000 AND ts < 6000000000").groupBy("__fine").count().collect())
+    assert len(sizes) >= 60 and sizes[-1] < 2 * sizes[len(sizes) // 2], sizes
+    assert fine.groupBy("k", "__fine").count().agg(F.max("count")).first()[0] <= 1000
+    w = Window.partitionBy("k").orderBy("ts", "seq")
+    plain = df.withColumn("total", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    got = scan.running_sum(fine, ["k"], ["ts", "seq"], F.col("v"), "total", F.col("__fine"))
+    assert rows(got, "seq", "total") == rows(plain, "seq", "total")
+    table = df.where("v > 5").select("k", F.col("ts").alias("at"), F.col("seq").alias("id"))
+    probes = df.where("v < 2").select("k", "seq", "ts")
+    args = (probes, table, ["k"], "ts", "at", ["id"], 60_000_000_000, False, True, ["id"])
+    assert rows(scan.asof_join(*args, slice_rows=500), "seq", "id") == rows(scan.asof_join(*args), "seq", "id")
+
+
+def test_series_without_slices_are_cut_by_count(spark):
+    from skeinwork.operators import series
+
+    df = spark.createDataFrame([("a", t, (t * 7) % 50) for t in range(500)] + [("b", 1, 3)], "k string, ts long, value long")
+    want = {"a": sum(now if now < prev else now - prev for prev, now in zip([(t * 7) % 50 for t in range(499)], [(t * 7) % 50 for t in range(1, 500)])), "b": 0}
+    assert {r.k: r.increase for r in series.increase(df, ["k"]).collect()} == want
+    assert series.deltas(df, ["k"]).columns == ["k", "ts", "value", "delta"]
