@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.functions import text
@@ -13,11 +13,19 @@ SEPARATOR = "\n------\n"
 _SEGMENT = ["pid", "tid", "threadName", "startTime", "endTime", "isSent", "cpuEvents", "javaFutexEvents", "transactionIds", "spans", "innerCalls"]
 
 
-def scan_trace_blocks(spark: SparkSession, path: str) -> DataFrame:
+def scan_trace_blocks(spark: SparkSession, path: str, of: Column | str | None = None) -> DataFrame:
     """Blocks of trace files as records with their file. The separator splits the file while it is read, so a block
-    is a row and a large file is read by several tasks. Broken blocks are left out."""
+    is a row and a large file is read by several tasks. Broken blocks are left out.
+
+    ``of`` is a condition on what the paths say (``catalog_from_paths``: workload, pod, container, pid, time, protocol,
+    content_key, is_server). It reads nothing but the file's path, so Spark decides it when it lists the files and opens only
+    those that meet it; files whose path says nothing are then left out.
+    """
     raw = spark.read.option("lineSep", SEPARATOR).option("recursiveFileLookup", True).text(path)
-    parsed = raw.select(F.col("_metadata.file_path").alias("file"), F.from_json(F.trim("value"), RECORD).alias("r")).select("file", "r.*")
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), "value")
+    if of is not None:
+        raw = catalog_from_paths(raw, "file").where(of).select("file", "value")
+    parsed = raw.select("file", F.from_json(F.trim("value"), RECORD).alias("r")).select("file", "r.*")
     return parsed.where(F.col("labels").isNotNull())
 
 
@@ -29,8 +37,9 @@ def split_trace_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return blocks.where(~is_segment), unpack_segments(typed)
 
 
-def scan_trace_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return split_trace_blocks(scan_trace_blocks(spark, path))
+def scan_trace_files(spark: SparkSession, path: str, of: Column | str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Traces and segments of the files below a folder; ``of`` as in ``scan_trace_blocks``."""
+    return split_trace_blocks(scan_trace_blocks(spark, path, of))
 
 
 def catalog_from_paths(files: DataFrame, path: str = "path") -> DataFrame:

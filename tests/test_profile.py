@@ -63,3 +63,43 @@ def test_trace_files(spark):
     assert rows(t, "timestamp") == [(5,)]
     got = s.select("pid", "tid", "startTime", F.size("cpuEvents").alias("c"), F.size("spans").alias("s"))
     assert rows(got) == [(12, 3, 100, 1, 0)]
+
+
+def test_a_filtered_scan_opens_only_its_files(spark):
+    """Files are chosen by what their paths say; one of them is split among tasks at its record marks."""
+    import json
+
+    from skeinwork.session import work_dir
+
+    root = work_dir(spark, "trace-files")
+    block = lambda n: json.dumps({"name": "t", "metrics": [], "labels": {"pid": str(n)}, "timestamp": n})
+    for w, pod, pid in [("w1", "p1", 1), ("w1", "p2", 2), ("w2", "p1", 1), ("w2", "p3", 3)]:
+        for time in (100, 200):
+            text_ = traces.SEPARATOR.join(block(pid * 1000 + k) for k in range(50))
+            spark.createDataFrame([(text_,)], "value string").coalesce(1).write.text(f"{root}/tmp")
+            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+            fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(conf)
+            found = [s.getPath() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/tmp")) if s.getPath().getName().startswith("part-")]
+            folder = jvm.org.apache.hadoop.fs.Path(f"{root}/all/{w}_{pod}_c_{pid}")
+            fs.mkdirs(folder)
+            fs.rename(found[0], jvm.org.apache.hadoop.fs.Path(folder, f"{time}_http_YQ==_true"))
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/tmp"), True)
+
+    def opened(of):
+        blocks = traces.scan_trace_blocks(spark, f"{root}/all", of)
+        rows_ = blocks.collect()
+        plan = blocks._jdf.queryExecution().executedPlan()
+        leaves = plan.collectLeaves()
+        return leaves.head().metrics().get("numFiles").get().value(), len(rows_)
+
+    assert opened(None) == (8, 400)
+    assert opened("pid = 1 AND time = '100'") == (2, 100)
+    assert opened((F.col("workload") == "w2") & F.col("pod").isin("p3") & F.col("is_server") & (F.col("content_key") == "a")) == (2, 100)
+    assert opened("container = 'none'") == (0, 0)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        one = traces.scan_trace_blocks(spark, f"{root}/all", "pid = 2 AND time = '200'")
+        assert one.rdd.getNumPartitions() > 2 and one.count() == 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
