@@ -19,8 +19,8 @@ from skeinwork.llm.common import held
 CACHE_WORDS = 250_000
 
 # A word of Latin letters, perhaps behind a space, is one piece of the pre-tokenizer, and marks behind it are another.
-MARKS = ",.!?;:"
-_WORD = re.compile(rf"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([{MARKS}]*)")
+MARKS = ",.!?;:*%&$#()[]{}<>=+/|@^~\"_-"
+_WORD = re.compile(rf"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(MARKS)}]*)")
 
 
 class TwoGenerations(dict):
@@ -60,7 +60,8 @@ class ChunkEncoder:
         rest = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in printable)}
         self.letters = "".join(chr(rest.get(b, b)) for b in range(256))
         self.space = self.letters[32]
-        self.marks = {m: self._library(m) for m in MARKS + "\n"}
+        self.marks = {m: self._library(m) for m in MARKS + "\n"} | {"": b""}
+        self.mark_runs = TwoGenerations(self._library, 1000)
         self.chunks = TwoGenerations(self._chunk, cache_words)
 
     def _library(self, text: str) -> bytes:
@@ -81,7 +82,7 @@ class ChunkEncoder:
         if not found:
             return self._library(text)
         before, word, after = found.groups()
-        behind = b"".join([self.marks[m] for m in after]) if len(after) < 2 else self._library(after)
+        behind = self.marks[after] if len(after) < 2 else self.mark_runs[after] if len(after) <= 64 else self._library(after)
         if before == "\n":
             return self.marks["\n"] + self._piece(charmap_decode(word.encode(), "strict", self.letters)[0]) + behind
         return self._piece(charmap_decode((before + word).encode(), "strict", self.letters)[0]) + behind

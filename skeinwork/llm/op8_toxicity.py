@@ -25,8 +25,8 @@ _TOP = 0x250
 _CLASS = np.array([_CODE.get(chr(c), OTHER if chr(c).isalpha() else 0) for c in range(_TOP)] + [OTHER], np.int64)
 
 # Letters that a digit or mark may stand for.
-LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l"}
-SEPARATORS = " .-_*/"
+LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "#": "h"}
+SEPARATORS = " \t.-_*/"
 # Log probabilities of the channel: a letter written as leet, a letter written twice, or once more after that, a separator
 # inside a word; a separator or mark that stands between words; a separator between groups of letters that is dropped; a mark
 # that is punctuation: an exclamation mark at the end of a word, another one there, one in front.
@@ -39,12 +39,17 @@ _PIVOT = np.array([chr(c) in LEET for c in range(_TOP)] + [False])
 _SEP = np.array([chr(c) in SEPARATORS or chr(c).isspace() for c in range(_TOP)] + [False])
 _EDGES = ".,;:?*%&#()[]{}\"'-=<>~^/\\"
 _MARKS = "!$+|"
-_SPACED_RUN = re.compile(r"(?<![^\s.*/_-])(?:[^\s.*/_-][ .\-_*/]{1,3}){2,}[^\s.*/_-](?![^\s.*/_-])")
-_INNER = np.array([chr(c) in SEPARATORS and chr(c) != " " for c in range(_TOP)] + [False])
+_SPACED_RUN = re.compile(r"(?<![^\s.*/_-])(?:[^\s.*/_-][ \t.\-_*/]{1,3}){2,}[^\s.*/_-](?![^\s.*/_-])")
+_INNER = np.array([chr(c) in SEPARATORS and not chr(c).isspace() for c in range(_TOP)] + [False])
+# What is not seen between two letters, and what is a number although it has marks.
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_NUMBER = re.compile(r"[-+$€£#|]*\d[\d.,:/|+-]*[%$€£+!]?")
+# A token without any of these has one path through the lattice.
+_ODD = re.compile(r"(.)\1|[0-9@$!|+€£#]|.[.\-_*/].", re.S)
 _WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 FORM_TEXTS, CHANCE, SIGNATURES = 5, 0.01, 10
-CACHED_CHARS, CACHED_SPANS = 64, 100_000
+CACHED_CHARS, CACHED_SPANS, CACHED_TOKENS = 64, 60_000, 150_000
 
 
 def _codes(text: str) -> np.ndarray:
@@ -58,14 +63,18 @@ def trigram_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``code`` (a trigram of symbols) and ``n`` over all texts, lower-cased. A task sends at most one row per trigram."""
 
     def run(batches):
-        total = np.zeros(BASE**3, np.int64)
+        total, codes, held_codes = np.zeros(BASE**3, np.int64), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
                     s = np.concatenate(([0, 0], _CLASS[_codes(text.lower())], [0]))
-                    total += np.bincount(s[:-2] * BASE * BASE + s[1:-1] * BASE + s[2:], minlength=BASE**3) if len(s) > BASE**3 else 0
-                    if len(s) <= BASE**3:
-                        np.add.at(total, s[:-2] * BASE * BASE + s[1:-1] * BASE + s[2:], 1)
+                    codes.append(s[:-2] * BASE * BASE + s[1:-1] * BASE + s[2:])
+                    held_codes += len(s)
+                    if held_codes > 4 * BASE**3:
+                        total += np.bincount(np.concatenate(codes), minlength=BASE**3)
+                        codes, held_codes = [], 0
+        if codes:
+            total += np.bincount(np.concatenate(codes), minlength=BASE**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["code", "n"])
 
@@ -94,7 +103,7 @@ def lattice(span: str) -> list[list[tuple[int | None, str, float]]]:
     spaced, lowered = _SPACED_RUN.fullmatch(span) is not None, span.lower()
     begin, end = len(lowered) - len(lowered.lstrip(_MARKS)), len(lowered.rstrip(_MARKS))
     for k, c in enumerate(lowered):
-        if c in SEPARATORS and (spaced or (c != " " and 0 < k < len(lowered) - 1)):
+        if c in SEPARATORS and (spaced or (not c.isspace() and 0 < k < len(lowered) - 1)):
             again = k > 0 and lowered[k - 1] in SEPARATORS  # of several separators one may stand between words
             out.append([(None, "", 0.0 if again else SPACED if spaced else JOINED), (0, " ", BETWEEN if spaced else 0.0)])
             continue
@@ -145,9 +154,25 @@ def _word_around(text: str, at: int, done: int) -> tuple[int, int]:
     return start, end
 
 
+def _in_marks(core: str) -> bool:
+    """Digits and marks that are no number, amount or time."""
+    kinds = {c for c in core if c in LEET}
+    return len(kinds) > 1 and not all(map(str.isdigit, kinds)) and not _NUMBER.fullmatch(core)
+
+
+def spaced_out(text: str) -> bool:
+    """Somewhere three letters in a row stand alone."""
+    c = _codes(text)
+    if len(c) < 5:
+        return False
+    sep = np.concatenate(([True], _SEP[c], [True]))
+    gaps = np.diff(np.flatnonzero(sep[:-2] & ~sep[1:-1] & sep[2:])) <= 4
+    return bool((gaps[1:] & gaps[:-1]).any()) and _SPACED_RUN.search(text) is not None
+
+
 def suspicious_spans(text: str) -> list[tuple[int, int]]:
-    """Spans with more than one path through the lattice: letters spaced out one by one; words with a letter and a leet
-    character, a doubled letter, or a separator between letters or marks. Numbers without letters are left alone."""
+    """Spans with more than one path through the lattice: letters spaced out one by one; words with a leet character, a
+    doubled letter, or a separator between letters or marks. A word without letters has to be written in marks (``@$$``)."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     c = np.minimum(raw, _TOP)
     if not len(c):
@@ -168,7 +193,7 @@ def suspicious_spans(text: str) -> list[tuple[int, int]]:
         done = end
         word = text[start:end]
         core = word.strip(_EDGES)
-        if core and any(map(str.isalpha, core)):
+        if core and (any(map(str.isalpha, core)) or _in_marks(core)):
             begin = start + word.find(core)
             spans.append((begin, begin + len(core)))
     spans.sort()
@@ -206,6 +231,7 @@ class Scorer:
         self.starts = {k: {f[:-1]: w for f, w in weights.items() if f.endswith("*") and len(f) == k + 1} for k in PREFIXES}
         self._list: list[float] | None = None
         self._known: TwoGenerations | None = None
+        self._tokens: TwoGenerations | None = None
 
     def log_probs(self) -> list[float]:
         if self._list is None:
@@ -219,12 +245,29 @@ class Scorer:
         return self._known[span.encode("utf-8", "surrogatepass")]
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_list": None, "_known": None}
+        return self.__dict__ | {"_list": None, "_known": None, "_tokens": None}
 
-    def words_of(self, text: str) -> set[str]:
+    def _restored(self, text: str) -> set[str]:
         plain: set[str] = set()
         return set(_WORDS.findall(restore(text, self.log_probs(), self.known, plain).lower())) | plain
 
+    def _token(self, token: str) -> tuple[str, ...]:
+        lowered = token.lower()
+        return tuple(self._restored(token) if _ODD.search(lowered) else _WORDS.findall(lowered))
+
+    def words_of(self, text: str) -> set[str]:
+        """Distinct words of the restored text. Spans lie between blanks unless letters are spaced out, so the words of a text
+        are those of its tokens, and a worker keeps the words of the tokens it has seen last."""
+        text = text if text.isascii() else _UNSEEN.sub("", text)
+        if spaced_out(text):
+            return self._restored(text)
+        if self._tokens is None:
+            self._tokens = TwoGenerations(self._token, CACHED_TOKENS)
+        tokens = set(text.split())
+        long = {t for t in tokens if len(t) > CACHED_CHARS}
+        found: set[str] = set().union(*map(self._tokens.__getitem__, tokens - long if long else tokens))
+        return found.union(*map(self._token, long)) if long else found
+
     def score(self, text: str) -> float:
         words, found = self.words_of(text), {}
         for w in words & self.words.keys():
