@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
 import pyarrow as pa
-from pyspark.sql.functions import arrow_udtf, udtf
+from pyspark.sql.functions import arrow_udtf
 
 from skeinwork.operators.events import message_bounds
 
@@ -24,15 +22,3 @@ class SplitMessages:
                 parts.append(part)
                 bodies.append(bytes(view[at : at + size]))
         yield pa.table({"id": pa.array(ids, pa.int64()), "part": pa.array(parts, pa.int32()), "res": pa.array([len(b) for b in bodies], pa.int64()), "data": pa.array(bodies, pa.binary())})
-
-
-@udtf(returnType="level: int, path: string, name: string, start: bigint, end: bigint")
-class FlattenCalls:
-    """Nodes of a nested call tree with their level, top down; the depth is not limited."""
-
-    def eval(self, tree: str):
-        todo = [(1, str(i), node) for i, node in enumerate(json.loads(tree or "[]"))]
-        while todo:
-            level, path, node = todo.pop()
-            yield level, path, node.get("name"), node["from"], node["to"]
-            todo.extend((level + 1, f"{path}.{i}", child) for i, child in enumerate(node.get("child") or []))

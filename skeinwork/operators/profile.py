@@ -5,8 +5,13 @@ Times are nanoseconds. ``lo_ns`` / ``hi_ns`` on a row are the range its trace is
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinwork import constants as C
 from skeinwork.functions import text
@@ -290,13 +295,43 @@ def flame_parents(frames: DataFrame, key: list[str], chunk: int = 100_000) -> Da
     return hit.select(*frames.columns, F.when(inside, F.col("parent_index")).alias("parent_index"), F.when(inside, F.col("parent_name")).alias("parent_name"))
 
 
-def stack_levels(calls: DataFrame, key: list[str], tree: str = "flames") -> DataFrame:
-    """Nested call trees (JSON lists with from, to, name, child) -> rows with level, duration and share of the total."""
-    from skeinwork.functions.udtf import FlattenCalls
-    spark = calls.sparkSession
-    spark.udtf.register("flatten_calls", FlattenCalls)
-    cols = ", ".join(f"c.{k}" for k in key)
-    rows = spark.sql(f"SELECT {cols}, f.* FROM {{calls}} c, LATERAL flatten_calls(c.{tree}) f", calls=calls)
+def call_nodes(tree: str | None) -> Iterator[tuple[int, str, str | None, int, int]]:
+    """(level, path, name, start, end) of the nodes of a nested call tree, top down; its depth is not limited by Python's."""
+    todo = [(1, str(i), node) for i, node in enumerate(json.loads(tree or "[]"))]
+    while todo:
+        level, path, node = todo.pop()
+        yield level, path, node.get("name"), node["from"], node["to"]
+        todo.extend((level + 1, f"{path}.{i}", child) for i, child in enumerate(node.get("child") or []))
+
+
+def stack_levels(calls: DataFrame, key: list[str], tree: str = "flames", part_rows: int = 100_000) -> DataFrame:
+    """Nested call trees (JSON lists with from, to, name, child) -> rows with level, duration and share of the total.
+
+    Trees are flattened in Arrow batches, in one pass over each tree; ``part_rows`` nodes are handed on at a time. Null and
+    empty trees have no nodes, a node may lack name and children.
+    """
+    layout = {"level": pa.int32(), "path": pa.string(), "name": pa.string(), "start": pa.int64(), "end": pa.int64()}
+    own = T.StructType().add("level", T.IntegerType()).add("path", T.StringType()).add("name", T.StringType()).add("start", T.LongType()).add("end", T.LongType())
+    given = calls.select(*key, F.col(tree).alias("__tree"))
+    schema = T.StructType([*given.drop("__tree").schema.fields, *own.fields])
+
+    def made(batch: pa.RecordBatch, at: list[int], nodes: list[tuple]) -> pa.RecordBatch:
+        where, columns = pa.array(at, pa.int64()), list(zip(*nodes)) or [()] * len(layout)
+        return pa.RecordBatch.from_arrays([*[batch.column(k).take(where) for k in range(len(key))], *[pa.array(c, t) for c, t in zip(columns, layout.values())]], [*key, *layout])
+
+    def flatten(batches):
+        for batch in batches:
+            at, nodes = [], []
+            for row, text_ in enumerate(batch.column(len(key)).to_pylist()):
+                for node in call_nodes(text_):
+                    at.append(row)
+                    nodes.append(node)
+                    if len(nodes) >= part_rows:
+                        yield made(batch, at, nodes)
+                        at, nodes = [], []
+            yield made(batch, at, nodes)
+
+    rows = given.mapInArrow(flatten, schema)
     total = rows.where("level = 1").groupBy(*key).agg((F.max("end") - F.min("start")).alias("__total"))
     t = F.col("end") - F.col("start")
     return rows.join(total, key).withColumns({"time": t, "time_rate": t.cast("double") / F.col("__total").cast("double")}).drop("__total")

@@ -103,3 +103,16 @@ def test_a_filtered_scan_opens_only_its_files(spark):
         assert one.rdd.getNumPartitions() > 2 and one.count() == 50
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_deep_and_odd_call_trees(spark):
+    """A tree 300 deep, a node without name and children, empty and null trees; in parts of some nodes."""
+    import json
+
+    deep = "".join(f'[{{"from":{k},"to":{1000 - k},"name":"f{k}","child":' for k in range(1, 301)) + "[]" + "}]" * 300
+    odd = json.dumps([{"from": 0, "to": 4}, {"from": 4, "to": 10, "name": "b", "child": [{"from": 5, "to": 6, "name": "c", "child": None}]}])
+    df = spark.createDataFrame([("odd", odd), ("empty", ""), ("none", None), ("list", "[]")], "k string, flames string")
+    got = rows(profile.stack_levels(df, ["k"], part_rows=2), "k", "level", "path", "name", "start", "end", "time_rate")
+    assert got == [("odd", 1, "0", None, 0, 4, 0.4), ("odd", 1, "1", "b", 4, 10, 0.6), ("odd", 2, "1.0", "c", 5, 6, 0.1)]
+    out = profile.stack_levels(spark.createDataFrame([("deep", deep)], "k string, flames string"), ["k"]).orderBy("level").collect()
+    assert [r.level for r in out] == list(range(1, 301)) and out[-1].path == ".".join(["0"] * 300) and out[-1].name == "f300"
