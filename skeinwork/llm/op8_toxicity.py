@@ -25,7 +25,7 @@ _TOP = 0x250
 _CLASS = np.array([_CODE.get(chr(c), OTHER if chr(c).isalpha() else 0) for c in range(_TOP)] + [OTHER], np.int64)
 
 # Letters that a digit or mark may stand for.
-LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "#": "h"}
+LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l"}
 SEPARATORS = " \t.-_*/"
 # Log probabilities of the channel: a letter written as leet, a letter written twice, or once more after that, a separator
 # inside a word; a separator or mark that stands between words; a separator between groups of letters that is dropped; a mark
@@ -44,12 +44,12 @@ _INNER = np.array([chr(c) in SEPARATORS and not chr(c).isspace() for c in range(
 # What is not seen between two letters, and what is a number although it has marks.
 _UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _NUMBER = re.compile(r"[-+$€£#|]*\d[\d.,:/|+-]*[%$€£+!]?")
-# A token without any of these has one path through the lattice.
-_ODD = re.compile(r"(.)\1|[0-9@$!|+€£#]|.[.\-_*/].", re.S)
+_BLANK = np.array([chr(c).isspace() for c in range(_TOP)] + [False])
+_WIDE_BLANKS = np.array([c for c in range(_TOP, 0x3001) if chr(c).isspace()], np.uint32)
 _WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 FORM_TEXTS, CHANCE, SIGNATURES = 5, 0.01, 10
-CACHED_CHARS, CACHED_SPANS, CACHED_TOKENS = 64, 60_000, 150_000
+CACHED_CHARS, CACHED_SPANS = 64, 100_000
 
 
 def _codes(text: str) -> np.ndarray:
@@ -145,31 +145,12 @@ def decode(span: str, model: list[float]) -> str:
     return "".join(reversed(letters))
 
 
-def _word_around(text: str, at: int, done: int) -> tuple[int, int]:
-    start, end = at, at
-    while start > done and not text[start - 1].isspace():
-        start -= 1
-    while end < len(text) and not text[end].isspace():
-        end += 1
-    return start, end
-
-
 def _in_marks(core: str) -> bool:
     """Digits and marks that are no number, amount or time."""
     kinds = {c for c in core if c in LEET}
     return len(kinds) > 1 and not all(map(str.isdigit, kinds)) and not _NUMBER.fullmatch(core)
 
 
-def spaced_out(text: str) -> bool:
-    """Somewhere three letters in a row stand alone."""
-    c = _codes(text)
-    if len(c) < 5:
-        return False
-    sep = np.concatenate(([True], _SEP[c], [True]))
-    gaps = np.diff(np.flatnonzero(sep[:-2] & ~sep[1:-1] & sep[2:])) <= 4
-    return bool((gaps[1:] & gaps[:-1]).any()) and _SPACED_RUN.search(text) is not None
-
-
 def suspicious_spans(text: str) -> list[tuple[int, int]]:
     """Spans with more than one path through the lattice: letters spaced out one by one; words with a leet character, a
     doubled letter, or a separator between letters or marks. A word without letters has to be written in marks (``@$$``)."""
@@ -179,18 +160,22 @@ def suspicious_spans(text: str) -> list[tuple[int, int]]:
         return []
     lowered, spans = np.where(c < _TOP, _LOWERED[c], raw), []
     sep = np.concatenate(([True], _SEP[c], [True]))
-    # Letters that stand alone, three or more of them.
-    if np.count_nonzero(sep[:-2] & ~sep[1:-1] & sep[2:]) > 2:
+    # Three letters in a row that stand alone.
+    gaps = np.diff(np.flatnonzero(sep[:-2] & ~sep[1:-1] & sep[2:])) <= 4
+    if (gaps[1:] & gaps[:-1]).any():
         spans += [m.span() for m in _SPACED_RUN.finditer(text)]
     at = [np.flatnonzero((lowered[1:] == lowered[:-1]) & _DOUBLES[c[1:]]), np.flatnonzero(_PIVOT[c])]
     if len(c) > 2:
         at.append(np.flatnonzero(_INNER[c[1:-1]] & ~sep[1:-3] & ~sep[3:-1] | _INNER[c[1:-1]] & _INNER[c[2:]] & ~sep[1:-3]) + 1)
-    done = 0
-    for k in np.unique(np.concatenate(at)).tolist():
-        if k < done or text[k].isspace():
-            continue
-        start, end = _word_around(text, k, done)
-        done = end
+    blank = _BLANK[c]
+    if raw.max() >= _TOP:
+        blank |= np.isin(raw, _WIDE_BLANKS)
+    # The words around these places, each once.
+    places = np.concatenate(at)
+    places, blanks = places[~blank[places]], np.flatnonzero(blank)
+    ends = np.concatenate((blanks, [len(c)]))
+    for number in np.unique(np.searchsorted(blanks, places)).tolist():
+        start, end = int(ends[number - 1]) + 1 if number else 0, int(ends[number])
         word = text[start:end]
         core = word.strip(_EDGES)
         if core and (any(map(str.isalpha, core)) or _in_marks(core)):
@@ -231,7 +216,6 @@ class Scorer:
         self.starts = {k: {f[:-1]: w for f, w in weights.items() if f.endswith("*") and len(f) == k + 1} for k in PREFIXES}
         self._list: list[float] | None = None
         self._known: TwoGenerations | None = None
-        self._tokens: TwoGenerations | None = None
 
     def log_probs(self) -> list[float]:
         if self._list is None:
@@ -245,28 +229,12 @@ class Scorer:
         return self._known[span.encode("utf-8", "surrogatepass")]
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_list": None, "_known": None, "_tokens": None}
-
-    def _restored(self, text: str) -> set[str]:
-        plain: set[str] = set()
-        return set(_WORDS.findall(restore(text, self.log_probs(), self.known, plain).lower())) | plain
-
-    def _token(self, token: str) -> tuple[str, ...]:
-        lowered = token.lower()
-        return tuple(self._restored(token) if _ODD.search(lowered) else _WORDS.findall(lowered))
+        return self.__dict__ | {"_list": None, "_known": None}
 
     def words_of(self, text: str) -> set[str]:
-        """Distinct words of the restored text. Spans lie between blanks unless letters are spaced out, so the words of a text
-        are those of its tokens, and a worker keeps the words of the tokens it has seen last."""
+        plain: set[str] = set()
         text = text if text.isascii() else _UNSEEN.sub("", text)
-        if spaced_out(text):
-            return self._restored(text)
-        if self._tokens is None:
-            self._tokens = TwoGenerations(self._token, CACHED_TOKENS)
-        tokens = set(text.split())
-        long = {t for t in tokens if len(t) > CACHED_CHARS}
-        found: set[str] = set().union(*map(self._tokens.__getitem__, tokens - long if long else tokens))
-        return found.union(*map(self._token, long)) if long else found
+        return set(_WORDS.findall(restore(text, self.log_probs(), self.known, plain).lower())) | plain
 
     def score(self, text: str) -> float:
         words, found = self.words_of(text), {}

@@ -7,7 +7,6 @@ import random
 import struct
 
 import zstandard
-from pyspark.sql import functions as F
 
 from skeinwork.llm import op11_warc as op
 from skeinwork.llm import queries
