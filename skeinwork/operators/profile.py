@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -339,16 +340,37 @@ def stack_levels(calls: DataFrame, key: list[str], tree: str = "flames", part_ro
 
 # --- attachments ----------------------------------------------------------------------------------------------
 
+# Widths of the cells in which ranges meet points, in seconds; the last one holds any range.
+_CELLS = [1 << k for k in (6, 8, 10, 12, 14, 18, 40)]
+
+
+def points_in_ranges(ranges: DataFrame, lo: Column, hi: Column, points: DataFrame, keys: list[str], at: str = "second") -> DataFrame:
+    """Every row of ``ranges`` with every row of ``points`` of its keys whose ``at`` lies between both ends (in either order).
+
+    A range is put into the one or two cells it touches of the least width it fits into, a point into its cell of every width.
+    So a range is two rows at most, however long it is, and the join is an equality on keys, width and cell.
+    """
+    a, b = F.col("__lo"), F.col("__hi")
+    asked = ranges.withColumns({"__from": lo, "__to": hi}).where("__from IS NOT NULL AND __to IS NOT NULL")
+    asked = asked.withColumns({"__lo": F.least("__from", "__to"), "__hi": F.greatest("__from", "__to")}).drop("__from", "__to")
+    width = reduce(lambda rest, w: F.when(b - a < w, F.lit(w).cast("long")).otherwise(rest), reversed(_CELLS[:-1]), F.lit(_CELLS[-1]).cast("long"))
+    asked = asked.withColumn("__width", width).withColumn(
+        "__cell", F.explode(F.array_distinct(F.array(F.floor(a / F.col("__width")), F.floor(b / F.col("__width"))))))
+    there = points.withColumn("__in", F.explode(F.array(*[F.struct(F.lit(w).cast("long").alias("w"), F.floor(F.col(at) / w).alias("c")) for w in _CELLS])))
+    there = there.withColumns({"__width": F.col("__in.w"), "__cell": F.col("__in.c")}).drop("__in")
+    hit = asked.join(there, [*keys, "__width", "__cell"]).where(F.col(at).between(a, b))
+    return hit.select(*keys, at, *[c for c in [*ranges.columns, *points.columns] if c not in (*keys, at)])
+
+
 def trace_segments(traces: DataFrame, segments: DataFrame, edge_s: int = 2) -> DataFrame:
     """Segments (one second of one thread) of a trace's process between start - edge and end + edge, whole seconds.
 
-    The trace is exploded to the seconds it asks for, so the join is an equality on (pid, second).
+    Traces meet segments in cells of seconds (``points_in_ranges``).
     """
     lo = F.floor((F.col("start_ns") - edge_s * S) / S)
     hi = F.floor((F.col("end_ns") + edge_s * S) / S)
-    asked = traces.withColumn("second", F.explode(F.sequence(lo, hi)))
     have = segments.withColumn("second", F.floor(F.col("segment_start_ns") / S))
-    return asked.join(have, ["pid", "second"])
+    return points_in_ranges(traces, lo, hi, have, ["pid"])
 
 
 def apm_entry_exit(marks: DataFrame, slow_ms: int, slice_ns: int = scan.DEFAULT_SLICE_NS) -> DataFrame:
@@ -369,9 +391,8 @@ def inner_calls(records: DataFrame, segments: DataFrame) -> DataFrame:
     """
     end = F.col("start_ns") + F.col("request_total_time")
     slow = records.where(F.col("is_slow") & ~F.col("is_server"))
-    touched = slow.withColumns({"end_ns": end, "tid": F.col("request_tid")}).withColumn(
-        "second", F.explode(F.sequence(F.floor(F.col("start_ns") / S), F.floor(F.col("end_ns") / S))))
-    return touched.join(segments.select("pid", "tid", "second").distinct(), ["pid", "tid", "second"])
+    asked = slow.withColumns({"end_ns": end, "tid": F.col("request_tid")})
+    return points_in_ranges(asked, F.floor(F.col("start_ns") / S), F.floor(F.col("end_ns") / S), segments.select("pid", "tid", "second").distinct(), ["pid", "tid"])
 
 
 def net_call_match(net: DataFrame, calls: DataFrame, keys: list[str], window_ns: int = 5 * MS) -> DataFrame:

@@ -116,3 +116,12 @@ def test_deep_and_odd_call_trees(spark):
     assert got == [("odd", 1, "0", None, 0, 4, 0.4), ("odd", 1, "1", "b", 4, 10, 0.6), ("odd", 2, "1.0", "c", 5, 6, 0.1)]
     out = profile.stack_levels(spark.createDataFrame([("deep", deep)], "k string, flames string"), ["k"]).orderBy("level").collect()
     assert [r.level for r in out] == list(range(1, 301)) and out[-1].path == ".".join(["0"] * 300) and out[-1].name == "f300"
+
+
+def test_ranges_of_any_length_meet_points(spark):
+    calls = spark.createDataFrame([(1, 5, 0, 3 * 10 ** 18), (2, 5, 70 * 10 ** 9, 10 ** 9), (3, 6, 0, 10 ** 12), (4, 5, None, 1), (5, 5, 63 * 10 ** 9, -10 ** 9)],
+                                  "id int, request_tid long, start_ns long, request_total_time long").withColumns({"pid": F.lit(1), "is_slow": F.lit(True), "is_server": F.lit(False)})
+    seconds = spark.createDataFrame([(1, 5, 0), (1, 5, 63), (1, 5, 71), (1, 5, 71), (1, 5, 2 * 10 ** 9), (1, 7, 1)], "pid int, tid long, second long")
+    # The first call lasts three thousand million seconds: a row for each of them can't be made.
+    assert rows(profile.inner_calls(calls, seconds), "id", "second") == sorted(
+        [(1, 0), (1, 63), (1, 71), (1, 2 * 10 ** 9), (2, 71), (5, 63)], key=lambda t: tuple((x is None, str(x)) for x in t))
