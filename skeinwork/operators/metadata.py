@@ -8,12 +8,9 @@ the files instead of being guessed from the plan that makes them, and no record
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinwork import constants as C
 from skeinwork.functions import text
@@ -30,10 +27,14 @@ def one_per_key(table: DataFrame, keys: list[str], order: list[str], keep: list[
 def _attach(df: DataFrame, table: DataFrame, on: dict[str, Column], name: str) -> DataFrame:
     """Left join a one-row-per-key table on computed keys; the match lands in struct column ``name``.
 
-    Rows without a key keep a null key: they match nothing, and where they pile up in a shuffle join AQE splits them.
+    Rows without a key keep a null key: they match nothing, and where they or those of a frequent key pile up in a shuffle
+    join AQE splits them. It does so between two exchanges of the join's own only, so the table is dealt again: its first key
+    is an expression, which is not known to be dealt already by the aggregation below it.
     """
     keys = {f"__k_{i}": v for i, v in enumerate(on.values())}
-    right = table.select(*[F.col(c).alias(f"__k_{i}") for i, c in enumerate(on)], F.col("__m").alias(name))
+    first, *rest = on
+    again = F.concat(F.col(first), F.lit("")) if isinstance(table.schema[first].dataType, T.StringType) else F.col(first) + F.lit(0)
+    right = table.select(again.alias("__k_0"), *[F.col(c).alias(f"__k_{i}") for i, c in enumerate(rest, 1)], F.col("__m").alias(name))
     return df.withColumns(keys).join(right, list(keys), "left").drop(*keys)
 
 
@@ -68,14 +69,32 @@ class Cluster:
         names = ("containers", "ports", "host_ports", "services", "nodes")
         return Cluster(*[put(n, getattr(self, n)) for n in names], self.local_node, self.local_ip)
 
-    def _any_port(self) -> DataFrame:
+    def _addresses(self) -> DataFrame:
+        """All that the port table says of an address, a row each: entries by port, the one for any other port, the pod.
+
+        ``any``: the undeclared-port entry unless on the host network, else the lowest entry that is not. ``pod``: the latter.
+        """
         keep = ["container", "container_id", *POD_COLS]
-        own = F.col("port") == 0
-        return (self.ports.groupBy("ip").agg(
-            F.max(own.cast("int")).alias("has_own"),
-            F.min_by(F.struct(*keep), F.when(own & ~F.col("host_network"), F.struct("pod"))).alias("own"),
-            F.min_by(F.struct(*keep), F.when(~F.col("host_network"), F.struct("port", "pod"))).alias("other"))
-            .select("ip", F.struct(F.when(F.col("has_own") == 1, F.col("own")).otherwise(F.col("other")).alias("m")).alias("__m")))
+        free = F.when(~F.col("host_network"), F.struct("pod"))
+        by_port = self.ports.where(F.col("ip").isNotNull()).groupBy("ip", "port").agg(
+            F.min_by(F.struct(*keep), F.struct("pod")).alias("m"), F.min_by(F.struct(*keep), free).alias("free"))
+        own, has = F.col("port") == 0, F.col("free").isNotNull()
+        every = by_port.groupBy("ip").agg(
+            F.map_from_entries(F.collect_list(F.when(F.col("port").isNotNull(), F.struct(F.col("port").cast("int"), "m")))).alias("exact"),
+            F.max(own.cast("int")).alias("has_own"), F.min_by("free", F.when(own & has, 0)).alias("own"),
+            F.min_by("free", F.when(has, F.struct("port"))).alias("pod"))
+        any_ = F.when(F.col("has_own") == 1, F.col("own")).otherwise(F.col("pod"))
+        return every.select("ip", F.struct("exact", any_.alias("any"), "pod").alias("__m"))
+
+    def join_address(self, df, ip: Column, port: Column, container: str | None, pod: str | None = None):
+        """``join_ip_port`` into ``container`` and ``join_pod_ip`` into ``pod`` in one join by the address."""
+        out = _attach(df, self._addresses(), {"ip": ip}, "__at")
+        made = {}
+        if container:
+            made[container] = F.coalesce(F.try_element_at(F.col("__at.exact"), port.cast("int")), F.col("__at.any"))
+        if pod:
+            made[pod] = F.col("__at.pod")
+        return out.withColumns(made).drop("__at")
 
     def join_container(self, df, key: Column, name: str):
         keep = ["container", "container_id", *POD_COLS]
@@ -84,12 +103,7 @@ class Cluster:
 
     def join_ip_port(self, df, ip: Column, port: Column, name: str):
         """Exact port, else the undeclared-port entry unless on the host network, else the lowest other entry."""
-        keep = ["container", "container_id", *POD_COLS]
-        exact = one_per_key(self.ports, ["ip", "port"], ["pod"], keep)
-        any_ = self._any_port()
-        out = _attach(df, exact, {"ip": ip, "port": port.cast("int")}, "__exact")
-        out = _attach(out, any_, {"ip": ip}, "__any")
-        return out.withColumn(name, F.coalesce(F.col("__exact"), F.col("__any.m"))).drop("__exact", "__any")
+        return self.join_address(df, ip, port, name)
 
     def join_pod_ip(self, df, ip: Column, name: str):
         pods = one_per_key(self.ports.where(~F.col("host_network")), ["ip"], ["port", "pod"], POD_COLS)
@@ -159,67 +173,36 @@ def _emit(df: DataFrame, side: str, values: dict[str, Column]) -> dict[str, Colu
     return {f"{side}_{k}": v for k, v in values.items() if not (k == "port" and side == "src")}
 
 
+def _settle(df: DataFrame, side: str, values: dict[str, Column], keep: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Make a side's labels now, so that later joins move them and not all they were chosen from."""
+    made = _emit(df, side, values)
+    return df.select(*keep, *[v.alias(f"__o_{k}") for k, v in made.items()]), {k: F.col(f"__o_{k}") for k in made}
+
+
 def _service(when, m):
     has = when & m.isNotNull() & (F.coalesce(m["service"], F.lit("")) != "")
     return has, {"service": m["service"]}
 
 
-def _by_ends(df: DataFrame, ends: list[str], label: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows with what ``label`` makes of their distinct ``ends``.
-
-    Labels depend on the ends only, and records of one connection repeat them. So the lookups are joined to the distinct
-    ends, and the records meet the result in one join, whatever the number of lookups. Both sides are dealt by the ends.
-    """
-    found = label(df.select(*ends).distinct().withColumns({f"__e_{c}": F.col(c) for c in ends}))
-    made = [c for c in found.columns if not c.startswith("__e_")]
-    found = found.withColumnsRenamed({c: f"__m_{c}" for c in made})
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__e_{c}")) for c in ends])
-    return df.join(found, same, "left").select(*[c for c in df.columns if c not in made and c not in ends], *[F.col(f"__m_{c}").alias(c) for c in made])
-
-
-_CLIENT_ENDS = ["container_id", "src_ip", "dst_ip", "dst_port", "dnat_ip", "dnat_port"]
-_TCP_ENDS = ["src_ip", "src_port", "dst_ip", "dst_port", "dnat_ip", "dnat_port"]
-
-
 def enrich_client(df: DataFrame, cluster: Cluster) -> DataFrame:
     """Labels of both ends of a client-side record, by the client precedence."""
-    return _by_ends(df, _CLIENT_ENDS, lambda ends: _client_labels(ends, cluster))
-
-
-def _client_labels(df: DataFrame, cluster: Cluster) -> DataFrame:
     keep = df.columns
     cid, sip = F.coalesce("container_id", F.lit("")), F.coalesce("src_ip", F.lit(""))
     dip0, dport = F.coalesce("dst_ip", F.lit("")), F.col("dst_port").cast("long")
     dip = F.when(dip0 == C.LOOPBACK, sip).otherwise(dip0)
-    t = cluster.join_container(df, F.nullif(cid, F.lit("")), "__sc")
-    t = cluster.join_pod_ip(t, sip, "__sp")
-    t = cluster.join_node(t, sip, "__sn")
-    t = cluster.join_service(t, dip, dport, "__ds")
-    t = cluster.join_ip_port(t, F.nullif(F.col("dnat_ip"), F.lit("")), F.when(F.col("dnat_port") != -1, F.col("dnat_port")), "__dd")
+    local = {"node": F.lit(cluster.local_node), "node_ip": F.lit(cluster.local_ip)}
+    t = cluster.join_service(df, dip, dport, "__ds")
     t = cluster.join_node(t, F.nullif(F.col("dnat_ip"), F.lit("")), "__ddn")
-    t = cluster.join_ip_port(t, dip, dport, "__dc")
     t = cluster.join_host_port(t, dip, dport, "__dh")
     t = cluster.join_node(t, dip, "__dn")
-
-    has = {n: F.col(n).isNotNull() for n in ("__sc", "__sp", "__sn", "__ds", "__dd", "__ddn", "__dc", "__dh", "__dn")}
-    by_id = cid != ""
-    local = {"node": F.lit(cluster.local_node), "node_ip": F.lit(cluster.local_ip)}
-    no_pod = ~by_id & ~has["__sp"]
-    t, src = _resolve(t, "s", _empty(sip, None), [
-        (by_id, {"container_id": cid}),
-        (by_id & has["__sc"], _container(F.col("__sc"), True)), _service(by_id, F.col("__sc")),
-        (by_id & ~has["__sc"], {**local, "namespace": F.lit(C.INTERNAL)}),
-        (~by_id & (sip == C.LOOPBACK), local),
-        (~by_id & has["__sp"], _pod(F.col("__sp"), True)), _service(~by_id, F.col("__sp")),
-        (no_pod & has["__sn"], {"node": F.col("__sn.node"), "node_ip": sip, "namespace": F.lit(C.INTERNAL)}),
-        (no_pod & ~has["__sn"], {"namespace": F.lit(C.EXTERNAL)}),
-    ])
-    svc = has["__ds"]
+    svc, s = F.col("__ds").isNotNull(), F.col("__ds")
     translated = svc & (F.coalesce("dnat_ip", F.lit("")) != "") & (F.col("dnat_port") != -1)
+    t = cluster.join_address(t, F.when(translated, F.col("dnat_ip")), F.col("dnat_port"), "__dd")
+    t = cluster.join_address(t, dip, dport, "__dc")
+    has = {n: F.col(n).isNotNull() for n in ("__dd", "__ddn", "__dc", "__dh", "__dn")}
     con = ~svc & has["__dc"]
     host = ~svc & ~has["__dc"] & has["__dh"]
     rest = ~svc & ~has["__dc"] & ~has["__dh"]
-    s = F.col("__ds")
     t, dst = _resolve(t, "d", _empty(dip0, dport), [
         (dip0 == C.LOOPBACK, local),
         (svc, {"namespace": s["namespace"], "service": s["service"], "workload_kind": s["workload_kind"], "workload_name": s["workload_name"]}),
@@ -231,7 +214,23 @@ def _client_labels(df: DataFrame, cluster: Cluster) -> DataFrame:
         (rest & has["__dn"], {"node_ip": dip, "node": F.col("__dn.node"), "namespace": F.lit(C.INTERNAL)}),
         (rest & ~has["__dn"], {"namespace": F.lit(C.EXTERNAL)}),
     ])
-    new = {**_emit(t, "src", src), **_emit(t, "dst", dst)}
+    t, dst = _settle(t, "dst", dst, keep)
+    t = cluster.join_container(t, F.nullif(cid, F.lit("")), "__sc")
+    t = cluster.join_pod_ip(t, sip, "__sp")
+    t = cluster.join_node(t, sip, "__sn")
+    has = {n: F.col(n).isNotNull() for n in ("__sc", "__sp", "__sn")}
+    by_id = cid != ""
+    no_pod = ~by_id & ~has["__sp"]
+    t, src = _resolve(t, "s", _empty(sip, None), [
+        (by_id, {"container_id": cid}),
+        (by_id & has["__sc"], _container(F.col("__sc"), True)), _service(by_id, F.col("__sc")),
+        (by_id & ~has["__sc"], {**local, "namespace": F.lit(C.INTERNAL)}),
+        (~by_id & (sip == C.LOOPBACK), local),
+        (~by_id & has["__sp"], _pod(F.col("__sp"), True)), _service(~by_id, F.col("__sp")),
+        (no_pod & has["__sn"], {"node": F.col("__sn.node"), "node_ip": sip, "namespace": F.lit(C.INTERNAL)}),
+        (no_pod & ~has["__sn"], {"namespace": F.lit(C.EXTERNAL)}),
+    ])
+    new = {**_emit(t, "src", src), **dst}
     return t.select(*[c for c in keep if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
@@ -261,31 +260,18 @@ def enrich_tcp(df: DataFrame, cluster: Cluster) -> DataFrame:
 
     A host-port hit does not stop the search: the pod and node steps after it can overwrite what it set.
     """
-    return _by_ends(df, _TCP_ENDS, lambda ends: _tcp_labels(ends, cluster))
-
-
-def _tcp_labels(df: DataFrame, cluster: Cluster) -> DataFrame:
     from skeinwork.operators.relabel import apply_dnat, prune_ports
     keep = df.columns
     sip, dip = F.coalesce("src_ip", F.lit("")), F.coalesce("dst_ip", F.lit(""))
     sport, dport = F.col("src_port").cast("long"), F.col("dst_port").cast("long")
-    t = cluster.join_ip_port(df, sip, sport, "__sc")
-    t = cluster.join_pod_ip(t, sip, "__sp")
-    t = cluster.join_node(t, sip, "__sn")
-    t = cluster.join_service(t, dip, dport, "__ds")
-    t = cluster.join_ip_port(t, F.nullif(F.col("dnat_ip"), F.lit("")), F.when(F.col("dnat_port") != -1, F.col("dnat_port")), "__dd")
-    t = cluster.join_ip_port(t, dip, dport, "__dc")
+    t = cluster.join_service(df, dip, dport, "__ds")
     t = cluster.join_host_port(t, dip, dport, "__dh")
-    t = cluster.join_pod_ip(t, dip, "__dp")
     t = cluster.join_node(t, dip, "__dn")
-    h = {n: F.col(n).isNotNull() for n in ("__sc", "__sp", "__sn", "__ds", "__dd", "__dc", "__dh", "__dp", "__dn")}
-    t, src = _resolve(t, "s", _empty(sip, None), [
-        (h["__sc"], _container(F.col("__sc"), True)), _service(h["__sc"], F.col("__sc")),
-        (~h["__sc"] & h["__sp"], _pod(F.col("__sp"), True)), _service(~h["__sc"] & h["__sp"], F.col("__sp")),
-        (~h["__sc"] & ~h["__sp"] & h["__sn"], {"namespace": F.lit(C.INTERNAL)}),
-        (~h["__sc"] & ~h["__sp"] & ~h["__sn"], {"namespace": F.lit(C.EXTERNAL)})])
-    svc, s = h["__ds"], F.col("__ds")
+    svc, s = F.col("__ds").isNotNull(), F.col("__ds")
     translated = svc & (F.coalesce("dnat_ip", F.lit("")) != "") & (F.col("dnat_port") != -1)
+    t = cluster.join_address(t, F.when(translated, F.col("dnat_ip")), F.col("dnat_port"), "__dd")
+    t = cluster.join_address(t, dip, dport, "__dc", "__dp")
+    h = {n: F.col(n).isNotNull() for n in ("__dd", "__dc", "__dh", "__dp", "__dn")}
     con = ~svc & h["__dc"]
     later = ~svc & ~h["__dc"]
     host = later & h["__dh"]
@@ -300,7 +286,16 @@ def _tcp_labels(df: DataFrame, cluster: Cluster) -> DataFrame:
         (later & h["__dp"], _pod(F.col("__dp"), False, cur_ip)),
         (later & ~h["__dp"] & h["__dn"], {"namespace": F.lit(C.INTERNAL)}),
         (later & ~h["__dp"] & ~h["__dn"], {"namespace": F.lit(C.EXTERNAL)})])
-    new = {**_emit(t, "src", src), **_emit(t, "dst", dst)}
+    t, dst = _settle(t, "dst", dst, keep)
+    t = cluster.join_address(t, sip, sport, "__sc", "__sp")
+    t = cluster.join_node(t, sip, "__sn")
+    h = {n: F.col(n).isNotNull() for n in ("__sc", "__sp", "__sn")}
+    t, src = _resolve(t, "s", _empty(sip, None), [
+        (h["__sc"], _container(F.col("__sc"), True)), _service(h["__sc"], F.col("__sc")),
+        (~h["__sc"] & h["__sp"], _pod(F.col("__sp"), True)), _service(~h["__sc"] & h["__sp"], F.col("__sp")),
+        (~h["__sc"] & ~h["__sp"] & h["__sn"], {"namespace": F.lit(C.INTERNAL)}),
+        (~h["__sc"] & ~h["__sp"] & ~h["__sn"], {"namespace": F.lit(C.EXTERNAL)})])
+    new = {**_emit(t, "src", src), **dst}
     out = t.select(*[c for c in keep if c not in new], *[v.alias(k) for k, v in new.items()])
     return prune_ports(apply_dnat(out))
 

@@ -156,3 +156,41 @@ def test_expiry(spark):
     socks = spark.createDataFrame([(5, "a", 2, "b", 80, "01"), (5, "a", 3, "b", 80, "02"), (5, "a", 4, "b", 80, "08")],
                                   "pid long, local_ip string, local_port int, remote_ip string, remote_port int, state string")
     assert rows(connects.expire(open_, socks, F.lit(100 * s)), "id", "outcome") == [(1, "failure"), (2, "success"), (3, None), (4, "success")]
+
+
+def test_rows_of_one_key_are_split(spark):
+    """A key that most rows share is no task of its own: the plan has the exchanges between which AQE splits a join."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.shuffle.partitions": "8",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        id_, pod = F.col("id"), F.concat(F.lit("p"), F.col("id").cast("string"))
+        table = spark.range(200).select(pod.alias("container_id"), pod.alias("container"), *[pod.alias(c) for c in metadata.POD_COLS if c != "ip"], pod.alias("ip"), F.lit(1).alias("port"),
+                                        F.lit(False).alias("host_network"))
+        lookups = metadata.Cluster(table, table, table, table, table)
+        df = spark.range(0, 60_000, 1, 8).select("id", F.when(id_ % 3 > 0, "p1").otherwise(F.concat(F.lit("p"), (id_ % 200).cast("string"))).alias("key"), F.hash("id").alias("x"))
+        for out in (lookups.join_container(df, F.col("key"), "m"), lookups.join_address(df, F.col("key"), F.lit(1), "m")):
+            got = out.select("id", "key", "m.pod", "x")
+            assert got.where("pod <> key OR pod IS NULL").count() == 0
+            got.collect()
+            assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_client_and_tcp_labels_move_records_once_per_address(spark):
+    """Three addresses of a connection, and the container of a client: not an exchange per lookup and none of finished rows."""
+    conf, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    table = spark.range(1).select(*[F.lit("x").alias(c) for c in ("container_id", "container", *metadata.POD_COLS)], F.lit(1).alias("port"), F.lit(False).alias("host_network"))
+    ports = table.withColumns({"host_ip": F.lit("y"), "host_port": F.lit(2), "node_port": F.lit(3)})
+    df = spark.range(1).select("id", *[F.lit("x").alias(c) for c in ("container_id", "src_ip", "dst_ip", "dnat_ip")], *[F.lit(1).alias(c) for c in ("src_port", "dst_port", "dnat_port")])
+    spark.conf.set(conf, "-1")
+    try:
+        for label in (metadata.enrich_tcp, metadata.enrich_client):
+            plan = label(df, metadata.Cluster(ports, ports, ports, ports, ports))._jdf.queryExecution().optimizedPlan().toString()
+            assert sum("Join LeftOuter" in line for line in plan.splitlines()) <= 10
+    finally:
+        spark.conf.set(conf, before)
