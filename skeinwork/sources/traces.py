@@ -74,10 +74,15 @@ def with_trace_path(traces: DataFrame) -> DataFrame:
     return traces.withColumns({**text.trace_path(is_server, label), "pid": F.coalesce(label("pid").try_cast("long"), F.lit(0))})
 
 
-def write_traces(traces: DataFrame, path: str, mode: str = "append") -> None:
-    """Store traces by workload, pod, container and pid. The rebalance hint joins small and splits skewed writers."""
+def write_traces(traces: DataFrame, path: str, mode: str = "append", compression: str = "gzip", file_rows: int = 1_000_000) -> None:
+    """Store traces by workload, pod, container and pid. The rebalance hint joins small and splits skewed writers.
+
+    Files are compressed (JSON repeats every name in every row) and cut after ``file_rows`` rows, since a compressed file is
+    read by one task.
+    """
     keys = ["workload", "pod", "container", "pid"]
-    with_trace_path(traces).hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).json(path)
+    out = with_trace_path(traces).hint("rebalance", *keys).write.mode(mode).partitionBy(*keys)
+    out.option("compression", compression).option("maxRecordsPerFile", file_rows).json(path)
 
 
 def write_segments(segments: DataFrame, path: str, sent: DataFrame | None = None, mode: str = "append") -> DataFrame:
