@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from abc import abstractmethod
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,6 +15,41 @@ from skeinwork.streaming.builtin import with_time
 
 S, MS, US = 1_000_000_000, 1_000_000, 1_000
 NEVER = 1 << 62
+# Buckets of a machine whose keys share calls to the state store; a checkpoint belongs to their number.
+BUCKETS = 1 << 10
+
+
+class Waiting:
+    """Rows that wait for the watermark, many to an element of a list state: an element costs a call, a row next to nothing."""
+
+    def __init__(self, handle: StatefulProcessorHandle, part_rows: int = 1 << 14):
+        self.state, self.part_rows = handle.getListState("waiting", "rows binary"), part_rows
+
+    def _packed(self, rows: list[tuple]) -> list[tuple]:
+        return [(pickle.dumps(rows[k : k + self.part_rows], 5),) for k in range(0, len(rows), self.part_rows)]
+
+    def add(self, rows: list[tuple]) -> None:
+        self.state.appendList(self._packed(rows))
+
+    def all(self) -> list[tuple]:
+        return [row for (packed,) in self.state.get() for row in pickle.loads(packed)]
+
+    def keep(self, rest: list[tuple]) -> None:
+        """What is left of the rows that ``all`` gave."""
+        if rest:
+            self.state.put(self._packed(rest))
+        else:
+            self.state.clear()
+
+
+def columns(rows: Iterable[Row], names: list[str]) -> list[tuple]:
+    """Columns of rows of one schema, by place."""
+    places, out = None, []
+    for row in rows:
+        if places is None:
+            places = [row.__fields__.index(c) for c in names]
+        out.append(tuple([row[k] for k in places]))
+    return out
 
 
 class Ordered(StatefulProcessor):
@@ -34,7 +71,7 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.events)
+        self.waiting = Waiting(handle)
         self.alarm = handle.getValueState("alarm", "ms long")
         self.open(handle)
 
@@ -83,15 +120,15 @@ class Ordered(StatefulProcessor):
         self.alarm.update((ms,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        got = [tuple(r[c] for c in self.names) for r in rows]
-        self.waiting.appendList(got)
+        got = columns(rows, self.names)
+        self.waiting.add(got)
         self._arm(min(r[self.at] for r in got) // US * US)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * MS
         self.alarm.clear()
-        rows = [tuple(r) for r in self.waiting.get()]
+        rows = self.waiting.all()
         # The watermark counts in microseconds of the event time column.
         ready = sorted((r for r in rows if r[self.at] // US * US <= now), key=lambda r: tuple(r[k] for k in self.order))
         rest = [r for r in rows if r[self.at] // US * US > now]
@@ -106,17 +143,110 @@ class Ordered(StatefulProcessor):
         for out in self.seen(now):
             yield Row(**out)
         self.save()
-        if rest:
-            self.waiting.put(rest)
-        elif rows:
-            self.waiting.clear()
+        if ready:
+            self.waiting.keep(rest)
         after = min([self.deadline(), *[r[self.at] // US * US for r in rest]])
         if after < NEVER:
             self._arm(after)
 
 
+class Bucketed(StatefulProcessor):
+    """A machine with one row of state per key, for keys that are many and have few rows each: keys share a bucket, whose rows
+    wait together and whose states are the entries of a map.
+
+    A call to the state store costs more than an event. Here a batch makes some calls per bucket, one per key whose state
+    changes, and one per key that is looked up; where the bucket holds few states for the keys looked up, they are read at
+    once instead. Deadlines have a lower bound per bucket; when the watermark passes it, the bucket's states are gone through.
+    What the machine does with a key, and in which order, is as in ``Ordered``.
+    """
+
+    def __init__(self, machine: Ordered, keys: T.StructType, looked_up: int = 4):
+        """States are read at once up to ``looked_up`` of them per key."""
+        self.machine, self.keys, self.looked_up = machine, keys, looked_up
+        self.names, self.n = [*keys.fieldNames(), *machine.names], len(keys)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = Waiting(handle)
+        self.rows = handle.getMapState("row", self.keys, self.machine.layout)
+        # Number of states, lower bound of their deadlines, time of the timer.
+        self.bounds = handle.getValueState("bounds", "states long, soonest long, alarm long")
+
+    def close(self) -> None:
+        pass
+
+    def _arm(self, bounds: tuple, ns: int) -> None:
+        states, soonest, now = bounds
+        ms = -(-ns // MS)
+        if now is None or now > ms:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(ms)
+            self.bounds.update((states, soonest, ms))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        got, at = columns(rows, self.names), self.n + self.machine.at
+        self.waiting.add(got)
+        self._arm(self.bounds.get() or (0, NEVER, None), min(r[at] for r in got) // US * US)
+        return iter(())
+
+    def _states(self, keys: Iterable[tuple], everything: bool) -> dict[tuple, tuple]:
+        if everything:
+            return {tuple(k): tuple(v) for k, v in self.rows.iterator()}
+        found = ((k, self.rows.getValue(k)) for k in keys)
+        return {k: tuple(v) for k, v in found if v is not None}
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now, m, at = timerValues.getCurrentWatermarkInMs() * MS, self.machine, self.n + self.machine.at
+        states, soonest, _ = self.bounds.get()
+        ready, rest = {}, []
+        for row in self.waiting.all():
+            if row[at] // US * US <= now:
+                ready.setdefault(row[: self.n], []).append(row[self.n :])
+            else:
+                rest.append(row)
+        over = soonest <= now
+        held = self._states(ready, over or states <= self.looked_up * len(ready)) if states else {}
+        after = NEVER if over else soonest
+        for k in {**ready, **held} if over else ready:
+            before, mine = held.get(k), ready.get(k)
+            m.key, m.row = k, None if before is None else dict(zip(m.fields, before))
+            for row in sorted(mine or (), key=lambda r: tuple(r[c] for c in m.order)):
+                for out in m.due(row[m.since]):
+                    yield Row(**out)
+                for out in m.take(dict(zip(m.names, row))):
+                    yield Row(**out)
+            for out in m.due(now):
+                yield Row(**out)
+            for out in m.seen(now) if mine else ():
+                yield Row(**out)
+            state = None if m.row is None else tuple(m.row[f] for f in m.fields)
+            if state is None and before is not None:
+                self.rows.removeKey(k)
+            elif state is not None and state != before:
+                self.rows.updateValue(k, state)
+            states += (state is not None) - (before is not None)
+            after = min(after, m.deadline())
+        if ready:
+            self.waiting.keep(rest)
+        alarm = min([after, *[r[at] // US * US for r in rest]])
+        if alarm < NEVER:
+            self._arm((states, after, None), alarm)
+        elif states:
+            self.bounds.update((states, after, None))
+        else:
+            self.bounds.clear()
+
+
 def run_ordered(events: DataFrame, keys: list[str], machine: Ordered, output: str | T.StructType, delay: str, initial: DataFrame | None = None) -> DataFrame:
     """The rows that a machine per key gives over a stream of events; ``initial`` is a table with state to begin with."""
     timed = with_time(events, machine.ts, delay)
     given = initial.groupBy(*keys) if initial is not None else None
     return timed.groupBy(*keys).transformWithState(machine, output, "append", "eventTime", given)
+
+
+def run_bucketed(events: DataFrame, keys: list[str], machine: Ordered, output: str | T.StructType, delay: str, buckets: int | None = None) -> DataFrame:
+    """``run_ordered`` for many keys with few rows each; a key's rows are taken in one of ``buckets`` groups."""
+    held = T.StructType([events.schema[k] for k in keys])
+    timed = with_time(events, machine.ts, delay).withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets or BUCKETS)))
+    return timed.groupBy("__bucket").transformWithState(Bucketed(machine, held), output, "append", "eventTime")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from skeinwork import constants as C
 from skeinwork.operators import connects, pairing
 from skeinwork.streaming.builtin import with_time
-from skeinwork.streaming.ordered import MS, NEVER, Ordered, S, run_ordered
+from skeinwork.streaming.ordered import MS, NEVER, Ordered, S, run_bucketed, run_ordered
 
 DELAY = "5 seconds"
 
@@ -302,13 +302,13 @@ def metadata_stream(changes: DataFrame, values: list[str], delay: str = DELAY) -
     machine = _Validity(_fields(changes.schema, ["ts_ns", "op", *values]), values)
     ends = [T.StructField("valid_from", T.LongType()), T.StructField("valid_to", T.LongType())]
     out = T.StructType([*_fields(changes.schema, ["ip", "uid"]).fields, *ends, *_fields(changes.schema, values).fields])
-    return run_ordered(changes, ["ip", "uid"], machine, out, delay)
+    return run_bucketed(changes, ["ip", "uid"], machine, out, delay)
 
 
 def open_metadata(spark, root: str) -> DataFrame:
     """Entries that are still valid after the last batch below ``root``: ip, uid, valid_from, values."""
     state = spark.read.format("statestore").option("stateVarName", "row").load(f"{root}/checkpoint")
-    return state.select("key.*", "value.*")
+    return state.select("user_map_key.*", "user_map_value.*")
 
 
 # Totals --------------------------------------------------------------------------------------------------------------

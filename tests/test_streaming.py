@@ -8,7 +8,7 @@ from test_metadata import CONNECT, CONNECT_ROWS
 
 from skeinwork.operators import connects
 from skeinwork.session import work_dir
-from skeinwork.streaming import builtin, stateful
+from skeinwork.streaming import builtin, ordered, stateful
 from skeinwork.streaming.run import STATE_CONF, run_append, start_append
 
 S = 1_000_000_000
@@ -194,6 +194,26 @@ def test_metadata_batch_writes_its_changes_only(spark):
     assert sum(sizes[v] for v in versions[-2:]) < max(sizes.values()) / 20, sizes
 
 
+def _puts(plan, source, root):
+    query = start_append(plan(source, "0 seconds"), root)
+    query.awaitTermination()
+    return sum(o["customMetrics"]["rocksdbPutCount"] for p in query.recentProgress for o in p["stateOperators"])
+
+
+def test_metadata_calls_the_state_store_per_bucket(spark, monkeypatch):
+    """Entries that begin and end in a batch do not cost writes each."""
+    monkeypatch.setattr(ordered, "BUCKETS", 64, raising=False)
+    n, cols = 5000, "ip string, uid string, op string, ts_ns long, pod string"
+    source, root = work_dir(spark, "feed"), work_dir(spark, "metadata")
+    ids = spark.range(n).selectExpr("'i' ip", "cast(id as string) uid", "explode(array('add', 'delete')) op", "id")
+    changes = ids.selectExpr("ip", "uid", "op", f"{S} + id + if(op = 'delete', {n}, 0) ts_ns", "'p' pod")
+    changes.union(spark.createDataFrame([("i", "last", "add", 9 * S, "p")], cols)).write.parquet(source)
+    puts = _puts(lambda s, d: stateful.metadata_stream(s, ["pod"], delay=d), spark.readStream.schema(cols).parquet(source), root)
+    assert puts < 2 * n
+    got = spark.read.parquet(f"{root}/out")
+    assert got.count() == got.where(f"valid_to = valid_from + {n}").select("uid").distinct().count() == n
+
+
 def test_thread_exit(spark):
     frames = [spark.createDataFrame(r, "pid long, tid long, ts_ns long, name string") for r in ([(1, 1, S, "read"), (1, 1, 2 * S, "procexit"), (1, 2, 3 * S, "read")], [(1, 2, 13 * S, "read"), (1, 1, 13 * S, "read")])]
     root = work_dir(spark, "threads")
