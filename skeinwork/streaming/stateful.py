@@ -367,7 +367,7 @@ def totals_stream(events: DataFrame, labels: list[str], metrics: list[str], expi
     part = events.select(*labels, *[F.col(m).cast("long").alias(m) for m in metrics], "ts_ns").mapInArrow(summed, layout)
     machine = _Totals(_fields(layout, ["first_ns", "ts_ns", *metrics]), metrics, labels, expire_s)
     out = _fields(layout, [*labels, *metrics, "ts_ns"]).add("clock", T.LongType()).add("expired", T.BooleanType())
-    return run_ordered(part, labels, machine, out, delay)
+    return run_bucketed(part, labels, machine, out, delay)
 
 
 # Threads -------------------------------------------------------------------------------------------------------------

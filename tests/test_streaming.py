@@ -214,6 +214,35 @@ def test_metadata_calls_the_state_store_per_bucket(spark, monkeypatch):
     assert got.count() == got.where(f"valid_to = valid_from + {n}").select("uid").distinct().count() == n
 
 
+def test_totals_call_the_state_store_per_bucket(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKETS", 16, raising=False)
+    n, root = 2000, work_dir(spark, "totals")
+    source = work_dir(spark, "feed")
+    spark.range(n).selectExpr("id k", "1L v", f"{S} + id ts_ns").union(spark.createDataFrame([(n, 1, 9 * S)], "k long, v long, ts_ns long")).write.parquet(source)
+    puts = _puts(lambda s, d: stateful.totals_stream(s, ["k"], ["v"], delay=d), spark.readStream.schema("k long, v long, ts_ns long").parquet(source), root)
+    assert puts < 2 * n
+    assert spark.read.parquet(f"{root}/out").where("v = 1 AND NOT expired").count() == n + 1
+
+
+@pytest.mark.parametrize("buckets", [1, 1 << 10])
+def test_totals_do_not_depend_on_buckets(spark, monkeypatch, buckets):
+    """Keys of one bucket, null among them, expire each by its own clock, also while others are updated."""
+    monkeypatch.setattr(ordered, "BUCKETS", buckets, raising=False)
+    rnd, events, t = random.Random(3), [], 0
+    for _ in range(60):
+        t += rnd.choice([1, 40, 150])
+        events.append((rnd.choice([None, "a", "a", "b", "c"]), rnd.choice([1, 2, None]), t * S))
+    frames = [spark.createDataFrame(events[i:i + 20], "k string, v long, ts_ns long") for i in (0, 20, 40)]
+    got = feed(spark, lambda s, d: stateful.totals_stream(s, ["k"], ["v"], delay=d), frames)
+    want, held = [], {}
+    for i, (k, v, at) in enumerate(events):
+        if k in held and held[k][1] + 300 * S < at:
+            want.append((k, held.pop(k)[0]))
+        held[k] = (held.get(k, (0, 0))[0] + (v or 0), at)
+    want += [(k, total) for k, (total, last) in held.items() if last + 300 * S < t * S]
+    assert rows(got.where("expired"), "k", "v") == sorted(want, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
 def test_thread_exit(spark):
     frames = [spark.createDataFrame(r, "pid long, tid long, ts_ns long, name string") for r in ([(1, 1, S, "read"), (1, 1, 2 * S, "procexit"), (1, 2, 3 * S, "read")], [(1, 2, 13 * S, "read"), (1, 1, 13 * S, "read")])]
     root = work_dir(spark, "threads")
