@@ -9,6 +9,7 @@ from skeinwork.plans.catalog import query
 from skeinwork.plans.views import Env
 from skeinwork.session import work_dir
 from skeinwork.streaming import builtin, stateful
+from skeinwork.streaming.ordered import BUCKETS
 from skeinwork.streaming.run import run_append
 
 
@@ -94,7 +95,7 @@ SELECT * EXCLUDE (pair_no, last_no) FROM (SELECT *, max(pair_no) OVER (PARTITION
 WHERE pair_no < last_no OR CAST(floor(coalesce(last_resp_ts, last_req_ts) / 1000000000) AS BIGINT) + CASE WHEN n_resp > 0 THEN 15 ELSE 120 END <= floor({_watermark("s")} / 1000000000)""")
 def stream_pairing(env):
     src = env.sql(_REPLAY_MESSAGES).select("pid", "fd", "seq", "ts_ns", "latency_ns", "res", "tid", "sport", "is_request")
-    return in_order(env, src, lambda s: stateful.pair_stream(s, delay="0 seconds"))
+    return in_order(env, src, lambda s: stateful.pair_stream(s, delay="0 seconds", buckets=BUCKETS))
 
 
 _REPLAY_DNS = f"SELECT *, '10.0.0.1' AS sip, '10.0.0.2' AS dip, k % 8 AS dns_id FROM ({_REPLAY_MESSAGES}) m WHERE dport = 53"
@@ -205,7 +206,7 @@ WHERE (again IS NULL OR again >= exit_ns + 10000000000) AND exit_ns + 1000000000
 def stream_thread_exit(env):
     name = F.when(F.col("name") == "connect", "procexit").otherwise(F.col("name"))
     src = env.sql(_REPLAY).select("pid", "tid", "ts_ns", name.alias("name"))
-    return in_order(env, src, lambda s: stateful.thread_exit_stream(s, delay="0 seconds"))
+    return in_order(env, src, lambda s: stateful.thread_exit_stream(s, delay="0 seconds", buckets=BUCKETS))
 
 
 @query("stream_workload_info", """

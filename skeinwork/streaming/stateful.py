@@ -45,6 +45,11 @@ class _OneRow(Ordered):
             self.cell.update(now)
 
 
+def _run(events: DataFrame, keys: list[str], machine: _OneRow, output: T.StructType, delay: str, buckets: int | None) -> DataFrame:
+    """A state per key, or with ``buckets`` a state per group of keys."""
+    return run_bucketed(events, keys, machine, output, delay, buckets) if buckets else run_ordered(events, keys, machine, output, delay)
+
+
 # Pairing -------------------------------------------------------------------------------------------------------------
 
 
@@ -96,11 +101,12 @@ class _Pairing(_OneRow):
 
 
 def pair_stream(events: DataFrame, labels: list[str] = (), payload: bool = False, fd_reuse_s: int = C.FD_REUSE_S, no_response_s: int = C.NO_RESPONSE_S,
-                snap: int = C.SNAP_BYTES, delay: str = DELAY) -> DataFrame:
+                snap: int = C.SNAP_BYTES, delay: str = DELAY, buckets: int | None = None) -> DataFrame:
     """``pair_requests`` with timers over a stream. A pair is emitted once: when the next one opens, when it is answered and
     idle for ``fd_reuse_s``, or when it stays unanswered for ``no_response_s``; what comes after that belongs to no pair.
 
-    The state of a connection is its open pair: counters and, with ``payload``, up to ``snap`` bytes of each side.
+    The state of a connection is its open pair: counters and, with ``payload``, up to ``snap`` bytes of each side. With
+    ``buckets`` connections share so many groups of state, which many connections with few events each need.
     """
     long, binary = T.LongType(), T.BinaryType()
     names = ["ts_ns", "seq", "is_request", "latency_ns", "res", *[c for c in ("tid", "sport") if c in events.columns], *(["data"] if payload else [])]
@@ -116,7 +122,7 @@ def pair_stream(events: DataFrame, labels: list[str] = (), payload: bool = False
     for c in ("request_data", "response_data") if payload else ():
         out = out.add(c, binary)
     machine = _Pairing(_fields(events.schema, names), T.StructType([*out.fields, T.StructField("port", long)]), list(labels), payload, fd_reuse_s, no_response_s, snap)
-    return run_ordered(events, pairing.KEY, machine, T.StructType([*_fields(events.schema, pairing.KEY).fields, *out.fields]), delay)
+    return _run(events, pairing.KEY, machine, T.StructType([*_fields(events.schema, pairing.KEY).fields, *out.fields]), delay, buckets)
 
 
 # DNS -----------------------------------------------------------------------------------------------------------------
@@ -391,11 +397,11 @@ class _Threads(_OneRow):
             yield {"pid": self.key[0], "tid": self.key[1], **out}
 
 
-def thread_exit_stream(events: DataFrame, delay_s: int = 10, delay: str = DELAY) -> DataFrame:
+def thread_exit_stream(events: DataFrame, delay_s: int = 10, delay: str = DELAY, buckets: int | None = None) -> DataFrame:
     """Threads seen in events; one is emitted and forgotten ``delay_s`` after its last exit event. Events after that are
-    those of a new thread with its number."""
+    those of a new thread with its number. With ``buckets`` threads share so many groups of state."""
     machine = _Threads(_fields(events.schema, ["ts_ns", "name"]), delay_s)
-    return run_ordered(events, ["pid", "tid"], machine, _fields(events.schema, ["pid", "tid"]).add("ts_ns", T.LongType()).add("exit_ns", T.LongType()), delay)
+    return _run(events, ["pid", "tid"], machine, _fields(events.schema, ["pid", "tid"]).add("ts_ns", T.LongType()).add("exit_ns", T.LongType()), delay, buckets)
 
 
 # Transactions --------------------------------------------------------------------------------------------------------

@@ -88,6 +88,21 @@ def test_pairing_does_not_depend_on_batches_or_arrival(spark, cuts, delay):
     assert len({r[:2] for r in found}) == len(found)
 
 
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_pairs_do_not_depend_on_buckets(spark, buckets):
+    """Connections that share state, one without a number among them, end each by its own clock."""
+    rnd, evs, t = random.Random(7), [], 0
+    for i in range(80):
+        t += rnd.choice([1, 2, 14, 16, 60])
+        evs.append(ev(rnd.choice([1, 2, 3, 4]), i, t, rnd.random() < 0.5, rnd.choice([1, 1, 2])))
+    frames = [spark.createDataFrame(evs[i:j], EVENT) for i, j in ((0, 30), (30, 31), (31, 80))]
+    null_fd = spark.createDataFrame([(1, None, 90, S, 10, 5, True, 1, 7), (1, None, 91, 2 * S, 10, 5, False, 1, 7)], EVENT)
+    got = feed(spark, lambda s, d: stateful.pair_stream(s, delay=d, buckets=buckets), [frames[0].union(null_fd), *frames[1:]])
+    found = [tuple(r) for r in got.select(*PAIR).collect()]
+    assert sorted((r for r in found if r[0] is not None), key=str) == plain_pairs(evs, t * S)
+    assert [r for r in found if r[0] is None] == [(None, S, 1, 1, 2 * S, 5)]
+
+
 def test_pairing_payload_is_bounded(spark):
     events = [(1, 1, i, (i + 1) * S // 1000, 10, 100, i == 0 or i % 500 > 0, 1, 7, b"x" * 100) for i in range(1000)] + [(1, 2, 2000, 90 * S, 10, 1, True, 1, 7, b"")]
     frames = [spark.createDataFrame(events[i:j], EVENT + ", data binary") for i, j in ((0, 600), (600, 1001))]
@@ -224,6 +239,29 @@ def test_totals_call_the_state_store_per_bucket(spark, monkeypatch):
     assert spark.read.parquet(f"{root}/out").where("v = 1 AND NOT expired").count() == n + 1
 
 
+def test_pairs_call_the_state_store_per_bucket(spark):
+    """Connections that begin and end in a batch do not cost writes each."""
+    n, source, root = 2000, work_dir(spark, "feed"), work_dir(spark, "pairs")
+    every = spark.range(n).selectExpr("1L pid", "int(id) fd", "explode(array(true, false)) is_request", "id").selectExpr(
+        "pid", "fd", "id seq", f"{S} + id + if(is_request, 0, {n}) ts_ns", "10L latency_ns", "5L res", "is_request", "1 sport", "7L tid")
+    every.union(spark.createDataFrame([ev(n, n, 90, True)], EVENT)).write.parquet(source)
+    puts = _puts(lambda s, d: stateful.pair_stream(s, delay=d, buckets=16), spark.readStream.schema(every.schema).parquet(source), root)
+    assert puts < 2 * n
+    assert spark.read.parquet(f"{root}/out").where("n_req = 1 AND n_resp = 1").count() == n
+
+
+def test_threads_call_the_state_store_per_bucket(spark):
+    n, source, root = 2000, work_dir(spark, "feed"), work_dir(spark, "threads")
+    cols = "pid long, tid long, ts_ns long, name string"
+    both = spark.range(n).selectExpr("1L pid", "id tid", "explode(array('read', 'procexit')) name")
+    every = both.selectExpr("pid", "tid", f"if(name = 'read', {S}, {2 * S}) + tid ts_ns", "name")
+    every.union(spark.createDataFrame([(1, n, 90 * S, "read")], cols)).write.parquet(source)
+    puts = _puts(lambda s, d: stateful.thread_exit_stream(s, delay=d, buckets=16), spark.readStream.schema(cols).parquet(source), root)
+    assert puts < 2 * n
+    got = spark.read.parquet(f"{root}/out")
+    assert got.count() == got.where(f"ts_ns = {2 * S} + tid AND exit_ns = ts_ns").select("tid").distinct().count() == n
+
+
 @pytest.mark.parametrize("buckets", [1, 1 << 10])
 def test_totals_do_not_depend_on_buckets(spark, monkeypatch, buckets):
     """Keys of one bucket, null among them, expire each by its own clock, also while others are updated."""
