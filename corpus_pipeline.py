@@ -25,7 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by sharing 0.8 or more of the five-word shingles (exact Jaccard) stays."""
+    """One document of each group that is linked by sharing 0.8 or more of the five-word shingles stays: SimHash classes and, for
+    what lies farther apart, MinHash bands, both checked by the exact Jaccard similarity."""
     return near_copies.keep_one(docs, words=5, threshold=0.8)
 
 

@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles, on candidates that share a band of a MinHash signature."""
+"""Near copies by exact Jaccard similarity of word shingles, on candidates of a SimHash class (``op6_simhash``) or a MinHash band."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from skeinwork.llm.common import Scratch, by_text, held, stage
 from skeinwork.llm.components import connected_components
 from skeinwork.llm.encode import TwoGenerations
 from skeinwork.llm.op4_decontamination import _shingle_hashes
-from skeinwork.llm.op6_simhash import keep_least
+from skeinwork.llm.op6_simhash import fingerprint_of, keep_least, near_duplicates
 
 # At a similarity of 0.8 two texts share none of the bands with probability (1 - 0.8^4)^32 = 5e-8.
 BANDS, BAND_ROWS = 32, 4
@@ -55,12 +55,13 @@ def _marks(words: int):
     def of(text: str) -> dict:
         shingles = shingle_set(text, words)
         least = minima_of(shingles)
-        return {"sig": int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64)), "bands": bands_of(least), "minima": least[:SCREENED].astype(np.uint8).tobytes()}
+        sig = int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
+        return {"sig": sig, "fp": fingerprint_of(text, words), "bands": bands_of(least), "minima": least[:SCREENED].astype(np.uint8).tobytes()}
 
     return of
 
 
-_MARKS = pa.struct([("sig", pa.int64()), ("bands", pa.list_(pa.int64())), ("minima", pa.binary())])
+_MARKS = pa.struct([("sig", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("minima", pa.binary())])
 
 
 def agreeing(threshold: float) -> int:
@@ -199,15 +200,18 @@ def _links(seats: DataFrame, distinct: DataFrame, texts: DataFrame, words: int,
 
 
 def similar_links(distinct: DataFrame, texts: DataFrame, scratch: Scratch, words: int = 5, threshold: float = 0.8, block_rows: int = 512) -> DataFrame:
-    """Links (u, v) whose components are those of "similarity ``threshold`` or more" over rows (``sig``, ``hash``,
+    """Links (u, v) whose components are those of "similarity ``threshold`` or more" over rows (``sig``, ``hash``, ``fp``,
     ``bands``, ``minima``) with a sig each; ``texts`` has the ``text`` of a ``hash``.
 
-    Texts that share a band meet in its bucket; buckets with the same members count once. First every member is compared
+    Texts of a SimHash class (their fingerprints reach each other over links of two bits, as ``op6_simhash`` finds them) meet
+    in its bucket, and so do texts that share a band, which finds the similar ones whose fingerprints lie farther apart.
+    Buckets with the same members count once. First every member is compared
     with the least one of its bucket, which settles the buckets of one dense group; then all members with all in the buckets
     that still hold several components, cut into blocks of ``block_rows`` that the members of later blocks pass by. No pair is
     a row, and a component's own pairs are not compared again. ``sets_of(sigs)`` gives ``sig`` and ``set`` of the sigs asked for.
     """
-    placed = distinct.select("sig", F.explode("bands").alias("key"))
+    classes = near_duplicates(distinct.select("sig", "fp"), id_col="sig").select("fp", F.col("root").alias("key"))
+    placed = distinct.select("sig", F.explode("bands").alias("key")).unionByName(distinct.select("sig", "fp").join(classes, "fp").select("sig", "key"))
     buckets = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("sig").alias("center"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("sum")).where("n > 1")
     buckets = scratch.stage(buckets.groupBy("n", "center", "sum").agg(F.min("key").alias("key")).select("key", "n", "center"), "buckets")
     members = scratch.stage(placed.join(buckets, "key"), "members")
@@ -232,21 +236,22 @@ def similar_links(distinct: DataFrame, texts: DataFrame, scratch: Scratch, words
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, block_rows: int = 512) -> DataFrame:
     """The rows of ``df`` with one row of each component of texts that share ``threshold`` or more of their ``words``-word shingles.
 
-    Similarity is the exact Jaccard similarity of the sets of shingles; components and the row that stays are as in
+    Candidates are the SimHash classes of ``op6_simhash`` and, for what differs in more bits, MinHash bands. Similarity is the
+    exact Jaccard similarity of the sets of shingles, whichever found a pair; components and the row that stays are as in
     ``op6_simhash.keep_one``. Texts with the same shingles count once before anything is compared. Null, blank and empty texts
     have the same (empty) shingle and so are copies of one another, of which one stays. An empty table gives no row. What is
     written on the way is removed, but for ids and roots, which the result reads.
     """
     id_, text, scratch = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"), Scratch()
     hashed = F.xxhash64(id_, text)
-    marks = by_text(lambda: _marks(words), "struct<sig:bigint,bands:array<bigint>,minima:binary>", _MARKS)
+    marks = by_text(lambda: _marks(words), "struct<sig:bigint,fp:bigint,bands:array<bigint>,minima:binary>", _MARKS)
     marked = scratch.stage(df.select(id_.alias("doc_id"), hashed.alias("hash"), marks(text).alias("m")).select("doc_id", "hash", "m.*"), "shingle_bands")
-    least = F.min(F.struct("hash", "bands", "minima")).alias("l")
+    least = F.min(F.struct("hash", "fp", "bands", "minima")).alias("l")
     distinct = scratch.stage(marked.groupBy("sig").agg(F.min("doc_id").alias("least"), least).select("sig", "least", "l.*"), "signatures")
     ids = stage(marked.select("doc_id", "hash", "sig"), "near_copy_ids")
     scratch.drop(marked)
     texts = df.select(hashed.alias("hash"), text.alias("text"))
-    links = similar_links(distinct.select("sig", "hash", "bands", "minima"), texts, scratch, words, threshold, block_rows)
+    links = similar_links(distinct.select("sig", "hash", "fp", "bands", "minima"), texts, scratch, words, threshold, block_rows)
     roots = connected_components(links)
     named = distinct.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     named = stage(named, "roots")

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from skeinwork.llm import near_copies
+from skeinwork.llm import near_copies, op6_simhash
+from skeinwork.llm.common import Scratch
 
 
 def shingles(text):
@@ -54,3 +55,23 @@ def test_stage_keeps_no_near_copies(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect())
     assert got == least_of_groups(rows)
+
+
+def test_simhash_classes_are_candidates_and_checked(spark):
+    """Without bands, texts of a SimHash class are linked if they are similar, and only then."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in rng.integers(0, 5000, 400)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join([*words, "end"]), " ".join(f"v{k}" for k in range(400))]
+    marks = [near_copies._marks(5)(t) for t in texts]
+    fps = [m["fp"] for m in marks]
+    assert fps == [op6_simhash.fingerprint_of(t, 5) for t in texts]
+    assert all((fps[0] ^ fp).bit_count() <= 2 for fp in fps[1:3])
+    # The last text gets the first one's fingerprint: a class is no proof.
+    rows = [(m["sig"], k, fp, [], bytes(m["minima"])) for k, (m, fp) in enumerate(zip(marks, [*fps[:3], fps[0]]))]
+    distinct = spark.createDataFrame(rows, "sig long, hash long, fp long, bands array<bigint>, minima binary")
+    scratch = Scratch()
+    found = near_copies.similar_links(distinct, spark.createDataFrame(list(enumerate(texts)), "hash long, text string"), scratch)
+    linked = {frozenset(r) for r in found.collect()}
+    ends = {s for pair in linked for s in pair}
+    assert ends == {m["sig"] for m in marks[:3]} and len(linked) >= 2
+    scratch.drop_all()
