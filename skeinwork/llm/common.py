@@ -26,6 +26,7 @@ def held(key: object, make: Callable[[], object]) -> object:
     an earlier stage needed (a cache, an index) gives way. ``key`` must be unique to what is made, not an ``id()``."""
     if key not in _HELD:
         _HELD.clear()
+        pa.default_memory_pool().release_unused()
         _HELD[key] = make()
     return _HELD[key]
 

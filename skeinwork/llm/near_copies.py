@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.llm.common import Scratch, by_text, held, stage
 from skeinwork.llm.components import connected_components
-from skeinwork.llm.encode import TwoGenerations
-from skeinwork.llm.op4_decontamination import _shingle_hashes
+from skeinwork.llm.op4_decontamination import _shingle_hashes, _word_hashes
 from skeinwork.llm.op6_simhash import fingerprint_of, keep_least, near_duplicates
 
 # At a similarity of 0.8 two texts share none of the bands with probability (1 - 0.8^4)^32 = 5e-8.
@@ -23,17 +22,12 @@ _FACTOR, _SHIFT = (_RNG.integers(0, 2**63, (BANDS * BAND_ROWS, 1), np.uint64) *
 _BAND_FACTOR = _RNG.integers(0, 2**63, BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _word_hashes() -> TwoGenerations:
-    return held("near-copies-words", lambda: TwoGenerations(lambda w: xxhash.xxh64_intdigest(w), 200_000))
-
-
 def shingle_set(text: str, words: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; a shorter text is one shingle. Words as in ``op6_simhash.fingerprint_of``."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return np.zeros(1, np.uint64)
-    of = _word_hashes()
-    return np.unique(_shingle_hashes(np.array([of[t] for t in tokens], np.uint64), min(words, len(tokens))))
+    return np.unique(_shingle_hashes(_word_hashes(tokens), min(words, len(tokens))))
 
 
 def minima_of(shingles: np.ndarray) -> np.ndarray:
@@ -52,6 +46,8 @@ def bands_of(least: np.ndarray) -> list[int]:
 
 
 def _marks(words: int):
+    held("near-copies", dict)  # what an earlier stage kept gives way
+
     def of(text: str) -> dict:
         shingles = shingle_set(text, words)
         least = minima_of(shingles)

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm.common import by_text, fresh, held
-from skeinwork.llm.encode import TwoGenerations
 
 # Runs of ASCII letters, digits and characters beyond ASCII; A-Z count as a-z.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -25,6 +24,11 @@ def words_of(text: str) -> list[bytes]:
     return _WORD.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """Hashed anew for every text: a cache of words takes longer, and memory."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 def _shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """64-bit hash of every run of ``size`` word hashes."""
     n = len(hashes) - size + 1
@@ -64,7 +68,6 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], shingle: int, threshold: float):
         self.shingle, self.threshold = shingle, threshold
-        self.hash_of = TwoGenerations(lambda w: xxhash.xxh64_intdigest(w), 200_000)
         self.partitions: dict[int, tuple[Signature, dict[int, list[int]]]] = {}
         self.shingles: dict[int, dict[int, tuple]] = {}
         for item, text in items:
@@ -89,8 +92,7 @@ class Index:
     def hashes(self, words: list[bytes]) -> np.ndarray:
         if len(words) < self.shingle:
             return np.zeros(0, np.uint64)
-        of = self.hash_of
-        return _shingle_hashes(np.array([of[w] for w in words], np.uint64), self.shingle)
+        return _shingle_hashes(_word_hashes(words), self.shingle)
 
     def candidates(self, hashes: np.ndarray) -> set[int]:
         """Items one of whose signature's minima is a minimum of a window of the document, too.
