@@ -156,7 +156,8 @@ def detail_edges(samples: DataFrame, namespace: str, workload: str | None = None
     """Edges between workloads (or pods) that touch a namespace or one workload; self calls are left out."""
     svc = F.when(F.col("dst_namespace").isin(C.EXTERNAL_NAMESPACES), "").otherwise(F.coalesce("dst_service", F.lit(""))) if services else F.lit("")
     m = [c for c in EDGE_METRICS if c in samples.columns]
-    part = samples.groupBy(*_LABELS, "protocol", "status_code").agg(*[F.sum(c).alias(c) for c in m])
+    # All nodes that a row counts for are in its own namespaces, so a row outside the namespace counts for no edge that is shown.
+    part = in_scope(samples, namespace).groupBy(*_LABELS, "protocol", "status_code").agg(*[F.sum(c).alias(c) for c in m])
 
     def bare(end):
         return F.struct(end["kind"].alias("kind"), end["namespace"].alias("namespace"), end["name"].alias("name"))
