@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from skeinwork import constants as C
 from skeinwork.functions import registry
@@ -44,8 +45,43 @@ def agg_exprs(columns: list[str], config: dict, order: Column) -> list[Column]:
     return out
 
 
+_SEPARATOR, _ESCAPE = "\x1f", "\x1e"
+_NULL = f"{_ESCAPE}2"
+
+
+def group_packed(df: DataFrame, keys: list[str], aggs: list[Column], least: int = 6) -> DataFrame:
+    """``df.groupBy(*keys).agg(*aggs)`` for wide label sets: the text and integer keys are shuffled as one text.
+
+    A row of twenty text columns is mostly offsets and padding; one text takes half the shuffle. Separators inside values are
+    escaped and null has a mark of its own, so each label set has its own text. Keys of other types (booleans, which filters
+    reach through the aggregation) stay columns; so do all when there are fewer than ``least`` to pack.
+    """
+    types = {f.name: f.dataType for f in df.select(*keys).schema}
+    packed = [k for k in types if isinstance(types[k], (StringType, IntegralType))]
+    if len(packed) < least:
+        return df.groupBy(*keys).agg(*aggs)
+
+    def escaped(value):
+        return F.replace(F.replace(value, F.lit(_ESCAPE), F.lit(f"{_ESCAPE}0")), F.lit(_SEPARATOR), F.lit(f"{_ESCAPE}1"))
+
+    def plain(part):
+        value = F.replace(F.replace(part, F.lit(f"{_ESCAPE}1"), F.lit(_SEPARATOR)), F.lit(f"{_ESCAPE}0"), F.lit(_ESCAPE))
+        return F.when(part != _NULL, value)
+
+    # Lambdas over one array, not an expression per label: code of some thousand instructions in one method is not compiled.
+    values = F.array(*[F.col(k).cast("string") for k in packed])
+    key = F.array_join(F.transform(values, escaped), _SEPARATOR, _NULL).alias("__key")
+    grouped = df.groupBy(key, *[k for k in types if k not in packed]).agg(*aggs)
+    # A generator, since a projection would be merged with those behind it and split the text for every label again.
+    parts = F.split("__key", _SEPARATOR)
+    parts = F.when(F.contains("__key", F.lit(_ESCAPE)), F.transform(parts, plain)).otherwise(parts)
+    grouped = grouped.select("*", F.explode(F.array(parts)).alias("__parts"))
+    made = [c for c in grouped.columns if c not in types and c not in ("__key", "__parts")]
+    return grouped.select(*[F.get("__parts", F.lit(packed.index(k))).cast(types[k]).alias(k) if k in packed else k for k in types], *made)
+
+
 def agg_config(df: DataFrame, keys: list[str], config: dict, order: list[str] = ("ts_ns",)) -> DataFrame:
-    return df.groupBy(*keys).agg(*agg_exprs(df.columns, config, F.struct(*order)))
+    return group_packed(df, keys, agg_exprs(df.columns, config, F.struct(*order)))
 
 
 def agg_all_labels(long: DataFrame, config: dict | None = None) -> DataFrame:
