@@ -168,16 +168,22 @@ def workload_info(pods: DataFrame, node: str | None = None) -> DataFrame:
 def side_metrics(labelled: DataFrame, labels: list[str], is_server: bool) -> DataFrame:
     """Durations and bytes per label set, and counts per label set with ``is_slow``, as (labels, is_slow, metric, value).
 
-    ``is_slow`` is null where it is not a label. The rows are aggregated once, with ``is_slow``; the sums of both kinds are
-    then grouped by labels and what is left of ``is_slow``, which only the counts keep.
+    ``is_slow`` is null where it is not a label. The rows are aggregated once, by labels, with a count for each value of
+    ``is_slow``; ``__seen`` tells which values a label set has, since a count may be null.
     """
     n = C.ENTITY_METRICS if is_server else C.TOPOLOGY_METRICS
     sums = ["request_total_time", "request_io", "response_io"]
-    fine = labelled.groupBy(*labels, "is_slow").agg(*[F.sum(c).cast("long").alias(c) for c in [*sums, "request_count"]])
-    parts = [F.struct(F.lit(None).cast("boolean").alias("is_slow"), F.lit(n[c]).alias("metric"), F.col(c).alias("value")) for c in sums]
-    parts.append(F.struct(F.col("is_slow"), F.lit(n["request_count"]).alias("metric"), F.col("request_count").alias("value")))
-    long_ = fine.select(*labels, F.inline(F.array(*parts)))
-    return long_.groupBy(*labels, "is_slow", "metric").agg(F.sum("value").cast("long").alias("value"))
+    slow, kinds = F.col("is_slow"), [(True, 1), (False, 2), (None, 4)]
+    bit = F.when(slow, 1).when(~slow, 2).otherwise(4)
+    counts = [F.sum(F.when(bit == b, F.col("request_count"))).cast("long").alias(f"__n{b}") for _, b in kinds]
+    fine = group_packed(labelled, labels, [*[F.sum(c).cast("long").alias(c) for c in sums], *counts, F.bit_or(bit).alias("__seen")])
+
+    def part(value, metric, column):
+        return F.struct(F.lit(value).cast("boolean").alias("is_slow"), F.lit(n[metric]).alias("metric"), F.col(column).alias("value"))
+
+    parts = [part(None, c, c) for c in sums]
+    parts += [F.when(F.col("__seen").bitwiseAND(b) != 0, part(value, "request_count", f"__n{b}")) for value, b in kinds]
+    return fine.select(*labels, F.inline(F.array_compact(F.array(*parts))))
 
 
 ENTITY_LABELS = ["namespace", "workload_kind", "workload_name", "service", "protocol", "request_content", "response_content"]

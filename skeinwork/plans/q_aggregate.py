@@ -213,7 +213,8 @@ SELECT dst_namespace, dst_pod, protocol, dst_ip, dst_port, metric, CAST(sum(v) A
 def external_topology(env):
     r = env.v_records.withColumn("src_namespace", F.lit(C.EXTERNAL))
     agg = aggregate.external_topology(aggregate.agg_net_requests(r))
-    return agg.groupBy("dst_namespace", "dst_pod", "protocol", "dst_ip", "dst_port", "metric").agg(F.sum("value").cast("long").alias("value"))
+    labels = ["dst_namespace", "dst_pod", "protocol", "dst_ip", "dst_port", "metric"]
+    return aggregate.group_packed(agg, labels, [F.sum("value").cast("long").alias("value")])
 
 
 @query("trace_as_metric", """
