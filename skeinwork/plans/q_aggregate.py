@@ -213,8 +213,12 @@ SELECT dst_namespace, dst_pod, protocol, dst_ip, dst_port, metric, CAST(sum(v) A
 def external_topology(env):
     r = env.v_records.withColumn("src_namespace", F.lit(C.EXTERNAL))
     agg = aggregate.external_topology(aggregate.agg_net_requests(r))
-    labels = ["dst_namespace", "dst_pod", "protocol", "dst_ip", "dst_port", "metric"]
-    return aggregate.group_packed(agg, labels, [F.sum("value").cast("long").alias("value")])
+    # Every edge has a row of each metric, so the four are summed side by side and become rows after the shuffle.
+    labels = ["dst_namespace", "dst_pod", "protocol", "dst_ip", "dst_port"]
+    metrics = [C.TOPOLOGY_METRICS[m] for m in ("request_total_time", "request_io", "response_io", "request_count")]
+    sums = [F.sum(F.when(F.col("metric") == m, F.col("value"))).cast("long").alias(m) for m in metrics]
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])
+    return aggregate.group_packed(agg, labels, sums, least=5).select(*labels, F.inline(rows))
 
 
 @query("trace_as_metric", """
