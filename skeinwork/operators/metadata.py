@@ -332,7 +332,8 @@ def metadata_asof(records: DataFrame, validity: DataFrame, keys: list[str], valu
     """Metadata that was current at a record's time.
 
     The newest entry of a key replaces older ones at its ``valid_from``; it is gone ``grace`` after its ``valid_to``
-    (null = still there). ``slice_rows`` also bounds the rows of a slice (bursts; counts the rows first).
+    (null = still there). Keys of very many rows are cut by ``slice_ns``; ``slice_rows`` also bounds the rows of a slice
+    (bursts; counts the rows first).
     """
     table = validity.select(*keys, "valid_from", F.col("valid_to").alias("__valid_to"), *[F.col(v).alias(f"__m_{v}") for v in values])
     hit = scan.asof_join(records, table, keys, ts, "valid_from", ["valid_from", "__valid_to", *[f"__m_{v}" for v in values]], slice_ns, slice_rows=slice_rows)

@@ -15,6 +15,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE = "__slice"
 DEFAULT_SLICE_NS = 60 * 1_000_000_000
@@ -118,12 +119,31 @@ def carry_next(df: DataFrame, keys: list[str], order: list[str], values: dict[st
     return out.select(*df.columns, *[F.col(f"__hit.{n}").alias(n) for n in values])
 
 
+def _plain_keys(df: DataFrame, keys: list[str]) -> dict[str, Column]:
+    """Columns that are equal where ``keys`` are the same, null or not, and never null: rows that are dealt by them for a window
+    stay where they are for a join."""
+    out = {}
+    for i, k in enumerate(keys):
+        kind = df.schema[k].dataType
+        none = F.lit("") if isinstance(kind, T.StringType) else F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else None
+        out[f"__k{i}"] = F.struct(k) if none is None else F.coalesce(k, none)
+    out["__none"] = reduce(lambda a, b: a + b, [F.col(k).isNull().cast("int") * (1 << i) for i, k in enumerate(keys)])
+    return out
+
+
+def _hashable(df: DataFrame, struct: str) -> list[Column]:
+    """Fields of a struct that can be hashed."""
+    return [F.col(f"{struct}.{f.name}") for f in df.schema[struct].dataType.fields if "map<" not in f.dataType.simpleString()]
+
+
 def asof_join(probes: DataFrame, table: DataFrame, keys: list[str], at: str, table_at: str, values: list[str], slice_width: int,
-              forward: bool = False, inclusive: bool = True, ties: list[str] = (), slice_rows: int | None = None) -> DataFrame:
+              forward: bool = False, inclusive: bool = True, ties: list[str] = (), slice_rows: int | None = None, hot_rows: int = 1_000_000) -> DataFrame:
     """Add to each probe row the values of the nearest table row of its key before (or after) it.
 
-    Both sides are merged in order and scanned, so nothing is paired up and a hot key is cut into slices of ``slice_width``,
-    and with ``slice_rows`` also by count (``balanced_slices``).
+    Both sides are merged in order and scanned, so nothing is paired up. A key of up to ``hot_rows`` rows is scanned whole: rows
+    move once. One of more rows is hot and cut into slices of ``slice_width``, and with ``slice_rows`` also by count
+    (``balanced_slices``); its slices are summarized, scanned and joined back. There are at most rows / ``hot_rows`` hot keys, so
+    their list is broadcast.
     ``inclusive`` takes a table row at the very same position too; of equal positions the last by ``ties`` is taken.
     """
     sign = -1 if forward else 1
@@ -131,12 +151,32 @@ def asof_join(probes: DataFrame, table: DataFrame, keys: list[str], at: str, tab
     tie_cols = [F.col(t).alias(f"__tie{i}") for i, t in enumerate(ties)]
     rows = table.select(*keys, (F.col(table_at) * sign).alias("__at"), F.lit(row_first).alias("__side"), *tie_cols,
                         F.struct(*values).alias("__t"))
-    packed = F.struct("*").alias("__p")
-    asked = probes.select(*keys, (F.col(at) * sign).alias("__at"), F.lit(1).alias("__side"), packed)
+    rest = [c for c in probes.columns if c not in keys]
+    asked = probes.select(*keys, (F.col(at) * sign).alias("__at"), F.lit(1).alias("__side"), F.struct(*rest).alias("__p"))
     merged = asked.unionByName(rows, allowMissingColumns=True)
     order = ["__at", "__side", *[f"__tie{i}" for i in range(len(ties))]]
     slice_ = F.floor(F.col("__at") / F.lit(slice_width))
     if slice_rows:
         merged, slice_ = balanced_slices(merged, keys, "__at", slice_width, slice_rows), F.col("__fine")
-    seen = carry_last(merged, keys, order, {"__hit": F.col("__t")}, slice_, F.col("__side") != 1)
-    return seen.where("__side = 1").select("__p.*", *[F.col(f"__hit.{v}").alias(v) for v in values])
+        hot_rows = min(hot_rows, slice_rows)
+    types = {k: probes.schema[k].dataType for k in keys}
+    plain = _plain_keys(merged, keys)
+    merged = merged.withColumns(plain).drop(*keys)
+    key = list(plain)
+    # Counts and summaries read every column: what is below them is then the same as below the scan, and its exchanges run once.
+    read = F.max(F.xxhash64(*key, *order, *_hashable(merged, "__p"), *_hashable(merged, "__t")))
+    hot = merged.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), read.alias("__read"))
+    hot = F.broadcast(hot.where((F.col("__n") > hot_rows) & F.col("__read").isNotNull()).select(*key))
+    # Rows of other keys have no slice, and so do the first ones of a hot key that have no position.
+    dealt = merged.join(hot.withColumn("__hot", F.lit(True)), key, "left").withColumn(SLICE, F.when(F.col("__hot"), slice_)).drop("__hot").repartition(*key, SLICE)
+    local = dealt.withColumn("__local", F.last("__t", ignorenulls=True).over(_rows_window(key, order).rowsBetween(Window.unboundedPreceding, -1)))
+    tails = merged.join(hot, key).withColumn(SLICE, slice_).groupBy(*key, SLICE).agg(
+        F.max_by("__t", F.when(F.col("__t").isNotNull(), F.struct(*order))).alias("__tail"), read.alias("__read")).where("__read IS NOT NULL")
+    before = F.last("__tail", ignorenulls=True).over(_slice_window(key).rowsBetween(Window.unboundedPreceding, -1))
+    carried = tails.select(*key, SLICE, before.alias("__carry"))
+    hit = local.where("__side = 1").join(carried, [*key, SLICE], "left").withColumn("__hit", F.coalesce("__local", "__carry"))
+    own = {c: F.col(f"__p.{c}") for c in rest}
+    for i, k in enumerate(keys):
+        there = F.col(f"__k{i}.{k}") if isinstance(hit.schema[f"__k{i}"].dataType, T.StructType) else F.when(F.col("__none").bitwiseAND(1 << i) == 0, F.col(f"__k{i}"))
+        own[k] = there.cast(types[k])
+    return hit.select(*[own[c].alias(c) for c in probes.columns], *[F.col(f"__hit.{v}").alias(v) for v in values])

@@ -83,3 +83,33 @@ def test_series_without_slices_are_cut_by_count(spark):
     want = {"a": sum(now if now < prev else now - prev for prev, now in zip([(t * 7) % 50 for t in range(499)], [(t * 7) % 50 for t in range(1, 500)])), "b": 0}
     assert {r.k: r.increase for r in series.increase(df, ["k"]).collect()} == want
     assert series.deltas(df, ["k"]).columns == ["k", "ts", "value", "delta"]
+
+
+@pytest.mark.parametrize("forward,inclusive", [(False, True), (True, False)])
+@pytest.mark.parametrize("hot_rows", [0, 60])
+def test_asof_of_hot_keys(spark, data, forward, inclusive, hot_rows):
+    """Keys that are cut into slices, one without a value among them, and rows without a position give what whole keys give."""
+    odd = data.select(F.when(F.col("k") != "k1", F.col("k")).alias("k"), F.when(F.col("seq") % 50 > 0, F.col("ts")).alias("ts"), "seq", "v", (F.col("seq") % 3).cast("int").alias("n"))
+    table = odd.where("v > 6").select("k", "n", F.col("ts").alias("at"), F.col("seq").alias("id"))
+    probes = odd.where("v < 3").select("seq", "k", "ts", "n", F.create_map("k", "v").alias("m") if hot_rows else F.col("v").alias("m")).where("k IS NOT NULL OR m IS NOT NULL" if not hot_rows else "k IS NOT NULL")
+    args = (probes, table, ["k", "n"], "ts", "at", ["id"], 17, forward, inclusive, ["id"])
+    got, whole = scan.asof_join(*args, hot_rows=hot_rows), scan.asof_join(*args)
+    assert got.schema == whole.schema and got.columns == [*probes.columns, "id"]
+    assert rows(got, "seq", "k", "n", "ts", "id") == rows(whole, "seq", "k", "n", "ts", "id")
+    if not hot_rows:
+        w = Window.partitionBy("k", "n").orderBy(*([F.col("p").desc_nulls_first()] if forward else ["p"]), F.col("side") if inclusive else F.col("side").desc(), F.col("id"))
+        both = probes.select("seq", "k", "n", F.col("ts").alias("p"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("id")).unionByName(
+            table.select(F.lit(None).cast("long").alias("seq"), "k", "n", F.col("at").alias("p"), F.lit(0).alias("side"), "id"))
+        plain = both.withColumn("hit", F.last("id", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).where("side = 1")
+        assert rows(got, "seq", "id") == rows(plain, "seq", "hit")
+
+
+def test_asof_moves_rows_once(spark):
+    """Keys with few rows are dealt once, not by slices that hold a row or two; the other exchange is that of the counts."""
+    probes = spark.range(4000).select((F.col("id") % 400).cast("string").alias("k"), F.col("id").alias("seq"), (F.col("id") * 100).alias("ts"))
+    table = spark.range(800).select((F.col("id") % 400).cast("string").alias("k"), (F.col("id") * 500).alias("at"), "id")
+    got = scan.asof_join(probes, table, ["k"], "ts", "at", ["id"], 10)
+    assert got.where("id IS NOT NULL").count() > 0
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") <= 2, plan
