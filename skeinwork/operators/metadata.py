@@ -86,6 +86,38 @@ class Cluster:
         any_ = F.when(F.col("has_own") == 1, F.col("own")).otherwise(F.col("pod"))
         return every.select("ip", F.struct("exact", any_.alias("any"), "pod").alias("__m"))
 
+    def _places(self) -> DataFrame:
+        """All that the tables say of an address in one row: what ``_addresses`` has, services and host ports by port, the node."""
+        def by(table: DataFrame, ip: str, port: str, name: str) -> DataFrame:
+            return table.where(F.col(ip).isNotNull() & F.col(port).isNotNull()).select(F.col(ip).alias("ip"), F.struct(F.col(port).cast("long"), "__m").alias(name))
+        keep = ["namespace", "service", "workload_kind", "workload_name"]
+        services = by(one_per_key(self.services, ["ip", "port"], ["namespace", "service"], keep), "ip", "port", "__s")
+        hosts = by(one_per_key(self.host_ports, ["host_ip", "host_port"], ["pod"], ["container", "container_id", *POD_COLS, "port"]), "host_ip", "host_port", "__h")
+        nodes = one_per_key(self.nodes, ["ip"], ["node"], ["node"]).where(F.col("ip").isNotNull()).select("ip", F.col("__m").alias("__n"))
+        ports = self._addresses().select("ip", F.col("__m").alias("__p"))
+        every = ports.unionByName(services, True).unionByName(hosts, True).unionByName(nodes, True).groupBy("ip").agg(
+            F.first("__p", True).alias("ports"), F.map_from_entries(F.collect_list("__s")).alias("services"),
+            F.map_from_entries(F.collect_list("__h")).alias("hosts"), F.first("__n", True).alias("node"))
+        # The condition always holds: fields are then taken from the whole row, which is made once for all joins.
+        return every.select("ip", F.when(F.length("ip") >= 0, F.struct("ports", "services", "hosts", "node")).alias("__m"))
+
+    def join_place(self, df, ip: str, port: Column, names: dict[str, str]):
+        """``join_service``, ``join_host_port``, ``join_node``, ``join_ip_port`` (container) and ``join_pod_ip`` in one join by the
+        address in column ``ip``; ``names`` has the column for each of service, host, node, container and pod that is wanted.
+
+        A service listens on a port of every node: the table by node port has a row per port number at most and is broadcast.
+        """
+        places = self._places().select(F.concat("ip", F.lit("")).alias(ip), F.col("__m").alias("__at"))
+        at, out = F.col("__at"), df.join(places, ip, "left")
+        made = {"container": F.coalesce(F.try_element_at(at["ports"]["exact"], port.cast("int")), at["ports"]["any"]), "pod": at["ports"]["pod"], "node": at["node"],
+                "host": F.try_element_at(at["hosts"], port.cast("int").cast("long")), "service": F.try_element_at(at["services"], port.cast("int").cast("long"))}
+        out = out.withColumns({names[k]: v for k, v in made.items() if k in names}).withColumn("__on", F.when(at["node"].isNotNull(), port.cast("int"))).drop("__at")
+        if "service" in names:
+            by_node = one_per_key(self.services.where(F.col("node_port").isNotNull()), ["node_port"], ["namespace", "service"], ["namespace", "service", "workload_kind", "workload_name"])
+            out = out.join(F.broadcast(by_node.select(F.col("node_port").alias("__on"), F.col("__m").alias("__np"))), "__on", "left")
+            out = out.withColumn(names["service"], F.coalesce(names["service"], "__np")).drop("__np")
+        return out.drop("__on")
+
     def join_address(self, df, ip: Column, port: Column, container: str | None, pod: str | None = None):
         """``join_ip_port`` into ``container`` and ``join_pod_ip`` into ``pod`` in one join by the address."""
         out = _attach(df, self._addresses(), {"ip": ip}, "__at")
@@ -258,37 +290,41 @@ def enrich_server(df: DataFrame, cluster: Cluster) -> DataFrame:
 def enrich_tcp(df: DataFrame, cluster: Cluster) -> DataFrame:
     """Labels of both ends of a TCP metric by address, then the translation and port pruning.
 
-    A host-port hit does not stop the search: the pod and node steps after it can overwrite what it set.
+    A host-port hit does not stop the search: the pod and node steps after it can overwrite what it set. Records move once per
+    end, those of a translated service once more.
     """
     from skeinwork.operators.relabel import apply_dnat, prune_ports
     keep = df.columns
-    sip, dip = F.coalesce("src_ip", F.lit("")), F.coalesce("dst_ip", F.lit(""))
+    sip, dip = F.col("__sip"), F.col("__dip")
     sport, dport = F.col("src_port").cast("long"), F.col("dst_port").cast("long")
-    t = cluster.join_service(df, dip, dport, "__ds")
-    t = cluster.join_host_port(t, dip, dport, "__dh")
-    t = cluster.join_node(t, dip, "__dn")
+    t = df.withColumns({"__sip": F.coalesce("src_ip", F.lit("")), "__dip": F.coalesce("dst_ip", F.lit(""))})
+    t = cluster.join_place(t, "__dip", dport, {"service": "__ds", "host": "__dh", "node": "__dn", "container": "__dc", "pod": "__dp"})
     svc, s = F.col("__ds").isNotNull(), F.col("__ds")
-    translated = svc & (F.coalesce("dnat_ip", F.lit("")) != "") & (F.col("dnat_port") != -1)
-    t = cluster.join_address(t, F.when(translated, F.col("dnat_ip")), F.col("dnat_port"), "__dd")
-    t = cluster.join_address(t, dip, dport, "__dc", "__dp")
+    translated = F.coalesce(svc & (F.coalesce("dnat_ip", F.lit("")) != "") & (F.col("dnat_port") != -1), F.lit(False))
+    of_service = {"namespace": s["namespace"], "service": s["service"], "workload_kind": s["workload_kind"], "workload_name": s["workload_name"]}
     h = {n: F.col(n).isNotNull() for n in ("__dd", "__dc", "__dh", "__dp", "__dn")}
-    con = ~svc & h["__dc"]
     later = ~svc & ~h["__dc"]
     host = later & h["__dh"]
     cur_ip = F.when(host, F.col("__dh.ip")).otherwise(dip)
+    keep_dst = [*keep, "__sip"]
+    there = cluster.join_address(t.where(translated), F.col("dnat_ip"), F.col("dnat_port"), "__dd")
+    there, dst = _resolve(there, "d", _empty(dip, dport), [(svc, of_service), (h["__dd"], _container(F.col("__dd"), False, dip))])
+    there, _ = _settle(there, "dst", dst, keep_dst)
     # The pod and node steps search with the address the record came with.
-    t, dst = _resolve(t, "d", _empty(dip, dport), [
-        (svc, {"namespace": s["namespace"], "service": s["service"], "workload_kind": s["workload_kind"], "workload_name": s["workload_name"]}),
-        (translated & h["__dd"], _container(F.col("__dd"), False, dip)),
-        (con, _container(F.col("__dc"), False, dip)),
+    here, dst = _resolve(t.where(~translated), "d", _empty(dip, dport), [
+        (svc, of_service),
+        (~svc & h["__dc"], _container(F.col("__dc"), False, dip)),
         (host, {**_container(F.col("__dh"), False), "ip": F.col("__dh.ip"), "port": F.col("__dh.port").cast("long"),
                 "service": F.concat(dip, F.lit(":"), dport.cast("string"))}),
         (later & h["__dp"], _pod(F.col("__dp"), False, cur_ip)),
         (later & ~h["__dp"] & h["__dn"], {"namespace": F.lit(C.INTERNAL)}),
         (later & ~h["__dp"] & ~h["__dn"], {"namespace": F.lit(C.EXTERNAL)})])
-    t, dst = _settle(t, "dst", dst, keep)
-    t = cluster.join_address(t, sip, sport, "__sc", "__sp")
-    t = cluster.join_node(t, sip, "__sn")
+    here, dst = _settle(here, "dst", dst, keep_dst)
+    # What is translated is known now and need not move with the record.
+    t = here.unionByName(there).withColumns({"dst_ip": F.col("__o_dst_ip"), "dst_port": F.col("__o_dst_port")})
+    t = apply_dnat(t).drop("__o_dst_ip", "__o_dst_port")
+    dst = {k: F.col(k) if k in ("dst_ip", "dst_port") else v for k, v in dst.items()}
+    t = cluster.join_place(t, "__sip", sport, {"node": "__sn", "container": "__sc", "pod": "__sp"})
     h = {n: F.col(n).isNotNull() for n in ("__sc", "__sp", "__sn")}
     t, src = _resolve(t, "s", _empty(sip, None), [
         (h["__sc"], _container(F.col("__sc"), True)), _service(h["__sc"], F.col("__sc")),
@@ -296,8 +332,7 @@ def enrich_tcp(df: DataFrame, cluster: Cluster) -> DataFrame:
         (~h["__sc"] & ~h["__sp"] & h["__sn"], {"namespace": F.lit(C.INTERNAL)}),
         (~h["__sc"] & ~h["__sp"] & ~h["__sn"], {"namespace": F.lit(C.EXTERNAL)})])
     new = {**_emit(t, "src", src), **dst}
-    out = t.select(*[c for c in keep if c not in new], *[v.alias(k) for k, v in new.items()])
-    return prune_ports(apply_dnat(out))
+    return prune_ports(t.select(*[c for c in keep if c not in new and c not in ("dnat_ip", "dnat_port")], *[v.alias(k) for k, v in new.items()]))
 
 
 def match_services(labels: DataFrame, selectors: DataFrame) -> DataFrame:

@@ -194,3 +194,27 @@ def test_client_and_tcp_labels_move_records_once_per_address(spark):
             assert sum("Join LeftOuter" in line for line in plan.splitlines()) <= 10
     finally:
         spark.conf.set(conf, before)
+
+
+def test_tcp_translated_and_not(spark, lookups):
+    """Translated services, those whose translation is not known, a service by node port, and records without an address or port."""
+    data = [(1, "", "10.1.0.2", 5432, "10.8.0.1", 80, "10.1.0.1", 80), (2, "", "10.1.0.2", 1, "10.8.0.1", 80, "10.7.7.7", 80), (3, "", "10.9.0.1", 1, "10.9.0.2", 30080, "10.1.0.1", 99),
+            (4, "", "10.1.0.1", 80, "10.8.0.1", 80, "10.1.0.1", -1), (5, "", None, None, None, None, None, None), (6, "", "8.8.8.8", 1, "10.1.0.2", None, "10.1.0.1", 80), (7, "", "10.1.0.1", 1, "10.8.0.1", 80, None, 80)]
+    got = metadata.enrich_tcp(spark.createDataFrame(data, CALL), lookups)
+    assert "dnat_ip" not in got.columns and got.columns[:2] == ["id", "container_id"]
+    assert rows(got, "id", "src_pod", "src_namespace", "dst_namespace", "dst_service", "dst_pod", "dst_container", "dst_ip", "dst_port", "src_port") == [
+        (1, "db-1", "data", "shop", "svc-web", "web-1", "web", "10.1.0.1", 80, None), (2, "db-1", "data", "shop", "svc-web", "", "", "10.7.7.7", None, 1),
+        (3, "", "NOT_FOUND_INTERNAL", "shop", "svc-web", "web-1", "web", "10.1.0.1", None, 1), (4, "web-1", "shop", "shop", "svc-web", "", "", "10.1.0.1", None, 80),
+        (5, "", "NOT_FOUND_EXTERNAL", "NOT_FOUND_EXTERNAL", "", "", "", "", None, None), (6, "", "NOT_FOUND_EXTERNAL", "data", "", "db-1", "db", "10.1.0.1", None, 1),
+        (7, "web-1", "shop", "shop", "svc-web", "", "", "10.8.0.1", None, 1)]
+
+
+def test_tcp_records_move_once_per_end(spark):
+    """A join by the address of either end and one for translated records, not one per table."""
+    table = spark.range(1).select(*[F.lit("x").alias(c) for c in ("container_id", "container", *metadata.POD_COLS)], F.lit(1).alias("port"), F.lit(False).alias("host_network"))
+    ports = table.withColumns({"host_ip": F.lit("y"), "host_port": F.lit(2), "node_port": F.lit(3)})
+    df = spark.range(1).select("id", *[F.lit("x").alias(c) for c in ("container_id", "src_ip", "dst_ip", "dnat_ip")], *[F.lit(1).alias(c) for c in ("src_port", "dst_port", "dnat_port")])
+    plan = metadata.enrich_tcp(df, metadata.Cluster(ports, ports, ports, ports, ports))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line.split("Join LeftOuter")[1] for line in plan.splitlines() if "Join LeftOuter" in line]
+    # Those by node port broadcast a row per port; the destination's join is in both branches, whose records are dealt once.
+    assert len(joins) - sum("rightHint=(strategy=broadcast)" in j for j in joins) <= 4, joins
