@@ -10,6 +10,7 @@ A null key is a key, and ``slice_`` has to be a non-decreasing function of the o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -119,18 +120,31 @@ def carry_next(df: DataFrame, keys: list[str], order: list[str], values: dict[st
     return out.select(*df.columns, *[F.col(f"__hit.{n}").alias(n) for n in values])
 
 
-def _plain_keys(df: DataFrame, keys: list[str]) -> dict[str, Column]:
-    """Columns that are equal where ``keys`` are the same, null or not, and never null: rows that are dealt by them for a window
-    stay where they are for a join."""
+def plain_columns(df: DataFrame, names: list[str], mark: str) -> dict[str, Column]:
+    """Columns that are equal where ``names`` are the same, null or not: a text or number that is not null, and a number that says
+    which are null. Rows that are dealt by them for a window stay where they are for a join; other types are put in a struct."""
     out = {}
-    for i, k in enumerate(keys):
+    for i, k in enumerate(names):
         kind = df.schema[k].dataType
         none = F.lit("") if isinstance(kind, T.StringType) else F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else None
-        out[f"__k{i}"] = F.struct(k) if none is None else F.coalesce(k, none)
-    out["__none"] = reduce(lambda a, b: a + b, [F.col(k).isNull().cast("int") * (1 << i) for i, k in enumerate(keys)])
+        out[f"__{mark}{i}"] = F.struct(k) if none is None else F.coalesce(k, none)
+    out[f"__{mark}none"] = reduce(lambda a, b: a + b, [F.col(k).isNull().cast("long") * (1 << i) for i, k in enumerate(names)])
     return out
 
 
+def from_plain(get: Callable[[str], Column], names: list[str], mark: str, boxed: list[str] = ()) -> dict[str, Column]:
+    """What ``plain_columns`` were made of; ``boxed`` are those in structs."""
+    out = {}
+    for i, k in enumerate(names):
+        there = get(f"__{mark}{i}")
+        out[k] = there[k] if k in boxed else F.when(get(f"__{mark}none").bitwiseAND(F.lit(1 << i).cast("long")) == 0, there)
+    return out
+
+
+def boxed(df: DataFrame, names: list[str]) -> list[str]:
+    return [k for k in names if not isinstance(df.schema[k].dataType, T.StringType | T.NumericType)]
+
+
 def _hashable(df: DataFrame, struct: str) -> list[Column]:
     """Fields of a struct that can be hashed."""
     return [F.col(f"{struct}.{f.name}") for f in df.schema[struct].dataType.fields if "map<" not in f.dataType.simpleString()]
@@ -160,7 +174,7 @@ def asof_join(probes: DataFrame, table: DataFrame, keys: list[str], at: str, tab
         merged, slice_ = balanced_slices(merged, keys, "__at", slice_width, slice_rows), F.col("__fine")
         hot_rows = min(hot_rows, slice_rows)
     types = {k: probes.schema[k].dataType for k in keys}
-    plain = _plain_keys(merged, keys)
+    plain, in_struct = plain_columns(merged, keys, "k"), boxed(merged, keys)
     merged = merged.withColumns(plain).drop(*keys)
     key = list(plain)
     # Counts and summaries read every column: what is below them is then the same as below the scan, and its exchanges run once.
@@ -175,8 +189,5 @@ def asof_join(probes: DataFrame, table: DataFrame, keys: list[str], at: str, tab
     before = F.last("__tail", ignorenulls=True).over(_slice_window(key).rowsBetween(Window.unboundedPreceding, -1))
     carried = tails.select(*key, SLICE, before.alias("__carry"))
     hit = local.where("__side = 1").join(carried, [*key, SLICE], "left").withColumn("__hit", F.coalesce("__local", "__carry"))
-    own = {c: F.col(f"__p.{c}") for c in rest}
-    for i, k in enumerate(keys):
-        there = F.col(f"__k{i}.{k}") if isinstance(hit.schema[f"__k{i}"].dataType, T.StructType) else F.when(F.col("__none").bitwiseAND(1 << i) == 0, F.col(f"__k{i}"))
-        own[k] = there.cast(types[k])
+    own = {**{c: F.col(f"__p.{c}") for c in rest}, **{k: v.cast(types[k]) for k, v in from_plain(F.col, keys, "k", in_struct).items()}}
     return hit.select(*[own[c].alias(c) for c in probes.columns], *[F.col(f"__hit.{v}").alias(v) for v in values])

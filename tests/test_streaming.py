@@ -319,6 +319,36 @@ def test_segments_drop_late(spark):
     assert rows(got, "second", "n") == [(100, 1), (101, 1), (102, 1), (200, 1)]
 
 
+def test_segments_of_events_that_are_late_in_part(spark):
+    """The watermark is 160 s when they come: their seconds from 160 on count, in threads that were there before and in new ones."""
+    schema = "pid long, tid long, seq long, start_ns long, end_ns long"
+    frames = [[(1, 1, 1, 100 * S, 102 * S)], [(9, 9, 2, 200 * S, 200 * S)], [(1, 1, 3, 150 * S, 170 * S), (2, 2, 4, 170 * S, 150 * S), (5, 5, 5, 130 * S, 159 * S), (1, 1, 6, 160 * S, 161 * S)],
+              [(1, 1, 7, 300 * S, None)], [(9, 9, 8, 400 * S, 400 * S)]]
+    got = feed(spark, lambda s, d: builtin.segments(s), [spark.createDataFrame(f, schema) for f in frames])
+    want = [(1, s, [1]) for s in (100, 101, 102)] + [(1, s, [3, 6] if s < 162 else [3]) for s in range(160, 171)] + [(2, s, [4]) for s in range(160, 171)] + [(9, 200, [2])]
+    assert sorted((r.pid, r.second, [e.seq for e in r.events]) for r in got.collect()) == want
+    assert rows(got.where("n <> size(events)")) == []
+
+
+def test_segments_of_threads_and_payloads_without_value(spark):
+    data = [(None, 1, None, "b", 5 * S, 6 * S), (None, 1, 0, None, 6 * S, 6 * S), (0, 1, 7, "a", 6 * S, 200 * S), (0, None, (1 << 60) + 1, "a", 6 * S, 6 * S), (8, 8, 8, "c", 300 * S, 300 * S)]
+    frame = spark.createDataFrame(data, "pid long, tid int, seq long, name string, start_ns long, end_ns long")
+    got = feed(spark, lambda s, d: builtin.segments(s, payload=["seq", "name"], buckets=3), [frame])
+    found = {(r.pid, r.tid, r.second): [tuple(e) for e in r.events] for r in got.collect()}
+    assert {k: v for k, v in found.items() if k[2] < 7} == {
+        (None, 1, 5): [(None, "b")], (None, 1, 6): [(None, "b"), (0, None)], (0, 1, 6): [(7, "a")], (0, None, 6): [((1 << 60) + 1, "a")]}
+    assert sorted(k[2] for k in found if k[:2] == (0, 1)) == list(range(6, 201))
+
+
+def test_segments_share_state(spark):
+    """A state per bucket, not one for every thread and second."""
+    source = work_dir(spark, "seg-in")
+    spark.createDataFrame([(i, i, i, i * S // 100, i * S // 100 + 5 * S) for i in range(1000)], "pid long, tid long, seq long, start_ns long, end_ns long").write.parquet(source)
+    query = start_append(builtin.segments(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), delay="100 seconds"), work_dir(spark, "seg-out"))
+    query.awaitTermination()
+    assert max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress) < 3000
+
+
 def test_trigger_prefers_agent(spark):
     root = work_dir(spark, "trig-in")
     schema = "content_key string, pid long, ts_ns long, is_slow boolean, is_server boolean, from_apm boolean"
