@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from skeinwork.operators import aggregate
 from skeinwork.operators.scan import boxed, from_plain, plain_columns
-from skeinwork.streaming.seconds import BUCKETS, Seconds, packer
+from skeinwork.streaming.packs import packer
+from skeinwork.streaming.seconds import BUCKETS, Seconds
 
 
 def with_time(df: DataFrame, ts: str, delay: str, name: str = "event_time") -> DataFrame:

@@ -6,12 +6,15 @@ import pickle
 from abc import abstractmethod
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from skeinwork.streaming.builtin import with_time
+from skeinwork.streaming.packs import packer
 
 S, MS, US = 1_000_000_000, 1_000_000, 1_000
 NEVER = 1 << 62
@@ -108,6 +111,12 @@ class Ordered(StatefulProcessor):
         """Rows that a key gives once per run, after its rows."""
         return iter(())
 
+    def given(self, packs: list[bytes]) -> None:
+        """Take the packs of a bucket's initial state (``Packed``)."""
+
+    def begin(self) -> None:
+        """A run of a bucket begins (``Packed``)."""
+
     # Spark's calls ---------------------------------------------------------------------------------------------------
 
     def _arm(self, ns: int) -> None:
@@ -238,6 +247,111 @@ class Bucketed(StatefulProcessor):
             self.bounds.clear()
 
 
+class Packed(StatefulProcessor):
+    """``Bucketed`` for very many rows: they come packed by bucket and wait so, and the rows that come out are made as columns.
+
+    Spark drops packs of which every row is late. Other late rows are dropped here: ``done`` is the watermark of the run before.
+    So every bucket is there from the first run on (its initial state, which may bring packs that the machine is given) and has a
+    timer in every run.
+    """
+
+    def __init__(self, machine: Ordered, keys: T.StructType, output: T.StructType, looked_up: int = 4, out_rows: int = 1 << 15):
+        self.machine, self.keys, self.output, self.looked_up, self.out_rows = machine, keys, output, looked_up, out_rows
+        self.n = len(keys)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "packed binary")
+        self.rows = handle.getMapState("row", self.keys, self.machine.layout)
+        # Number of states, lower bound of their deadlines, watermark of the run before.
+        self.bounds = handle.getValueState("bounds", "states long, soonest long, done long")
+        self.machine.open(handle)
+
+    def close(self) -> None:
+        pass
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.machine.given([bytes(p) for p in initialState["packed"] if p is not None])
+        ms = timerValues.getCurrentWatermarkInMs()
+        self.bounds.update((0, NEVER, ms))
+        self.handle.registerTimer(ms + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.waiting.appendList([(bytes(p),) for part in rows for p in part["packed"]])
+        return iter(())
+
+    def _ready(self, now: int, before: int) -> tuple[list[list], list[int]]:
+        """Columns of the rows that the watermark has passed, by key and in order, and where keys begin."""
+        parts, m = [pickle.loads(packed) for (packed,) in self.waiting.get()], self.machine
+        if not parts:
+            return [], []
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        us = columns[self.n + m.at] // US * US
+        ready, rest = (us > before) & (us <= now), us > now
+        if not rest.any():
+            self.waiting.clear()
+        elif not rest.all():
+            self.waiting.put([(pickle.dumps([c[rest] for c in columns], 5),)])
+        columns = [c[ready] for c in columns]
+        if not len(columns[0]):
+            return [], []
+        group = pd.DataFrame(dict(enumerate(columns[: self.n]))).groupby(list(range(self.n)), sort=False, dropna=False).ngroup().to_numpy()
+        # Objects (numbers, some of which are null) are ranked.
+        by = [columns[self.n + k] for k in m.order]
+        by = [pd.Series(c).rank(method="dense", na_option="top").to_numpy() if c.dtype == object else c for c in by]
+        order = np.lexsort([*by[::-1], group])
+        group = group[order]
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        return [c[order].tolist() for c in columns], [*first.tolist(), len(group)]
+
+    def _took(self, ready: dict[tuple, tuple[int, int]], columns: list[list], held: dict[tuple, tuple], keys: Iterable[tuple], now: int, left: list) -> Iterator[dict]:
+        m = self.machine
+        rows = list(zip(*columns[self.n :]))
+        for k in keys:
+            before, (a, b) = held.get(k), ready.get(k, (0, 0))
+            m.key, m.row = k, None if before is None else dict(zip(m.fields, before))
+            for row in rows[a:b]:
+                yield from m.due(row[m.since])
+                yield from m.take(dict(zip(m.names, row)))
+            yield from m.due(now)
+            if a < b:
+                yield from m.seen(now)
+            state = None if m.row is None else tuple(m.row[f] for f in m.fields)
+            if state is None and before is not None:
+                self.rows.removeKey(k)
+            elif state is not None and state != before:
+                self.rows.updateValue(k, state)
+            left[0] += (state is not None) - (before is not None)
+            left[1] = min(left[1], m.deadline())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ms = timerValues.getCurrentWatermarkInMs()
+        states, soonest, done = self.bounds.get()
+        now, over = ms * MS, soonest <= ms * MS
+        self.machine.begin()
+        columns, first = self._ready(now, done * MS)
+        ready = {tuple(c[a] for c in columns[: self.n]): (a, b) for a, b in zip(first, first[1:])}
+        held = {}
+        if states and (over or states <= self.looked_up * len(ready)):
+            held = {tuple(k): tuple(v) for k, v in self.rows.iterator()}
+        elif states:
+            found = ((k, self.rows.getValue(k)) for k in ready)
+            held = {k: tuple(v) for k, v in found if v is not None}
+        left, out = [states, NEVER if over else soonest], []
+        for row in self._took(ready, columns, held, {**ready, **held} if over else ready, now, left):
+            out.append(row)
+            if len(out) == self.out_rows:
+                yield self._frame(out)
+                out = []
+        self.bounds.update((left[0], left[1], ms))
+        self.handle.registerTimer(ms + 1)
+        if out:
+            yield self._frame(out)
+
+    def _frame(self, rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in self.output.fieldNames()})
+
+
 def run_ordered(events: DataFrame, keys: list[str], machine: Ordered, output: str | T.StructType, delay: str, initial: DataFrame | None = None) -> DataFrame:
     """The rows that a machine per key gives over a stream of events; ``initial`` is a table with state to begin with."""
     timed = with_time(events, machine.ts, delay)
@@ -250,3 +364,19 @@ def run_bucketed(events: DataFrame, keys: list[str], machine: Ordered, output: s
     held = T.StructType([events.schema[k] for k in keys])
     timed = with_time(events, machine.ts, delay).withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets or BUCKETS)))
     return timed.groupBy("__bucket").transformWithState(Bucketed(machine, held), output, "append", "eventTime")
+
+
+def run_packed(events: DataFrame, keys: list[str], machine: Ordered, output: T.StructType, delay: str, initial: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
+    """``run_bucketed`` for very many rows, which are packed inside the input partitions. A machine gets the packs of ``initial``
+    (which has ``keys``) once for each bucket (``given``)."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets or BUCKETS)).alias("bucket")
+
+    def packs(df: DataFrame, names: list[str], last: str) -> DataFrame:
+        return df.select(bucket, *names).mapInArrow(packer(names, last), "bucket long, last long, packed binary")
+
+    held = T.StructType([events.schema[k] for k in keys])
+    start = events.sparkSession.range(buckets or BUCKETS).selectExpr("id AS bucket", "CAST(null AS binary) AS packed")
+    if initial is not None:
+        start = start.unionByName(packs(initial.withColumn("last", F.lit(0).cast("long")), [*initial.columns, "last"], "last").select("bucket", "packed"))
+    timed = with_time(packs(events.where(F.col(machine.ts).isNotNull()), [*keys, *machine.names], machine.ts), "last", delay)
+    return timed.groupBy("bucket").transformWithStateInPandas(Packed(machine, held, output), output, "append", "eventTime", start.groupBy("bucket"))

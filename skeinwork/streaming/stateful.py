@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skeinwork import constants as C
 from skeinwork.operators import connects, pairing
 from skeinwork.streaming.builtin import with_time
-from skeinwork.streaming.ordered import MS, NEVER, Ordered, S, run_bucketed, run_ordered
+from skeinwork.streaming.ordered import MS, NEVER, Ordered, S, run_bucketed, run_ordered, run_packed
 
 DELAY = "5 seconds"
 
@@ -196,13 +197,23 @@ class _Connects(_OneRow):
         self.wait = wait_s * S
 
     def open(self, handle):
-        super().open(handle)
-        self.sockets = handle.getMapState("sockets", "pid long", "state string")
+        self.sockets = handle.getListState("sockets", "packed binary")
 
-    def handleInitialState(self, key, initialState, timerValues):
-        rows = [initialState] if isinstance(initialState, Row) else initialState
-        for r in rows:
-            self.sockets.updateValue((r["pid"],), (r["state"],))
+    def given(self, packs):
+        if packs:
+            self.sockets.appendList([(p,) for p in packs])
+
+    def begin(self):
+        self.known = None
+
+    def _socket(self) -> tuple | None:
+        """State of the attempt's socket. A bucket's sockets are read when the first of its attempts in a run asks for one."""
+        if self.known is None:
+            self.known = {}
+            for (packed,) in self.sockets.get():
+                *key, state, _ = (c.tolist() for c in pickle.loads(packed))
+                self.known.update(zip(zip(*key), zip(state)))
+        return self.known.get((*self.key, self.row["pid"]))
 
     def _end(self, outcome: str, ns: int, code: int | None) -> Iterator[dict]:
         a, self.row = self.row, None
@@ -226,7 +237,7 @@ class _Connects(_OneRow):
 
     def due(self, ns):
         if self.deadline() <= ns:
-            found = self.sockets.getValue((self.row["pid"],))
+            found = self._socket()
             if found is not None and found[0] in ("02", "03"):
                 # Still on its way: an event has to decide.
                 self.row["asked"] = True
@@ -248,7 +259,7 @@ def connect_stream(events: DataFrame, sockets: DataFrame, wait_s: int = C.CONNEC
     out = _fields(e.schema, connects.KEY).add("pid", T.LongType()).add("success", T.BooleanType())
     for c in ("errno", "ts_ns", "connect_total", "connect_duration_nanoseconds_total"):
         out = out.add(c, T.LongType())
-    return run_ordered(e, connects.KEY, machine, out, delay, s)
+    return run_packed(e, connects.KEY, machine, out, delay, s)
 
 
 # Translations --------------------------------------------------------------------------------------------------------

@@ -160,6 +160,29 @@ def test_connects_expire_by_socket(spark):
     assert rows(got, "src_port", "success", "ts_ns") == [(1, True, 2 * S), (2, False, 3 * S), (3, True, 30 * S)]
 
 
+def test_connects_late_beside_others(spark):
+    """A late event that comes with one that is not, of the same connection, is dropped; null fields stay null."""
+    def e(seq, t, name, ip="a", ret=0, pid=None):
+        return (seq, t * S, name, ip, 1, None, 80, ret, 0, 0, pid)
+
+    frames = [[e(1, 1, "tcp_connect"), e(2, 100, "sendto", "x")], [e(3, 50, "sendto"), e(None, 101, "connect", ret=None), e(4, 102, "connect", ret=-111, pid=5)], [e(5, 200, "sendto", "x")]]
+    none = spark.createDataFrame([], "pid long, local_ip string, local_port int, remote_ip string, remote_port int, state string")
+    got = feed(spark, lambda s, d: stateful.connect_stream(s, none, delay=d), [spark.createDataFrame(f, CONNECT) for f in frames])
+    assert rows(got, "src_ip", "dst_ip", "success", "errno", "ts_ns", "pid") == [("a", None, False, None, 101 * S, 0)]
+
+
+def test_connects_share_state(spark):
+    """A state per bucket, with its waiting events and sockets, not some for every connection."""
+    source, n = work_dir(spark, "feed"), 3000
+    data = [(i, i * S // 1000, "tcp_connect", "a", i + 1, "b", 80, 0, 0, 0, 0) for i in range(n)]
+    spark.createDataFrame(data, CONNECT).write.parquet(source)
+    socks = spark.createDataFrame([(5, "a", i + 1, "b", 80, "01") for i in range(n)], "pid long, local_ip string, local_port int, remote_ip string, remote_port int, state string")
+    plan = stateful.connect_stream(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), socks, delay="100 seconds")
+    query = start_append(plan, work_dir(spark, "stream"))
+    query.awaitTermination()
+    assert max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress) < 2.5 * n
+
+
 def test_totals_expire(spark):
     frames = [spark.createDataFrame([(k, v, t * S)], "k string, v long, ts_ns long") for k, v, t in [("a", 1, 1), ("a", 2, 10), ("b", 5, 400), ("b", 1, 401), ("a", 7, 402)]]
     got = feed(spark, lambda s, d: stateful.totals_stream(s, ["k"], ["v"], delay=d), frames)
