@@ -1,6 +1,6 @@
 """Cluster metadata: lookups, precedence cascades, selectors, owners, validity in time.
 
-Lookup tables are joined without a hint: below the session's broadcast threshold Spark broadcasts them, above it the
+Lookup tables are joined without a hint, but for services by node port: below the session's broadcast threshold Spark broadcasts them, above it the
 join is a shuffle join whose hot keys AQE splits. Every lookup table is reduced to one row per key first, so a join
 never multiplies rows. ``Cluster.staged`` writes the tables to the shared work folder once: their size is then known from
 the files instead of being guessed from the plan that makes them, and no record table is shuffled for a small one.
